@@ -1,10 +1,10 @@
-"""Documents to training tokens: quality, near-duplicates, personal data, byte-level BPE."""
+"""Documents to training tokens: quality, near-duplicates, personal data, mixture, byte-level BPE."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.llm import bpe, pii, quality, simhash
+from sievewright.llm import bpe, curriculum, pii, quality, simhash
 from sievewright.llm._batches import table
 from sievewright.llm.queries import BYTE_VOCABULARY
 
@@ -21,11 +21,15 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.redact(docs)
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return curriculum.mix(docs)
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, BYTE_VOCABULARY, with_ids=True)
 
 
-STAGES = [("quality", good), ("near_duplicates", distinct), ("pii", private), ("bpe", encoded)]
+STAGES = [("quality", good), ("near_duplicates", distinct), ("pii", private), ("mixture", mixed), ("bpe", encoded)]
 
 #: A fitted network and byte-level merges are not for SQL; tests hold each stage against brute force.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import bpe, pii, quality, simhash, tokencount, vafile
+from sievewright.llm import bpe, containment, curriculum, licenses, pii, quality, simhash, tokencount, vafile
 from sievewright.llm._batches import table
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -13,6 +13,10 @@ WORD_VOCABULARY = "word_bpe_49k.json"
 EVERY = 100
 
 
+def op2_threshold_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,14 @@ def op6_topk_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % EVERY == 0)
 
 
+def op7_curriculum_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.plan(table(spark, sf_dir, "documents"))
+
+
+def op8_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
@@ -41,10 +53,13 @@ def op10_token_counts_rank_synchronous(spark: SparkSession, sf_dir: str) -> Data
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_threshold_scaled_sketch,
         op3_simhash_bitsliced,
         op4_quality_random_indexing,
         op5_pii_validated_spans,
         op6_topk_va_file,
+        op7_curriculum_mixture,
+        op8_license_signatures,
         op9_byte_bpe_matrices,
         op10_token_counts_rank_synchronous,
     )
