@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import bpe, containment, curriculum, licenses, pii, quality, simhash, tokencount, vafile
+from sievewright.llm import bpe, containment, curriculum, licenses, pii, quality, quotes, simhash, tokencount, vafile
 from sievewright.llm._batches import table
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -13,6 +13,10 @@ WORD_VOCABULARY = "word_bpe_49k.json"
 EVERY = 100
 
 
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
 def op2_threshold_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_token_counts_rank_synchronous(spark: SparkSession, sf_dir: str) -> Data
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_quotation_links,
         op2_threshold_scaled_sketch,
         op3_simhash_bitsliced,
         op4_quality_random_indexing,
@@ -65,7 +70,59 @@ QUERIES = {
     )
 }
 
+#: White space as the quotation operator has it, and the text of a line without its quote marks.
+_BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+
 ORACLES = {
+    "op1_quotation_links": f"""
+WITH RECURSIVE m AS (
+  SELECT row_number() OVER () AS rid, conv_id, turn, role, string_split_regex(coalesce(text, ''), '\\r?\\n') AS lines FROM conversations
+), split AS (
+  SELECT rid, conv_id, turn, i, regexp_extract(lines[i], '^[ \\t]*(?:>[ \\t]*)+') AS mark, lines[i] AS line
+  FROM (SELECT rid, conv_id, turn, lines, unnest(range(1, len(lines) + 1)) AS i FROM m)
+), leveled AS (
+  SELECT rid, conv_id, turn, i, length(mark) - length(replace(mark, '>', '')) AS level, substr(line, length(mark) + 1) AS body FROM split
+), kept AS (
+  SELECT * FROM (SELECT *, lead(level, 1, 0) OVER (PARTITION BY rid ORDER BY i) AS below FROM leveled)
+  WHERE NOT (level = 0 AND below > 0 AND regexp_matches(body, '(?i)(?:wrote|writes|schrieb|écrit|escribió)[ \\t]*:[ \\t]*$'))
+), turns AS (
+  SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY rid ORDER BY i) THEN 1 ELSE 0 END AS fresh FROM kept
+), islands AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS island FROM turns
+), passages AS (
+  SELECT rid, conv_id, turn, island, any_value(level) AS level, string_agg(body, chr(10) ORDER BY i) AS text FROM islands GROUP BY ALL
+), own AS (
+  SELECT rid, conv_id, turn, trim(coalesce(string_agg(text, chr(10) ORDER BY island) FILTER (level = 0), ''), {_BLANKS}) AS text FROM passages GROUP BY ALL
+), pieces AS (
+  SELECT rid, conv_id, turn, island, level, text FROM passages WHERE level > 0 AND trim(text, {_BLANKS}) <> ''
+  UNION ALL SELECT rid, conv_id, turn, 0, 0, text FROM own WHERE text <> ''
+), raw AS (
+  SELECT *, unnest(list_concat([text], string_split_regex(text, '\\n[ \\t]*\\n'))) AS unit, 1 AS least FROM pieces
+  UNION ALL SELECT *, unnest(string_split(text, chr(10))) AS unit, 3 AS least FROM pieces
+), units AS (
+  SELECT DISTINCT rid, conv_id, turn, island, level, unit FROM (
+    SELECT * REPLACE (trim(regexp_replace(lower(unit), '[ \\t\\n\\r\\x0B\\f]+', ' ', 'g')) AS unit) FROM raw)
+  WHERE unit <> '' AND len(string_split(unit, ' ')) >= least
+), originals AS (
+  SELECT conv_id, unit, min(turn) AS origin FROM units WHERE level = 0 GROUP BY ALL
+), linked AS (
+  SELECT rid, conv_id, turn, island, level, max(origin) AS origin FROM units JOIN originals USING (conv_id, unit) WHERE level > 0 AND origin < turn GROUP BY ALL
+), found AS (
+  SELECT rid, conv_id, turn, count(*) AS n_linked, arg_max(origin, -1000000 * level + origin) AS reply_to FROM linked GROUP BY ALL
+), climb AS (
+  SELECT conv_id, turn, max(reply_to) AS up FROM found GROUP BY ALL
+), climbing AS (
+  SELECT conv_id, turn, up FROM climb
+  UNION ALL SELECT a.conv_id, a.turn, b.up FROM climbing a JOIN climb b ON a.conv_id = b.conv_id AND a.up = b.turn
+), tops AS (
+  SELECT conv_id, turn, min(up) AS thread FROM climbing GROUP BY ALL
+)
+SELECT m.conv_id, m.turn, m.role, own.text AS clean_text,
+       (SELECT count(*) FROM pieces p WHERE p.rid = m.rid AND p.level > 0) AS n_passages,
+       coalesce(found.n_linked, 0) AS n_linked, found.reply_to, coalesce(tops.thread, m.turn) AS thread,
+       '<' || coalesce(m.role, 'user') || '>' || own.text AS chat
+FROM m JOIN own ON own.rid = m.rid LEFT JOIN found ON found.rid = m.rid
+LEFT JOIN tops ON tops.conv_id = m.conv_id AND tops.turn = m.turn AND found.rid IS NOT NULL""",
     "op6_topk_va_file": f"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
