@@ -2,5 +2,453 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievewright.functions import constants as K
+from sievewright.functions import text as T
+from sievewright.functions.constants import Thresholds
+from sievewright.operators import decoding, dedup, gates, pack, select, tokens
+from sievewright.plans import runs
+from sievewright.plans import sql as S
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+#: Sizes that show several buffers and chunks on small tables too.
+BUFFER, BUDGET, CHUNK, WINDOW = 16, 5000, 4096, 128
+SHORT = Thresholds(min_words=50)
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/pages.parquet")
+
+
+def sequenced(docs: DataFrame) -> DataFrame:
+    """doc_id is the order of arrival, the number in a source's name its rank."""
+    rank = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    return docs.withColumns({"seq": F.col("doc_id"), "source_rank": rank})
+
+
+# -- projections ------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {S.word_count('text')} AS n_words FROM documents")
+def word_count(spark, d):
+    return documents(spark, d).select("doc_id", T.word_count("text").alias("n_words"))
+
+
+@query(f"SELECT doc_id, {S.normalise('text')} AS normal FROM documents")
+def normalize_text(spark, d):
+    return documents(spark, d).select("doc_id", T.normalise("text").alias("normal"))
+
+
+@query("SELECT doc_id, substr(text, 1, 2000) AS head FROM documents")
+def truncate_prefix(spark, d):
+    return documents(spark, d).select("doc_id", T.prefix("text", 2000).alias("head"))
+
+
+@query(f"SELECT page_id, {S.clean('html')} AS clean_text FROM pages")
+def html_strip(spark, d):
+    return pages(spark, d).select("page_id", T.clean_markup("html").alias("clean_text"))
+
+
+@query(f"SELECT page_id, {S.decode_entities('html')} AS decoded FROM pages")
+def entity_decode(spark, d):
+    return pages(spark, d).select("page_id", T.decode_entities("html").alias("decoded"))
+
+
+@query(f"SELECT page_id, {S.replaced('html', S.CSS, ' ')} AS plain FROM pages")
+def css_strip(spark, d):
+    return pages(spark, d).select("page_id", T.strip_css("html").alias("plain"))
+
+
+_EMAIL = rf"\b[{S.W}.+-]+@[{S.W}-]+\.[{S.W}.-]*[{S.W}]"
+
+
+@query(f"SELECT doc_id, {S.replaced(S.replaced('text', _EMAIL, '[EMAIL]'), chr(92) + 'b(?:' + chr(92) + '+62|62|0)8[1-9][0-9]{6,10}' + chr(92) + 'b', '[TELEPON]')} AS redacted FROM documents")
+def redact_pii(spark, d):
+    return documents(spark, d).select("doc_id", T.redact("text").alias("redacted"))
+
+
+_RUNS = """
+WITH w AS (SELECT {key}, unnest({words}) AS w, generate_subscripts({words}, 1) AS i FROM {table}),
+     s AS (SELECT *, CASE WHEN w IS DISTINCT FROM lag(w) OVER (PARTITION BY {key} ORDER BY i) THEN 1 ELSE 0 END AS fresh FROM w),
+     g AS (SELECT *, sum(fresh) OVER (PARTITION BY {key} ORDER BY i) AS island FROM s),
+     r AS (SELECT *, row_number() OVER (PARTITION BY {key}, island ORDER BY i) AS n FROM g),
+     j AS (SELECT {key}, string_agg(w, ' ' ORDER BY i) AS capped FROM r WHERE n <= 3 GROUP BY ALL)
+SELECT {keys}, coalesce(capped, text) AS capped FROM {table} LEFT JOIN j USING ({key})"""
+
+
+@query(_RUNS.format(key="doc_id", keys="doc_id", table="documents", words=S.words("text")))
+def repetition_cap(spark, d):
+    return documents(spark, d).select("doc_id", T.cap_repeats("text").alias("capped"))
+
+
+@query(f"SELECT conv_id, turn, {S.quoted(K.CHAT_TAGS[0])} || text || {S.quoted(K.CHAT_TAGS[1] + K.CHAT_TAGS[2])} AS prompt FROM conversations WHERE role = 'user'")
+def chat_format(spark, d):
+    turns = spark.read.parquet(f"{d}/conversations.parquet").filter("role = 'user'")
+    return turns.select("conv_id", "turn", T.format_prompt("text").alias("prompt"))
+
+
+# -- measures and gates -----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT page_id, {S.markup_density('html')} AS density FROM pages")
+def html_density(spark, d):
+    return pages(spark, d).select("page_id", T.markup_density("html").alias("density"))
+
+
+@query(f"SELECT page_id FROM pages WHERE {S.markup_density('html')} > 0.15")
+def html_spam_gate(spark, d):
+    return pages(spark, d).filter(T.markup_density("html") > 0.15).select("page_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE {S.word_count('text')} BETWEEN 500 AND 10000")
+def length_gate(spark, d):
+    return documents(spark, d).filter(T.word_count("text").between(500, 10_000)).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE length({S.strip('text')}) >= 100")
+def min_chars_gate(spark, d):
+    return documents(spark, d).filter(F.length(T.strip("text")) >= 100).select("doc_id")
+
+
+def _symbols(table: str, key: str, text: str) -> str:
+    return f"SELECT '{table}' AS origin, {key} AS id, {S.symbol_ratio(text)} AS ratio, {S.symbol_run(text)} AS run FROM {table}"
+
+
+@query(_symbols("documents", "doc_id", "text") + " UNION ALL " + _symbols("pages", "page_id", "html"))
+def symbol_spam(spark, d):
+    part = lambda t, origin, key, c: t.select(F.lit(origin).alias("origin"), F.col(key).alias("id"), T.symbol_ratio(c).alias("ratio"), T.has_symbol_run(c).alias("run"))
+    return part(documents(spark, d), "documents", "doc_id", "text").union(part(pages(spark, d), "pages", "page_id", "html"))
+
+
+@query(f"SELECT doc_id, {S.density(S.boilerplate_hits('text'), S.word_count('text'))} AS density FROM documents")
+def boilerplate_density(spark, d):
+    return documents(spark, d).select("doc_id", T.boilerplate_density("text").alias("density"))
+
+
+def _keyword(name: str, keywords: list[str]) -> None:
+    def f(spark, d):
+        docs = documents(spark, d).select("doc_id", F.lower("text").alias("low"))
+        return docs.select("doc_id", T.keyword_density("low", keywords, T.word_count("low")).alias("density"))
+
+    f.__name__ = name
+    query(f"SELECT doc_id, {S.density(S.hits('low', keywords), S.word_count('low'))} AS density FROM (SELECT doc_id, lower(text) AS low FROM documents)")(f)
+
+
+for _name, _keywords in (("profanity_density", K.PROFANITY), ("marketing_density", K.MARKETING), ("educational_score", K.EDUCATIONAL)):
+    _keyword(_name, _keywords)
+
+
+@query(f"SELECT page_id, {S.any_of('lower(html)', K.GAMBLING_ADULT)} AS gambling, {S.suspicious('lower(html)')} AS suspicious, {S.count('html', S.URL)} AS links FROM pages")
+def link_gates(spark, d):
+    return pages(spark, d).select("page_id", T.has_any(F.lower("html"), K.GAMBLING_ADULT).alias("gambling"), T.has_suspicious_domain(F.lower("html")).alias("suspicious"), T.link_count("html").alias("links"))
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, unnest({S.words('lower(text)')}) AS w FROM documents),
+     c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL),
+     m AS (SELECT doc_id, max(n) AS most, sum(n) AS n FROM c GROUP BY ALL)
+SELECT doc_id, CAST(most AS DOUBLE) / n AS share FROM m WHERE n >= 10 AND most / n > 0.4""")
+def dominant_word(spark, d):
+    rows = documents(spark, d).select("doc_id", T.word_count("text").alias("n"), T.dominant_share(F.lower("text")).alias("share"))
+    return rows.filter("n >= 10 AND share > 0.4").select("doc_id", "share")
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, unnest({S.words('lower(text)')}) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL)
+SELECT doc_id, min(word) AS word, any_value(n) AS n FROM (SELECT *, max(n) OVER (PARTITION BY doc_id) AS most FROM c) WHERE n = most GROUP BY doc_id""")
+def most_common_word(spark, d):
+    counts = documents(spark, d).select("doc_id", F.explode(T.words(F.lower("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    best = counts.groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "word")).alias("b"))
+    return best.select("doc_id", F.col("b.word").alias("word"), (-F.col("b.m")).alias("n"))
+
+
+@query("SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[.,?!]')")
+def no_punctuation(spark, d):
+    return documents(spark, d).filter(T.no_punctuation("text")).select("doc_id")
+
+
+@query(f"SELECT doc_id, lang, lang IN ({', '.join(map(S.quoted, K.ALLOWED_LANGUAGES))}) AS allowed FROM documents")
+def language_gate(spark, d):
+    return documents(spark, d).select("doc_id", "lang", T.language_vote(F.array("lang")).alias("allowed"))
+
+
+_MEASURES = "markup_density, n_words, symbol_ratio, symbol_run, boilerplate, gambling, suspicious, links, unpunctuated, profanity, marketing, educational"
+
+
+@query(f"WITH {S.measured('documents', 'doc_id', 'text')} SELECT doc_id, {_MEASURES} FROM judged")
+def measures(spark, d):
+    return gates.with_measures(gates.arrived(documents(spark, d))).select("doc_id", *_MEASURES.split(", "))
+
+
+@query(f"WITH {S.measured('documents', 'doc_id', 'text', 'lang,')} SELECT doc_id, {S.reason(50, language=True)} AS reason FROM judged")
+def cascade(spark, d):
+    limits = Thresholds(min_words=50, language="column")
+    return gates.with_reason(gates.arrived(documents(spark, d)), "text", limits).select("doc_id", "reason")
+
+
+@query(f"WITH {S.measured('pages', 'page_id', 'html')} SELECT page_id, {S.reason(50)} AS reason FROM judged")
+def cascade_pages(spark, d):
+    return gates.with_reason(gates.arrived(pages(spark, d), "html"), "html", SHORT).select("page_id", "reason")
+
+
+@query(f"WITH {S.measured('documents', 'doc_id', 'text')}, r AS (SELECT {S.reason()} AS reason FROM judged) SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL")
+def reject_reasons(spark, d):
+    return gates.histogram(gates.with_reason(gates.arrived(documents(spark, d))))
+
+
+@query(f"""WITH {S.measured('documents', 'doc_id', 'text')}, r AS (SELECT {S.reason(50)} AS reason FROM judged)
+SELECT (SELECT count(*) FROM documents) AS seen, count(*) FILTER (reason IS NULL) AS kept, count(reason) AS rejected,
+       CAST(count(*) FILTER (reason IS NULL) AS DOUBLE) / (SELECT count(*) FROM documents) * 100 AS kept_percent FROM r""")
+def filter_funnel(spark, d):
+    docs = documents(spark, d)
+    return gates.funnel(docs, gates.with_reason(gates.arrived(docs), "text", SHORT))
+
+
+# -- duplicates -------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, sha256({S.normalise('text')}) AS exact_hash FROM documents")
+def exact_hash(spark, d):
+    return documents(spark, d).select("doc_id", dedup.exact_hash("text").alias("exact_hash"))
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {S.normalise('text')} ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def exact_dedup(spark, d):
+    return dedup.exact_duplicates(documents(spark, d), "text", ["doc_id"]).filter(~F.col("duplicate")).select("doc_id")
+
+
+_SHINGLES = f"""
+words AS (SELECT doc_id, {S.words(S.normalise('text'))} AS w FROM documents),
+quoted AS (SELECT doc_id, list_transform(w, lambda x: CASE WHEN contains(x, '''') AND NOT contains(x, '"') THEN '"' || replace(x, chr(92), chr(92) || chr(92)) || '"'
+  ELSE '''' || replace(replace(x, chr(92), chr(92) || chr(92)), '''', chr(92) || '''') || '''' END) AS w FROM words),
+shingled AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN ['(' || array_to_string(w, ', ') || CASE WHEN len(w) = 1 THEN ',)' ELSE ')' END]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: '(' || array_to_string(w[i:i + 4], ', ') || ')')) END AS s FROM quoted),
+signed AS (SELECT doc_id, list_transform(range(0, 32), lambda k: list_min(list_transform(s, lambda x: md5(CAST(k AS VARCHAR) || '_' || x)))) AS signature FROM shingled)"""
+_NEAR = """
+firsts AS (SELECT signature, min(doc_id) AS id FROM signed GROUP BY ALL),
+slots AS (SELECT id, unnest(range(0, 32)) AS k, unnest(signature) AS h FROM firsts),
+pairs AS (SELECT x.id AS a, y.id AS b, CAST(count(*) AS INTEGER) AS agree FROM slots x JOIN slots y ON x.k = y.k AND x.h = y.h AND x.id < y.id GROUP BY ALL HAVING count(*) >= 28)"""
+
+
+@query(f"WITH {_SHINGLES} SELECT doc_id, CAST(len(s) AS INTEGER) AS n FROM shingled")
+def shingle_count(spark, d):
+    return documents(spark, d).select("doc_id", F.size(dedup.shingles("text")).alias("n"))
+
+
+@query(f"WITH {_SHINGLES} SELECT doc_id, array_to_string(signature, ' ') AS signature FROM signed")
+def minhash_signature(spark, d):
+    return documents(spark, d).select("doc_id", F.array_join(dedup.signature("text"), " ").alias("signature"))
+
+
+@query(f"WITH {_SHINGLES}, {_NEAR} SELECT a, b, agree FROM pairs")
+def near_dup_pairs(spark, d):
+    signed = dedup.cut(documents(spark, d).select("doc_id", dedup.signature("text").alias("signature")))
+    return dedup.near_pairs(signed.groupBy("signature").agg(F.min("doc_id").alias("doc_id")))
+
+
+@query(f"""
+WITH RECURSIVE {_SHINGLES}, {_NEAR},
+exact AS (SELECT doc_id, row_number() OVER (PARTITION BY {S.normalise('text')} ORDER BY doc_id) AS n FROM documents),
+late AS (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS i FROM pairs GROUP BY b),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone
+  UNION ALL
+  SELECT late.i, CASE WHEN len(list_filter(earlier, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, b) ELSE gone END
+  FROM walk JOIN late ON late.i = walk.i + 1
+), gone AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM walk ORDER BY i DESC LIMIT 1))
+SELECT doc_id, CASE WHEN n > 1 THEN 'exact_duplicate' WHEN signed.doc_id <> firsts.id OR firsts.id IN (SELECT id FROM gone) THEN 'near_duplicate' END AS dup_reason
+FROM signed JOIN firsts USING (signature) JOIN exact USING (doc_id)""")
+def near_dedup_greedy(spark, d):
+    return dedup.deduplicate(documents(spark, d).select("doc_id", "text"), "text").select("doc_id", "dup_reason")
+
+
+# -- order, budgets, chunks -------------------------------------------------------------------------------------------
+
+_ORDERED = f"""
+scored AS (SELECT doc_id, source, {S.density(S.hits('lower(text)', K.EDUCATIONAL), S.word_count('text'))} AS score, CAST({S.word_count('text')} AS BIGINT) AS n_tokens FROM documents),
+buffered AS (SELECT *, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // {BUFFER} AS BIGINT) AS buffer FROM scored),
+ordered AS (SELECT *, CAST(coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY buffer, score DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM buffered)"""
+
+
+def _ordered(spark, d) -> DataFrame:
+    docs = sequenced(documents(spark, d)).withColumn("n_tokens", T.word_count("text").cast("bigint"))
+    scored = docs.select("doc_id", "seq", "source", "source_rank", "n_tokens", T.keyword_density(F.lower("text"), K.EDUCATIONAL, F.col("n_tokens")).alias("score"))
+    return select.emitted(scored, "score", "n_tokens", BUFFER)
+
+
+@query(f"WITH {_ORDERED} SELECT doc_id, source, buffer, score, before FROM ordered")
+def buffer_sort(spark, d):
+    return _ordered(spark, d).select("doc_id", "source", "buffer", "score", "before")
+
+
+@query(f"WITH {_ORDERED} SELECT doc_id, source, before, n_tokens FROM ordered WHERE before < {BUDGET}")
+def token_budget(spark, d):
+    return select.within_budget(_ordered(spark, d), F.lit(BUDGET)).select("doc_id", "source", "before", "n_tokens")
+
+
+@query(f"""
+SELECT source, CAST(20000 AS BIGINT) AS target, CAST(greatest(0, 20000 - sum({S.word_count('text')})) AS BIGINT) AS remaining, sum({S.word_count('text')}) >= 20000 AS complete
+FROM documents GROUP BY source""")
+def source_budget(spark, d):
+    done = documents(spark, d).groupBy("source").agg(F.sum(T.word_count("text")).alias("tokens"))
+    return select.remaining(done.select("source", F.lit(20_000).cast("bigint").alias("target")), done)
+
+
+_CAPS = [(20, 50, None, 0.25), (20, 50, 2000, 0.45), (20, 100, 1000, 0.75), (20, 50, 1500, 1.0)]
+_CAP_CHARS = 80_000
+
+
+def _caps_sql() -> str:
+    parts, carried = [], ["SELECT 0 AS n"]
+    for k, (rows, least, keep, share) in enumerate(_CAPS):
+        piece = "text" if keep is None else f"substr(text, 1, {keep})"
+        before = " UNION ALL ".join(f"SELECT coalesce(sum(length(piece)), 0) AS n FROM c{j}" for j in range(k)) or carried[0]
+        parts.append(f"""r{k} AS (SELECT doc_id, {k} AS source_rank, {piece} AS piece, CAST(coalesce(sum(length({piece})) OVER w, 0) AS BIGINT) AS chars_before, count(*) OVER w AS rows_before
+  FROM documents WHERE source = 'src{k}' AND length(text) >= {least} WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c{k} AS (SELECT * FROM r{k} WHERE rows_before = 0 OR (rows_before < {rows} AND chars_before + (SELECT sum(n) FROM ({before})) < {_CAP_CHARS} * {share}))""")
+    union = " UNION ALL ".join(f"SELECT doc_id, source_rank, CAST(length(piece) AS INTEGER) AS n_chars, chars_before FROM c{k}" for k in range(len(_CAPS)))
+    return f"WITH {', '.join(parts)} {union}"
+
+
+@query(_caps_sql())
+def corpus_caps(spark, d):
+    out = select.capped_corpus(sequenced(documents(spark, d)), _CAPS, _CAP_CHARS)
+    return out.select("doc_id", "source_rank", F.length("piece").alias("n_chars"), "chars_before")
+
+
+@query(f"""
+WITH {_ORDERED}, totals AS (SELECT source, sum(n_tokens) AS n, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS source_rank FROM scored GROUP BY ALL),
+firsts AS (SELECT source, coalesce(sum(ceil(n / {CHUNK})) OVER (ORDER BY source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first, n FROM totals),
+chunks AS (SELECT first, n, unnest(range(0, CAST(ceil(n / {CHUNK}) AS BIGINT))) AS k FROM firsts)
+SELECT CAST(first + k AS BIGINT) AS chunk_id, CAST(least({CHUNK}, n - k * {CHUNK}) AS BIGINT) AS n_tokens, CAST(first + k AS BIGINT) // {K.SHARD_CHUNKS} AS shard FROM chunks""")
+def chunk_pack_stats(spark, d):
+    return _chunks(spark, d).select("chunk_id", F.size("tokens").cast("bigint").alias("n_tokens"), pack.shard().alias("shard"))
+
+
+def _chunks(spark, d) -> DataFrame:
+    """Words as tokens: a word's number is its hash."""
+    texts = documents(spark, d).select(F.col("doc_id").alias("__d"), F.transform(T.words("text"), lambda w: F.pmod(F.crc32(w), F.lit(1 << 16)).cast("int")).alias("tokens"))
+    rows = _ordered(spark, d).join(texts, F.col("doc_id") == F.col("__d"))
+    return pack.assembled(pack.chunk_parts(rows, CHUNK))
+
+
+@query(f"""
+WITH {_ORDERED}, totals AS (SELECT source, sum(n_tokens) AS n FROM scored GROUP BY ALL), c AS (SELECT CAST(sum(ceil(n / {CHUNK})) AS BIGINT) AS n FROM totals)
+SELECT CAST(id AS BIGINT) AS chunk_id, id >= n - 2 AS validation FROM (SELECT n, unnest(range(0, n)) AS id FROM c)""")
+def train_val_split(spark, d):
+    return pack.split_validation(_chunks(spark, d).select("chunk_id"))
+
+
+@query()
+def windows(spark, d):
+    made = dedup.cut(_chunks(spark, d))
+    draws = pack.draw_windows(made.select("chunk_id", F.size("tokens").alias("n_tokens")), 256, WINDOW, seed=11)
+    return pack.windows(made, draws, WINDOW)
+
+
+def _word_model(spark, d) -> bytes:
+    """A small model of a bounded sample of the first rows of each source."""
+    caps = [(50, 50, 2000, 1.0)] * 20
+    return tokens.train(select.capped_corpus(sequenced(documents(spark, d)), caps, 4_000_000), "piece", vocab=2000)
+
+
+@query()
+def tokenize_counts(spark, d):
+    model = _word_model(spark, d)
+    coded = tokens.safe_decode(tokens.encode(documents(spark, d).select("doc_id", "text"), model), model)
+    return coded.select("doc_id", F.size("tokens").alias("n_tokens"), F.length("decoded").alias("n_chars"))
+
+
+# -- runs -------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH p(name, layers, hidden, heads, kv_heads, vocab) AS (VALUES "
+    + ", ".join(f"('{n}', {', '.join(f'{x}::BIGINT' for x in rest)})" for n, *rest in K.PRESETS)
+    + """), i AS (SELECT *, (CAST(floor(hidden * 8 / 3) AS BIGINT) + 255) // 256 * 256 AS intermediate FROM p)
+SELECT *, CAST(vocab * hidden + layers * (2 * hidden + hidden * heads * (hidden // heads) + 2 * hidden * kv_heads * (hidden // heads) + hidden * hidden + 3 * hidden * intermediate) + hidden AS BIGINT) AS parameters FROM i"""
+)
+def presets(spark, d):
+    return runs.presets(spark)
+
+
+@query("""SELECT step, round(CASE WHEN step < 200 THEN 3e-4 * (step + 1) / 200.0 ELSE 1e-5 + (3e-4 - 1e-5) * 0.5 * (1 + cos(pi() * ((step - 200) / 1800.0))) END, 12) AS rate
+FROM (SELECT unnest(range(0, 2000)) AS step)""")
+def lr_schedule(spark, d):
+    return runs.learning_rates(spark, 3e-4, 1e-5, 200, 2000).select("step", F.round("rate", 12).alias("rate"))
+
+
+@query("""WITH l AS (SELECT 'step_' || lpad(CAST(event_id AS VARCHAR), 7, '0') || CASE WHEN event_id % 7 = 0 THEN '_final' ELSE '' END AS name, value AS mtime FROM events)
+SELECT name, mtime FROM (SELECT *, row_number() OVER (ORDER BY mtime DESC, name DESC) AS r FROM l WHERE NOT contains(name, '_final')) WHERE r > 2""")
+def checkpoint_retention(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    name = F.concat(F.lit("step_"), F.lpad(F.col("event_id").cast("string"), 7, "0"), F.when(F.col("event_id") % 7 == 0, "_final").otherwise(""))
+    return runs.expired(events.select(name.alias("name"), F.col("value").alias("mtime")))
+
+
+# -- decoding: a vector's components stand for the logits of a step ---------------------------------------------------
+
+
+def _logits(spark, d) -> DataFrame:
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet")
+    return vectors.select(F.col("vec_id").alias("step"), F.posexplode("embedding").alias("token_id", "x")).select("step", "token_id", F.col("x").cast("double").alias("logit"))
+
+
+_LOGITS = "l AS (SELECT vec_id AS step, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS token_id, CAST(unnest(embedding) AS DOUBLE) AS logit FROM embeddings)"
+
+
+@query(f"WITH {_LOGITS} SELECT step, token_id, round(logit / 0.9, 12) AS logit FROM l QUALIFY rank() OVER (PARTITION BY step ORDER BY logit / 0.9 DESC) <= 10")
+def top_k_logits(spark, d):
+    return decoding.top_k(decoding.scaled(_logits(spark, d), 0.9), 10).withColumn("logit", F.round("logit", 12))
+
+
+def _history(spark, d) -> DataFrame:
+    """Tokens that a step has behind it: numbers made of its own."""
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("step"), F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: ((F.col("vec_id") * 7 + k * k) % 11).cast("int")).alias("tokens"))
+
+
+_HISTORY = "h AS (SELECT vec_id AS step, list_transform(range(0, 20), lambda k: CAST((vec_id * 7 + k * k) % 11 AS INTEGER)) AS tokens FROM embeddings)"
+
+
+@query(f"""WITH {_LOGITS}, {_HISTORY}, c AS (SELECT step, token_id, count(*) AS n FROM (SELECT step, unnest(tokens) AS token_id FROM h) GROUP BY ALL)
+SELECT step, token_id, round(CASE WHEN logit > 0 THEN logit / pow(1.6, coalesce(n, 0)) ELSE logit * pow(1.6, coalesce(n, 0)) END, 9) AS logit FROM l LEFT JOIN c USING (step, token_id)""")
+def repetition_penalty(spark, d):
+    history = _history(spark, d).select("step", F.explode("tokens").alias("token_id"))
+    return decoding.penalised(_logits(spark, d), history, 1.6).select("step", "token_id", F.round("logit", 9).alias("logit"))
+
+
+@query(f"""WITH {_HISTORY} SELECT DISTINCT step, tokens[i + 1] AS token_id FROM (SELECT *, unnest(range(1, len(tokens))) AS i FROM h) WHERE tokens[i] = tokens[len(tokens)]""")
+def banned_ngrams(spark, d):
+    return decoding.banned_tokens(_history(spark, d), 2)
+
+
+@query(f"WITH {_LOGITS} SELECT step, token_id, round(exp(logit - max(logit) OVER (PARTITION BY step)) / sum(exp(logit - m)) OVER (PARTITION BY step), 9) AS probability FROM (SELECT *, max(logit) OVER (PARTITION BY step) AS m FROM l)")
+def softmax(spark, d):
+    return decoding.probabilities(_logits(spark, d)).select("step", "token_id", F.round("probability", 9).alias("probability"))
+
+
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest({S.words('text')}) AS word FROM documents) GROUP BY ALL")
+def token_frequency(spark, d):
+    return documents(spark, d).select(F.explode(T.words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT source, count(*) AS n, CAST(sum({S.word_count('text')}) AS BIGINT) AS n_tokens FROM documents GROUP BY ALL")
+def source_totals(spark, d):
+    return documents(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.sum(T.word_count("text")).alias("n_tokens"))
