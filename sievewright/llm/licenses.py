@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from sievewright.llm._batches import let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words, character by character: a class of single characters is a table look-up, one of ranges is not.
+_APART = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+OTHER, WORD = f"[{_APART}]+", f"[^{_APART}]+"
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 BASE_SCORE = 0.5
 
@@ -53,9 +54,9 @@ CREATIVE_NAMES = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commerc
 CREATIVE_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 #: label: (pattern, keyword, score) of licences without versions and of their well-known sentences.
 PLAIN = {
-    "mit": (("(?:the )?(?:mit|expat|x11) licen[sc]e", "licen", 0.9), ("permission is hereby granted free of charge to any person obtaining a copy", "hereby granted", 0.95), ("(?:under|under the terms of) (?:the )?mit", "mit", 0.8)),
-    "bsd": (("(?:new |modified |simplified |revised )?bsd(?: style)? licen[sc]e", "bsd", 0.9), ("redistribution and use in source and binary forms", "redistribution and use", 0.95), ("neither the name of .{1,80}? nor the names of its contributors", "neither the name", 0.9)),
-    "isc": (("isc licen[sc]e", "isc", 0.9), ("permission to use copy modify and (?:or )?distribute this software for any purpose", "permission to use", 0.9)),
+    "mit": (("(?:the )?(?:mit|expat|x11) licen[sc]e", "licen", 0.9), ("permission is hereby granted free of charge to any person obtaining a copy", "hereby granted", 0.95), ("under mit", "under mit", 0.8), ("under the mit", "under the mit", 0.8), ("under the terms of (?:the )?mit", "under the terms of", 0.8)),
+    "bsd": (("(?:new |modified |simplified |revised )?bsd(?: style)? licen[sc]e", " bsd", 0.9), ("redistribution and use in source and binary forms", "redistribution and use", 0.95), ("neither the name of .{1,80}? nor the names of its contributors", "neither the name", 0.9)),
+    "isc": (("isc licen[sc]e", " isc ", 0.9), ("permission to use copy modify and (?:or )?distribute this software for any purpose", "permission to use", 0.9)),
     "zlib": (("zlib(?: libpng)? licen[sc]e", "zlib", 0.9), ("this software is provided as is without any express or implied warranty in no event will the authors", "in no event", 0.8)),
     "unlicense": (("(?:the )?unlicen[sc]e", "unlicen", 0.9), ("this is free and unencumbered software released into the public domain", "unencumbered", 0.95)),
     "wtfpl": (("wtfpl", "wtfpl", 0.9), ("do what the fuck you want to public license", "public license", 0.95)),
@@ -66,8 +67,8 @@ PLAIN = {
     "reserved": (("all rights reserved", "rights reserved", 0.5), ("(?:some|no) rights reserved", "rights reserved", 0.5)),
     "licensed": (("licen[sc]ed under (?:the )?[a-z0-9]+", "licen", 0.3), ("(?:released|distributed|published|available) under (?:the )?(?:terms of (?:the )?)?[a-z0-9]+ licen[sc]e", "licen", 0.3), ("see (?:the )?licen[sc]e(?: file| txt| md)?", "licen", 0.2)),
 }
-#: A text without any of these, lower-cased, has no match of a rule or base phrase.
-STEMS = ("licen", "copyright", "©", "rights", "public", "cc", "creative", "permi", "redistrib", "neither", "spdx", "mit", "bsd", "isc", "zlib", "wtfpl", "gpl", "propriet", "unauthori", "reproduc", "without", "software", "unencumb", "apache", "asl", "mpl", "epl", "cddl", "eupl", "osl", "afl", "artistic", "ofl", "psf", "php", "cpl", "cecill", "gfdl", "bsl", "affero", "academic", "european", "common")
+#: A text that holds none of these, or all parts of none, lower-cased, has no match of a rule or base phrase.
+STEMS = ("licen", "copyright", "©", "rights", "public", "cc+by", "cc0", "creative", "permi", "redistrib", "neither", "spdx", "under+mit", "bsd", "isc", "zlib", "wtfpl", "gpl", "propriet", "unauthori", "reproduc", "distributed+without", "unencumb", "apache", "asl", "mpl", "epl", "cddl", "eupl", "osl", "afl", "artistic", "ofl", "psf", "php", "cpl", "cecill", "gfdl", "bsl", "affero", "academic free", "european union", "common", "attribution", "as+is+event")
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
@@ -76,10 +77,11 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     licence = "(?: licen[sc]e)?"
     for label, (names, versions, keys) in VERSIONED.items():
         for name, key in zip(names, keys, strict=True):
+            key = f" {key} " if len(key) < 6 else key
             for v in versions:
                 tag = f"{label}-{v.replace(' ', '.')}"
                 out.append((f"{tag}-or-later", f"{name}{licence} (?:version |v ?)?{v}(?: of the licen[sc]e)? or (?:at your option )?(?:any )?later", key, 90, 1.0))
-                out.append((f"{tag}", f"spdx licen[sc]e identifier {label} {v}(?: only)?", f"identifier {label} {v}", 95, 1.0))
+                out.append((f"{tag}", f"spdx licen[sc]e identifier {label} {v}(?: only)?", "spdx licen", 95, 1.0))
                 out.append((tag, f"{name}{licence} (?:version |v ?)?{v}", key, 80, 0.95))
             out.append((label, f"{name} licen[sc]e", key, 60, 0.85))
             if len(name) < 6:
@@ -97,8 +99,10 @@ def rules() -> list[tuple[str, str, str, int, float]]:
 
 
 def _rules() -> Column:
+    """array<struct<key, rules>>: the rules by keyword, so each keyword is looked for once."""
     # A match starts behind one blank and ends before another; look-around keeps neighbours apart.
-    return F.array(*[F.struct(F.lit(a).alias("label"), F.lit(f"(?<= )(?:{p})(?= )").alias("pattern"), F.lit(k).alias("key"), F.lit(r).alias("rank"), F.lit(s).alias("score")) for a, p, k, r, s in rules()])
+    own = lambda key: [F.struct(F.lit(a).alias("label"), F.lit(f"(?<= )(?:{p})(?= )").alias("pattern"), F.lit(r).alias("rank"), F.lit(s).alias("score")) for a, p, k, r, s in rules() if k == key]
+    return F.array(*[F.struct(F.lit(key).alias("key"), F.array(*own(key)).alias("rules")) for key in dict.fromkeys(r[2] for r in rules())])
 
 
 def _count_words(text: Column) -> Column:
@@ -132,14 +136,15 @@ def _phrase(words: Column, phrase: str) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections of each row."""
     text = F.coalesce("text", F.lit(""))
-    any_stem = lambda t: reduce(Column.__or__, [F.contains(t, F.lit(s)) for s in STEMS])
+    every = lambda t, parts: reduce(Column.__and__, [F.contains(t, F.lit(p)) for p in parts.split("+")])
+    any_stem = lambda t: reduce(Column.__or__, [every(t, s) for s in STEMS])
     line = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate(text, UPPER, LOWER), OTHER, " ")), F.lit(" "))
     rows = docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("n_words"), F.when(let(F.lower(text), any_stem), line).alias("line"))
 
     def look(line: Column) -> Column:
         words = F.filter(F.split(line, " "), lambda w: w != "")
         base = let(words, lambda w: F.array(*[F.struct(F.lit(label).alias("label"), F.when(F.contains(line, F.lit(f" {p} ")), _phrase(w, p)).otherwise(F.array().cast("array<int>")).alias("at")) for p, label in BASE]))
-        tried = F.filter(_rules(), lambda r: F.contains(line, r["key"]))
+        tried = F.flatten(F.transform(F.filter(_rules(), lambda g: F.contains(line, g["key"])), lambda g: g["rules"]))
         spans = F.flatten(F.transform(tried, lambda r: F.transform(_spans(line, r["pattern"]), lambda s: F.struct(r["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"), r["rank"].alias("rank"), r["score"].alias("score")))))
         inside = lambda s, t: (t["start"] <= s["start"]) & (s["end"] <= t["end"]) & ((t["rank"] > s["rank"]) | ((t["rank"] == s["rank"]) & (t["end"] - t["start"] > s["end"] - s["start"])))
         kept = let(F.array_distinct(spans), lambda all_: F.filter(all_, lambda s: ~F.exists(all_, lambda t: inside(s, t))))
