@@ -33,6 +33,8 @@ BUCKETS, DIM, NONZERO = 8192, 32, 4
 #: Labelled documents that the network is fitted to, at most.
 SAMPLE = 20_000
 HIDDEN, ROUNDS, SEED = 32, 400, 7
+#: Text that a worker looks at once; its arrays take some 40 bytes for each byte of it.
+SLICE = 1 << 20
 #: Words of this relative frequency weigh half.
 RARE = 1e-3
 #: Buckets of shapes: capitals, repeated word, repeated pair, glued signs, long run of signs.
@@ -165,9 +167,9 @@ def fit(x: np.ndarray, y: np.ndarray, tune: np.ndarray) -> Network:
     share = float(y.mean()) if len(y) else 0.5
     prior = float(np.log(share / (1 - share))) if 0 < share < 1 else (0.0 if not len(y) else 40.0 * (2 * share - 1))
     net = Network(x.mean(axis=0) if len(x) else np.zeros(d), (x.std(axis=0) if len(x) else np.ones(d)) + 1e-6, np.zeros((d, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), prior)
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return net
-    learn = ~tune if 0 < y[~tune].mean() < 1 else np.ones(len(y), bool)
+    learn = ~tune if 0 < y[~tune].sum() < (~tune).sum() else np.ones(len(y), bool)
     z, t = (x[learn] - net.mean) / net.scale, y[learn].astype(np.float64)
     net.w1, net.w2 = rng.normal(0, d**-0.5, (d, HIDDEN)), rng.normal(0, HIDDEN**-0.5, HIDDEN)
     values = [net.w1, net.b1, net.w2, np.array([net.b2])]
@@ -205,7 +207,7 @@ def learn_words(docs: DataFrame) -> Words:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts = np.zeros(BUCKETS * DIM), np.zeros(BUCKETS)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 doc, bucket, _ = word_stream(part.column("text"))
                 if len(doc):
                     context_sums(doc, bucket, sums, counts)
@@ -228,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Wor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 x = shared.value.features(part.column("text"))
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "y": part.column("y"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
@@ -247,7 +249,7 @@ def score(docs: DataFrame, model: tuple[Words, Network]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, net = shared.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 p = net.probabilities(words.features(part.column("text")))
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
 
@@ -262,7 +264,7 @@ def keep_good(docs: DataFrame, model: tuple[Words, Network], least: float = 0.5)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, net = shared.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 yield part.filter(pa.array(net.probabilities(words.features(part.column("text"))) >= least))
 
     return docs.mapInArrow(run, docs.schema)
