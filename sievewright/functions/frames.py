@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A table of fewer bytes may be one row group, which one task reads whole.
+SMALL_BYTES = 16 << 20
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the folder; a small one is dealt out to all cores, a larger one stays in the splits of its scan."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < SMALL_BYTES
+    return df.repartition(spark.sparkContext.defaultParallelism) if small else df
+
+
 def running_sum(df: DataFrame, name: str, value: Column, group: list[str], bucket: Column, order: list) -> DataFrame:
     """Adds the sum of value over the rows of the group before each row (exclusive).
 
@@ -28,7 +39,7 @@ def running_sum(df: DataFrame, name: str, value: Column, group: list[str], bucke
     starts = sums.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], F.col("__bucket").alias("__b"), F.coalesce(F.sum("__inside").over(ahead), F.lit(0)).alias("__start"))
     inner = Window.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = keyed.withColumn("__before", F.coalesce(F.sum("__value").over(inner), F.lit(0)))
-    same = F.col("__bucket").eqNullSafe(F.col("__b"))
+    same = F.col("__bucket").eqNullSafe(F.col("__b"))  # by itself where there is no group
     for k, g in enumerate(group):
         same &= F.col(g).eqNullSafe(F.col(f"__g{k}"))
     out = rows.join(starts, same).withColumn(name, F.col("__start") + F.col("__before"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievewright.functions import constants as K
 from sievewright.functions import text as T
 from sievewright.functions.constants import Thresholds
+from sievewright.functions.frames import read_table
 from sievewright.operators import decoding, dedup, gates, pack, select, tokens
 from sievewright.plans import runs
 from sievewright.plans import sql as S
@@ -30,11 +31,11 @@ def query(oracle: str | None = None):
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return read_table(spark, d, "documents")
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/pages.parquet")
+    return read_table(spark, d, "pages")
 
 
 def sequenced(docs: DataFrame) -> DataFrame:

@@ -19,6 +19,12 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return found.select("path", number.alias("chunk_id"), F.floor(F.col("length") / 2).cast("bigint").alias("n_tokens"))
 
 
+def resume_point(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Tokens in the chunk files that are there, and the number of the next one."""
+    row = files(spark, path).agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    return row[0], row[1]
+
+
 def unpacked(content) -> Column:
     """Tokens of little-endian 16-bit contents, by way of hexadecimal digits."""
     digits = F.hex(content)

@@ -243,3 +243,30 @@ def test_stream(spark, tmp_path):
     gone = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out" / "rejected"))
     assert sorted(r.seq for r in kept.collect()) == [0, 1, 4]
     assert {(r.seq, r.reason) for r in gone.collect()} == {(2, "panjang_invalid"), (3, "exact_duplicate")}
+
+
+def test_command_line(spark, model, tmp_path, capsys):
+    from sievewright.__main__ import main
+
+    for name, rows in (("wikipedia_en", [prose(i) for i in range(5)]), ("wikipedia_id", [prose(2), prose(7), None])):
+        spark.createDataFrame([(t,) for t in rows], "text string").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    (tmp_path / "m.model").write_bytes(model)
+    flags = ["--tokenizer", str(tmp_path / "m.model"), "--min-words", "5", "--chunk-size", "700"]
+    main(["build", str(tmp_path / "in"), str(tmp_path / "out"), *flags, "--sources", "wikipedia_id", "wikipedia_en"])
+    assert "complete: wikipedia_id, wikipedia_en; failed: none" in capsys.readouterr().out
+    n, following = chunks.resume_point(spark, str(tmp_path / "out"))
+    assert n > 0 and following == chunks.files(spark, str(tmp_path / "out")).count()
+    main(["filter", str(tmp_path / "in" / "wikipedia_en"), str(tmp_path / "one"), *flags, "--target-tokens", "1"])
+    assert "complete: source" in capsys.readouterr().out
+    main(["chunks", str(tmp_path / "one")])
+    assert "true" in capsys.readouterr().out
+
+
+def test_numbered_rows(spark, tmp_path):
+    from sievewright.sources import readers
+
+    spark.createDataFrame([(i, f"t{i}") for i in range(40)], "n int, content string").repartition(3).write.parquet(str(tmp_path / "p"))
+    got = readers.load(spark, str(tmp_path / "p"), "s", 2, "content").collect()
+    assert sorted(r.seq for r in got) == list(range(40)) and {r.source_rank for r in got} == {2}
+    assert [r.text for r in sorted(got, key=lambda r: r.seq)] == [r.content for r in spark.read.parquet(str(tmp_path / "p")).select("content", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").collect()]
+    assert {r.text for r in readers.load(spark, str(tmp_path / "p"), "s", 2, "n").collect()} == {None}
