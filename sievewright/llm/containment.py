@@ -91,8 +91,11 @@ def hexed(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def next_document(docs: DataFrame, carried: list[str], block: int = BLOCK) -> DataFrame:
-    """The rows, each with next: a struct of the carried columns of the next row by doc_id (then text)."""
+def next_document(docs: DataFrame, carried: list[tuple[str, Column]], block: int = BLOCK) -> DataFrame:
+    """The rows, each with the carried columns (name, value) and those of the next row by doc_id (then text) as next_name.
+
+    Values are computed behind the exchange, once a row, and windows that follow one another share it.
+    """
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     low, high = low or 0, high or 0
     width = max(1, (high - low + 1) * block // max(n, 1))
@@ -110,18 +113,20 @@ def next_document(docs: DataFrame, carried: list[str], block: int = BLOCK) -> Da
     heads = heads.drop("__b", "__id", "__key").withColumn("__block", F.col("__to")).drop("__to").dropDuplicates(["__block"])
     both = ranged.withColumn("__lent", F.lit(False)).unionByName(heads.withColumn("__lent", F.lit(True)))
     order = Window.partitionBy("__block").orderBy("__lent", F.col("doc_id").asc_nulls_first(), "text_key")
-    return both.withColumn("next", F.lead(F.struct(*carried)).over(order)).filter(~F.col("__lent")).drop("__lent", "__block")
+    for name, value in carried:
+        both = both.withColumn(name, value).withColumn(f"next_{name}", F.lead(name).over(order))
+    return both.filter(~F.col("__lent")).drop("__lent", "__block")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, contained_edited."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
-    paired = next_document(rows.withColumn("own", sketch(F.col("text"))), ["text", "own"])
+    paired = next_document(rows, [("text", F.col("text")), ("own", sketch(F.col("text")))])
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next.text"), F.lit(1), quarter))
-    made = paired.select("doc_id", n.cast("bigint").alias("n_chars"), "own", F.col("next.own").alias("after"), let(edited, lambda e: F.struct(F.sha2(F.encode(e, "UTF-8"), 256).alias("sha"), sketch(e).alias("s"))).alias("e"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
+    made = paired.select("doc_id", n.cast("bigint").alias("n_chars"), "own", F.col("next_own").alias("after"), let(edited, lambda e: F.struct(F.sha2(F.encode(e, "UTF-8"), 256).alias("sha"), sketch(e).alias("s"))).alias("e"))
     return made.select(
         "doc_id", "n_chars", F.col("e.sha").alias("edited_sha256"), hexed(F.col("own")).alias("fingerprint"), hexed(F.col("e.s")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("e.s")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"), containment(F.col("own"), F.col("e.s")).alias("contained_edited"),
