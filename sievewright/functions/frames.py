@@ -23,7 +23,7 @@ SMALL_BYTES = 16 << 20
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the folder; a small one is dealt out to all cores, a larger one stays in the splits of its scan."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < SMALL_BYTES
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
     return df.repartition(spark.sparkContext.defaultParallelism) if small else df
 
 

@@ -1,9 +1,9 @@
 """Exact and near duplicates; what was seen first stays.
 
 Near duplicates agree in at least NEAR_SLOTS of HASHES minimum hashes. With at most 4 of 32 slots different, one of
-five bands is equal as a whole, so an equi-join on bands finds every pair. A document is kept if no earlier kept
+five bands is equal as a whole, so buckets of equal bands hold every pair. A document is kept if no earlier kept
 document is near it; that isn't the first of a connected component: with A near B, B near C, A not near C, both A and C
-stay. Rounds settle it: a row without an earlier open neighbour stays, its later neighbours go.
+stay. Rounds settle it; see overtaken().
 """
 
 from __future__ import annotations
@@ -91,49 +91,65 @@ def near_pairs(signed: DataFrame, key: str = "doc_id", hashes: int = K.HASHES, l
     return pairs.join(one, "a").join(two, "b").withColumn("agree", agreement("s", "t")).filter(F.col("agree") >= least).select("a", "b", "agree")
 
 
-def greedy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, kept): an id stays unless a smaller id that stays is its neighbour; edges: (a, b) with a < b.
+def slots(signature) -> Column:
+    """A signature's hashes, 64 bits each: enough to tell whether slots are equal."""
+    return F.transform(signature, lambda h: F.xxhash64(h))
 
-    Ids without an edge never enter the rounds. Each round is cut by a reliable checkpoint.
+
+def _buckets(signed: DataFrame, hashes: int, least: int) -> DataFrame:
+    """(id, slots, bucket) a row for each band."""
+    each = F.array(*[F.xxhash64(F.lit(k), F.slice("slots", start + 1, n)) for k, (start, n) in enumerate(bands(hashes, least))])
+    return signed.select("id", "slots", F.explode(each).alias("bucket"))
+
+
+def near_to(stored: DataFrame, rows: DataFrame, hashes: int = K.HASHES, least: int = K.NEAR_SLOTS) -> DataFrame:
+    """Distinct ids of rows near a stored one; both: id, slots. Stored rows aren't near each other, so few share a bucket."""
+    a = _buckets(stored, hashes, least).select("bucket", F.col("slots").alias("s"))
+    b = _buckets(rows, hashes, least)
+    return b.join(a, "bucket").filter(agreement("slots", "s") >= least).select("id").distinct()
+
+
+def overtaken(signed: DataFrame, hashes: int = K.HASHES, least: int = K.NEAR_SLOTS) -> DataFrame:
+    """Ids (column id) that are near a smaller id that stays; signed: id, slots, ids distinct.
+
+    In each round the smallest open id of a bucket leads it. An id that leads all its buckets has no open candidate
+    before it, so it stays, and the rows of its buckets that are near it go. A round compares a row with at most one
+    leader a band, so a bucket of any size costs its size and never its pairs. Rows alone in all buckets take no part.
     """
-    open_ = cut(edges.select("a", "b").distinct())
-    settled = None
+    rows = cut(signed.select("id", "slots"))
+    every = _buckets(rows, hashes, least).select("id", "bucket")
+    open_ = cut(every.join(every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "bucket").select("id", "bucket"))
+    gone = rows.select("id").limit(0)
     while not open_.isEmpty():
-        waiting = open_.select(F.col("b").alias("id")).distinct()
-        keeps = open_.select(F.col("a").alias("id")).distinct().join(waiting, "id", "left_anti")
-        goes = open_.join(keeps.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        done = keeps.withColumn("kept", F.lit(True)).union(goes.withColumn("kept", F.lit(False)))
-        # Edges of rows that go no longer count, nor edges from rows that stay; a row left without edges stays by default.
-        open_ = cut(open_.join(goes.withColumnRenamed("id", "a"), "a", "left_anti").join(goes.withColumnRenamed("id", "b"), "b", "left_anti"))
-        settled = cut(done if settled is None else settled.union(done))
-    if settled is None:
-        return nodes.select("id", F.lit(True).alias("kept"))
-    return nodes.join(settled, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
+        led = open_.join(open_.groupBy("bucket").agg(F.min("id").alias("leader")), "bucket")
+        stays = cut(led.groupBy("id").agg(F.min("leader").alias("m")).filter("m = id").select("id"))
+        met = led.filter("id <> leader").select("id", "leader").distinct().join(stays.withColumnRenamed("id", "leader"), "leader", "left_semi")
+        met = met.join(rows, "id").join(rows.select(F.col("id").alias("leader"), F.col("slots").alias("s")), "leader")
+        goes = cut(met.filter(agreement("slots", "s") >= least).select("id").distinct())
+        open_ = cut(open_.join(stays.union(goes), "id", "left_anti"))
+        gone = cut(gone.union(goes))
+    return gone
 
 
 def near_duplicates(docs: DataFrame, text: str, key: str = "doc_id", fast: bool = False, most: int | None = None) -> DataFrame:
     """(key, near_duplicate) of rows with distinct keys in order of arrival.
 
     Rows with one signature behave alike, so only the earliest of each meets others. most: only so many kept rows, the
-    first ones, are compared with; later rows are held against those alone and none of them is kept for comparison.
+    first ones, are compared with; later rows are held against those alone.
     """
-    signed = cut(docs.select(key, signature(text, fast=fast).alias("signature")))
-    firsts = cut(signed.groupBy("signature").agg(F.min(key).alias("first")))
-    pairs = cut(near_pairs(firsts.select(F.col("first").alias(key), "signature"), key))
-    kept = greedy(firsts.select(F.col("first").alias("id")), pairs)
-    same = signed.join(firsts, "signature").select(key, "first")
-    if most is None:
-        out = same.join(kept, same["first"] == kept["id"])
-        return out.select(key, (~F.col("kept") | (F.col(key) != F.col("first"))).alias("near_duplicate"))
-    stored = kept.filter("kept").select("id").orderBy("id").limit(most)
-    n, last = stored.agg(F.count("*"), F.max("id")).first()
-    if n < most:
-        return near_duplicates(docs, text, key, fast)
-    late = F.col("first") > last
-    reached = pairs.join(F.broadcast(stored) if most <= 1 << 20 else stored, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct().withColumn("hit", F.lit(True))
-    out = same.join(kept, same["first"] == kept["id"], "left").drop("id").join(reached, same["first"] == reached["id"], "left")
-    early = ~F.col("kept") | (F.col(key) != F.col("first"))
-    return out.select(key, F.when(late, F.coalesce("hit", F.lit(False))).otherwise(early).alias("near_duplicate"))
+    signed = cut(docs.select(F.col(key).alias("id"), slots(signature(text, fast=fast)).alias("slots")))
+    firsts = cut(signed.groupBy("slots").agg(F.min("id").alias("id")))
+    gone = overtaken(firsts)
+    if most is not None:
+        stored = cut(firsts.join(gone, "id", "left_anti").orderBy("id").limit(most))
+        n, last = stored.agg(F.count("*"), F.max("id")).first()
+        if n == most:
+            late = firsts.filter(F.col("id") > last)
+            gone = gone.filter(F.col("id") < last).union(near_to(stored, late))
+    lost = gone.select(F.col("id").alias("first"), F.lit(True).alias("lost"))
+    same = signed.join(firsts.withColumnRenamed("id", "first"), "slots").join(lost, "first", "left")
+    late_copy = F.lit(True) if most is None else F.lit(True) if n < most else (F.col("first") <= last)
+    return same.select(F.col("id").alias(key), (F.coalesce("lost", F.lit(False)) | ((F.col("id") != F.col("first")) & late_copy)).alias("near_duplicate"))
 
 
 def deduplicate(docs: DataFrame, text: str, key: str = "doc_id", fast: bool = False, most: int | None = None) -> DataFrame:

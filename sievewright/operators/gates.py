@@ -67,7 +67,12 @@ def reason(limits: Thresholds = Thresholds()) -> Column:
 
 
 def with_reason(docs: DataFrame, text: str = "text", limits: Thresholds = Thresholds()) -> DataFrame:
-    return with_measures(docs, text, limits).withColumn("reason", reason(limits))
+    """Adds the measures and reason.
+
+    reason comes out of a generator of one row: a filter on it would otherwise be pushed below the projections, with
+    every measure written out in it once for each use.
+    """
+    return with_measures(docs.drop("reason"), text, limits).select("*", F.explode(F.array(reason(limits))).alias("reason"))
 
 
 def histogram(judged: DataFrame, top: int | None = None) -> DataFrame:

@@ -44,16 +44,12 @@ def new_documents(passed: DataFrame, exact: DataFrame, signatures: DataFrame, te
     judged = dedup.exact_duplicates(passed, text, [seq])
     known = exact.select(F.col("exact_hash").alias("__h")).distinct().withColumn("__known", F.lit(True))
     judged = cut(judged.join(known, F.col("exact_hash") == F.col("__h"), "left").withColumn("duplicate", F.col("duplicate") | F.col("__known").isNotNull()).drop("__h", "__known"))
-    fresh = cut(judged.filter(~F.col("duplicate")).select((F.col(seq) + base).alias("id"), dedup.signature(text).alias("signature")))
-    firsts = cut(fresh.groupBy("signature").agg(F.min("id").alias("id")))
-    pairs = cut(dedup.near_pairs(signatures.select("id", "signature").unionByName(firsts.select("id", "signature")), "id"))
-    stored = pairs.filter((F.col("a") < base) & (F.col("b") >= base)).select(F.col("b").alias("id")).distinct()
-    inner = pairs.filter(F.col("a") >= base)
-    for end in ("a", "b"):
-        inner = inner.join(stored.withColumnRenamed("id", end), end, "left_anti")
-    kept = dedup.greedy(firsts.select("id"), inner).join(stored.withColumn("__hit", F.lit(True)), "id", "left").select("id", (F.col("kept") & F.col("__hit").isNull()).alias("kept"))
-    near = fresh.join(firsts.withColumnRenamed("id", "first"), "signature").join(kept.withColumnRenamed("id", "k"), F.col("first") == F.col("k"))
-    near = near.select(F.col("id").alias("__id"), "signature", (~F.col("kept") | (F.col("id") != F.col("first"))).alias("__near"))
+    fresh = cut(judged.filter(~F.col("duplicate")).select((F.col(seq) + base).alias("id"), dedup.signature(text).alias("signature")).withColumn("slots", dedup.slots("signature")))
+    firsts = cut(fresh.groupBy("slots").agg(F.min("id").alias("id")))
+    stored = cut(dedup.near_to(signatures.select("id", dedup.slots("signature").alias("slots")), firsts))
+    gone = stored.union(dedup.overtaken(firsts.join(stored, "id", "left_anti"))).select(F.col("id").alias("first"), F.lit(True).alias("__lost"))
+    near = fresh.join(firsts.withColumnRenamed("id", "first"), "slots").join(gone, "first", "left")
+    near = near.select(F.col("id").alias("__id"), "signature", (F.coalesce("__lost", F.lit(False)) | (F.col("id") != F.col("first"))).alias("__near"))
     out = judged.join(near, judged[seq] + base == near["__id"], "left")
     why = F.when(F.col("duplicate"), "exact_duplicate").when(F.coalesce("__near", F.lit(False)), "near_duplicate")
     return out.withColumn("dup_reason", why).withColumn("id", F.col(seq) + base).drop("duplicate", "__near", "__id")

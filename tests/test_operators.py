@@ -1,6 +1,5 @@
 """Gates, duplicates, budgets, chunks, tokens, decoding and state on literal rows."""
 
-import itertools
 import os
 import random
 
@@ -54,15 +53,24 @@ def test_reports(spark):
 
 def test_greedy_is_sequential(spark):
     random.seed(4)
-    for n in (3, 12, 25):
-        edges = [(a, b) for a, b in itertools.combinations(range(n), 2) if random.random() < 2.5 / n] if n > 3 else [(0, 1), (1, 2)]
+    for n in (1, 3, 40, 120):
+        sigs = [[random.random() for _ in range(32)] for _ in range(max(1, n // 8))]
+        rows = []
+        for _ in range(n):
+            s = list(random.choice(rows or sigs) if random.random() < 0.8 else random.choice(sigs))
+            for _ in range(random.randint(0, 4)):
+                s[random.randrange(32)] = random.random()
+            rows.append(s)
         kept = []
-        for b in range(n):
-            if not any((a, b) in edges for a in kept):
-                kept.append(b)
-        nodes = spark.range(n)
-        got = dedup.greedy(nodes, spark.createDataFrame(edges, "a bigint, b bigint"))
-        assert sorted(r.id for r in got.filter("kept").collect()) == kept
+        for k, s in enumerate(rows):
+            if not any(sum(x == y for x, y in zip(s, rows[j])) >= 28 for j in kept):
+                kept.append(k)
+        given = spark.createDataFrame([(k, [str(x) for x in s]) for k, s in enumerate(rows)], "id bigint, signature array<string>")
+        gone = {r.id for r in dedup.overtaken(given.select("id", dedup.slots("signature").alias("slots"))).collect()}
+        assert sorted(set(range(n)) - gone) == kept
+        ahead = given.filter(F.col("id").isin(kept[: len(kept) // 2])).select("id", dedup.slots("signature").alias("slots"))
+        near = {r.id for r in dedup.near_to(ahead, given.select("id", dedup.slots("signature").alias("slots"))).collect()}
+        assert near == {k for k, s in enumerate(rows) if any(sum(x == y for x, y in zip(s, rows[j])) >= 28 for j in kept[: len(kept) // 2])}
 
 
 def test_bands_miss_nothing():
