@@ -23,10 +23,11 @@ def exact_hash(text) -> Column:
 def exact_duplicates(docs: DataFrame, text: str, order: list[str]) -> DataFrame:
     """Adds exact_hash and duplicate: whether an earlier row has the same normalised text.
 
-    The earliest row of a hash is the minimum of a partial aggregation, so a text with many copies is no hot task.
+    The earliest row of a hash is the minimum of a partial aggregation, so a text with many copies is no hot task. The
+    hash comes out of a generator, so that no filter inferred from the join computes it once more.
     """
     place = F.struct(*order)
-    hashed = docs.withColumn("exact_hash", exact_hash(text))
+    hashed = docs.select("*", F.explode(F.array(exact_hash(text))).alias("exact_hash"))
     first = hashed.groupBy("exact_hash").agg(F.min(place).alias("__first"))
     first = first.withColumnRenamed("exact_hash", "__hash")
     return hashed.join(first, hashed["exact_hash"] == first["__hash"]).withColumn("duplicate", place != F.col("__first")).drop("__hash", "__first")

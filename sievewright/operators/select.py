@@ -21,7 +21,10 @@ def buffered(docs: DataFrame, size: int = K.BUFFER_DOCS, source: str = "source",
 
 
 def emitted(docs: DataFrame, score: str, tokens: str, size: int = K.BUFFER_DOCS, source: str = "source", seq: str = "seq") -> DataFrame:
-    """Adds buffer and before: tokens of the source's rows before each, a buffer after the other, by score inside one."""
+    """Adds buffer and before: tokens of the source's rows before each, a buffer after the other, by score inside one.
+
+    The rows are read several times: cut them first where they are dear.
+    """
     return running_sum(buffered(docs, size, source, seq), "before", F.col(tokens), [source], F.col("buffer"), [F.desc(score), seq])
 
 

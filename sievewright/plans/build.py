@@ -70,7 +70,7 @@ def select_source(docs: DataFrame, exact: DataFrame, signatures: DataFrame, targ
     if settings.redact:
         passed = passed.withColumn("clean_text", T.redact("clean_text"))
     marked = cut(new_documents(passed, exact, signatures))
-    kept = count(marked.filter(F.col("dup_reason").isNull()).withColumn("__all", F.lit(0)))
+    kept = cut(count(marked.filter(F.col("dup_reason").isNull()).withColumn("__all", F.lit(0))))
     ordered = cut(select.emitted(kept, "educational", "n_tokens", settings.buffer, "__all"))
     emitted = select.within_budget(ordered, F.lit(target))
     # The row that filled the buffer in which the target was crossed is the last one seen.

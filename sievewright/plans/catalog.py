@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievewright.functions import constants as K
 from sievewright.functions import text as T
 from sievewright.functions.constants import Thresholds
-from sievewright.functions.frames import read_table
+from sievewright.functions.frames import cut, read_table
 from sievewright.operators import decoding, dedup, gates, pack, select, tokens
 from sievewright.plans import runs
 from sievewright.plans import sql as S
@@ -167,7 +167,8 @@ WITH w AS (SELECT doc_id, unnest({S.words('lower(text)')}) AS w FROM documents),
      m AS (SELECT doc_id, max(n) AS most, sum(n) AS n FROM c GROUP BY ALL)
 SELECT doc_id, CAST(most AS DOUBLE) / n AS share FROM m WHERE n >= 10 AND most / n > 0.4""")
 def dominant_word(spark, d):
-    rows = documents(spark, d).select("doc_id", T.word_count("text").alias("n"), T.dominant_share(F.lower("text")).alias("share"))
+    low = documents(spark, d).select("doc_id", F.lower("text").alias("low"))
+    rows = low.select("doc_id", T.word_count("low").alias("n"), F.explode(F.array(T.dominant_share("low"))).alias("share"))
     return rows.filter("n >= 10 AND share > 0.4").select("doc_id", "share")
 
 
@@ -260,7 +261,7 @@ def minhash_signature(spark, d):
 
 @query(f"WITH {_SHINGLES}, {_NEAR} SELECT a, b, agree FROM pairs")
 def near_dup_pairs(spark, d):
-    signed = dedup.cut(documents(spark, d).select("doc_id", dedup.signature("text").alias("signature")))
+    signed = cut(documents(spark, d).select("doc_id", dedup.signature("text").alias("signature")))
     return dedup.near_pairs(signed.groupBy("signature").agg(F.min("doc_id").alias("doc_id")))
 
 
@@ -291,7 +292,7 @@ ordered AS (SELECT *, CAST(coalesce(sum(n_tokens) OVER (PARTITION BY source ORDE
 def _ordered(spark, d) -> DataFrame:
     docs = sequenced(documents(spark, d)).withColumn("n_tokens", T.word_count("text").cast("bigint"))
     scored = docs.select("doc_id", "seq", "source", "source_rank", "n_tokens", T.keyword_density(F.lower("text"), K.EDUCATIONAL, F.col("n_tokens")).alias("score"))
-    return select.emitted(scored, "score", "n_tokens", BUFFER)
+    return select.emitted(cut(scored), "score", "n_tokens", BUFFER)
 
 
 @query(f"WITH {_ORDERED} SELECT doc_id, source, buffer, score, before FROM ordered")
@@ -359,7 +360,7 @@ def train_val_split(spark, d):
 
 @query()
 def windows(spark, d):
-    made = dedup.cut(_chunks(spark, d))
+    made = cut(_chunks(spark, d))
     draws = pack.draw_windows(made.select("chunk_id", F.size("tokens").alias("n_tokens")), 256, WINDOW, seed=11)
     return pack.windows(made, draws, WINDOW)
 

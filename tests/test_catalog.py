@@ -54,3 +54,21 @@ def test_only_the_optional_subpackage_may_be_missing(tmp_path):
         pytest.skip("it is absent")
     broken.write_text("import a_module_that_is_nowhere\n")
     assert subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path / "r", capture_output=True).returncode != 0
+
+
+def test_cascade_as_a_plain_process_has_it(spark):
+    import plain
+    from sievewright.functions.constants import Thresholds
+    from sievewright.operators import dedup, gates
+
+    docs = catalog.documents(spark, SF)
+    got = {r.doc_id: r for r in gates.with_reason(gates.arrived(docs), "text", Thresholds(min_words=50)).collect()}
+    given = {r.doc_id: r.text.strip() for r in docs.collect()}
+    for k, text in given.items():
+        assert (got[k].reason, got[k].clean_text) == plain.verdict(text, 50)
+    for r in gates.with_reason(gates.arrived(catalog.pages(spark, SF), "html"), "html", Thresholds(min_words=50)).collect():
+        page = spark.read.parquet(f"{SF}/pages.parquet").filter(f"page_id = {r.page_id}").first().html.strip() if r.page_id < 5 else None
+        assert page is None or (r.reason, r.clean_text) == plain.verdict(page, 50)
+    passed = sorted(k for k in given if got[k].reason is None)[:60]
+    marks = {r.doc_id: r.dup_reason for r in dedup.deduplicate(docs.filter(docs.doc_id.isin(passed)).select("doc_id", "text"), "text").collect()}
+    assert [marks[k] for k in passed] == plain.duplicates([given[k] for k in passed])
