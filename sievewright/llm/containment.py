@@ -44,7 +44,7 @@ def sketch(text: Column, shingle: int = SHINGLE, limit: int = LIMIT, floor: int
 
     def kept(all_: Column) -> Column:
         low = F.array_distinct(F.filter(all_, lambda h: h < limit))
-        return let(low, lambda s: F.when((F.size(s) >= floor) | (F.size(s) == F.size(all_)), F.array_sort(s)).otherwise(F.slice(F.array_sort(F.array_distinct(all_)), 1, floor)))
+        return let(low, lambda s: F.when((F.size(s) >= floor) | (F.size(s) == F.size(all_)), F.sort_array(s)).otherwise(F.slice(F.sort_array(F.array_distinct(all_)), 1, floor)))
 
     trimmed = F.btrim(F.lower(text), F.lit(BLANKS))
     words = F.transform(F.split(trimmed, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
@@ -83,7 +83,7 @@ def containment(a: Column, b: Column, limit: int = LIMIT, floor: int = FLOOR) ->
 
 def merged(a: Column, b: Column, limit: int = LIMIT) -> Column:
     """Sketch of two documents' shingles together, without the floors of either."""
-    return F.array_sort(F.filter(F.array_union(a, b), lambda h: h < limit))
+    return F.sort_array(F.filter(F.array_union(a, b), lambda h: h < limit))
 
 
 def hexed(s: Column) -> Column:
