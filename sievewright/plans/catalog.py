@@ -10,8 +10,9 @@ from sievewright.functions import text as T
 from sievewright.functions.constants import Thresholds
 from sievewright.functions.frames import cut, read_table
 from sievewright.operators import decoding, dedup, gates, pack, select, tokens
-from sievewright.plans import runs
+from sievewright.plans import build, runs
 from sievewright.plans import sql as S
+from sievewright.sources import state
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +68,36 @@ def html_strip(spark, d):
     return pages(spark, d).select("page_id", T.clean_markup("html").alias("clean_text"))
 
 
+@query(f"SELECT page_id, {S.strip_blocks('html')} AS plain FROM pages")
+def block_strip(spark, d):
+    return pages(spark, d).select("page_id", T.strip_blocks("html").alias("plain"))
+
+
+@query(f"SELECT page_id, {S.replaced('html', S.TAG, ' ')} AS plain FROM pages")
+def tag_strip(spark, d):
+    return pages(spark, d).select("page_id", T.strip_tags("html").alias("plain"))
+
+
+@query(f"SELECT page_id, {S.strip_attributes('html')} AS plain FROM pages")
+def attribute_strip(spark, d):
+    return pages(spark, d).select("page_id", T.strip_attributes("html").alias("plain"))
+
+
+@query(f"SELECT page_id, {S.tidy('html')} AS tidy FROM pages")
+def whitespace_tidy(spark, d):
+    return pages(spark, d).select("page_id", T.tidy("html").alias("tidy"))
+
+
+@query(f"SELECT doc_id, {S.strip('text')} AS text FROM documents WHERE length({S.strip('text')}) > 0")
+def arrived_documents(spark, d):
+    return gates.arrived(documents(spark, d)).select("doc_id", "text")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {t}::BIGINT, '{f}', {k}::INTEGER)" for k, (n, t, f) in enumerate(K.SOURCE_CATALOG)) + ") v(source, target, text_field, source_rank)")
+def source_catalog(spark, d):
+    return state.catalog(spark)
+
+
 @query(f"SELECT page_id, {S.decode_entities('html')} AS decoded FROM pages")
 def entity_decode(spark, d):
     return pages(spark, d).select("page_id", T.decode_entities("html").alias("decoded"))
@@ -215,6 +246,17 @@ def reject_reasons(spark, d):
     return gates.histogram(gates.with_reason(gates.arrived(documents(spark, d))))
 
 
+@query(f"""WITH {S.measured('documents', 'doc_id', 'text')}, r AS (SELECT {S.reason(50)} AS reason FROM judged)
+SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL ORDER BY n DESC, reason LIMIT 3""")
+def top_reject_reasons(spark, d):
+    return gates.histogram(gates.with_reason(gates.arrived(documents(spark, d)), "text", SHORT), 3)
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) < 800 THEN CAST([] AS VARCHAR[]) ELSE list_filter(list_transform([0.15, 0.5, 0.85], lambda f: substr(text, CAST(floor(length(text) * CAST(f AS DOUBLE)) AS BIGINT) + 1, 2000)), lambda s: length(s) >= 200) END AS samples FROM documents""")
+def language_samples(spark, d):
+    return documents(spark, d).select("doc_id", T.language_samples("text").alias("samples"))
+
+
 @query(f"""WITH {S.measured('documents', 'doc_id', 'text')}, r AS (SELECT {S.reason(50)} AS reason FROM judged)
 SELECT (SELECT count(*) FROM documents) AS seen, count(*) FILTER (reason IS NULL) AS kept, count(reason) AS rejected,
        CAST(count(*) FILTER (reason IS NULL) AS DOUBLE) / (SELECT count(*) FROM documents) * 100 AS kept_percent FROM r""")
@@ -265,7 +307,7 @@ def near_dup_pairs(spark, d):
     return dedup.near_pairs(signed.groupBy("signature").agg(F.min("doc_id").alias("doc_id")))
 
 
-@query(f"""
+_GREEDY = f"""
 WITH RECURSIVE {_SHINGLES}, {_NEAR},
 exact AS (SELECT doc_id, row_number() OVER (PARTITION BY {S.normalise('text')} ORDER BY doc_id) AS n FROM documents),
 late AS (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS i FROM pairs GROUP BY b),
@@ -276,11 +318,32 @@ walk AS (
   FROM walk JOIN late ON late.i = walk.i + 1
 ), gone AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM walk ORDER BY i DESC LIMIT 1))
 SELECT doc_id, CASE WHEN n > 1 THEN 'exact_duplicate' WHEN signed.doc_id <> firsts.id OR firsts.id IN (SELECT id FROM gone) THEN 'near_duplicate' END AS dup_reason
-FROM signed JOIN firsts USING (signature) JOIN exact USING (doc_id)""")
+FROM signed JOIN firsts USING (signature) JOIN exact USING (doc_id)"""
+
+
+@query(_GREEDY)
 def near_dedup_greedy(spark, d):
     return dedup.deduplicate(documents(spark, d).select("doc_id", "text"), "text").select("doc_id", "dup_reason")
 
 
+@query(_GREEDY)
+def near_dedup_across_sources(spark, d):
+    """The same in two turns: what the first half leaves as state is what the second half is held against."""
+    docs = cut(documents(spark, d).select("doc_id", F.col("doc_id").alias("seq"), "text"))
+    middle = docs.agg((F.min("doc_id") + F.max("doc_id")) / 2).first()[0]
+    exact, signatures = spark.createDataFrame([], build.EXACT), spark.createDataFrame([], build.SIGNATURES)
+    first = cut(build.new_documents(docs.filter(F.col("doc_id") <= middle), exact, signatures, "text"))
+    kept = first.filter(F.col("dup_reason").isNull()).select("id", "signature")
+    second = build.new_documents(docs.filter(F.col("doc_id") > middle), first.select("exact_hash"), kept, "text")
+    return first.select("doc_id", "dup_reason").union(second.select("doc_id", "dup_reason"))
+
+
+@query()
+def near_dedup_capped(spark, d):
+    """Only the first 100 kept rows are compared with."""
+    return dedup.near_duplicates(documents(spark, d), "text", most=100)
+
+
 # -- order, budgets, chunks -------------------------------------------------------------------------------------------
 
 _ORDERED = f"""
@@ -405,6 +468,12 @@ def checkpoint_retention(spark, d):
     return runs.expired(events.select(name.alias("name"), F.col("value").alias("mtime")))
 
 
+@query("SELECT avg(train) AS train, avg(val) AS val FROM (SELECT value AS train, CASE WHEN event_id % 2 = 0 THEN value END AS val FROM events ORDER BY event_id DESC LIMIT 10)")
+def mean_eval_loss(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    return runs.mean_loss(events.select(F.col("event_id").alias("step"), F.col("value").alias("train"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("val")))
+
+
 # -- decoding: a vector's components stand for the logits of a step ---------------------------------------------------
 
 
@@ -446,6 +515,11 @@ def softmax(spark, d):
     return decoding.probabilities(_logits(spark, d)).select("step", "token_id", F.round("probability", 9).alias("probability"))
 
 
+@query()
+def sampled_tokens(spark, d):
+    return decoding.draw(decoding.probabilities(decoding.top_k(decoding.scaled(_logits(spark, d), 0.9), 50)), seed=5)
+
+
 @query(f"SELECT word, count(*) AS n FROM (SELECT unnest({S.words('text')}) AS word FROM documents) GROUP BY ALL")
 def token_frequency(spark, d):
     return documents(spark, d).select(F.explode(T.words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))

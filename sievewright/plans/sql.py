@@ -65,7 +65,14 @@ def decode_entities(t: str) -> str:
 
 def clean(t: str) -> str:
     t = replaced(decode_entities(replaced(strip_blocks(t), TAG, " ")), CSS, " ")
-    t = replaced(t, rf"""(?i)(^|[^{W}])(?:style|class)[{WS}]*=[{WS}]*["'][^"']*["']""", r"\1 ")
+    return tidy(strip_attributes(t))
+
+
+def strip_attributes(t: str) -> str:
+    return replaced(t, rf"""(?i)(^|[^{W}])(?:style|class)[{WS}]*=[{WS}]*["'][^"']*["']""", r"\1 ")
+
+
+def tidy(t: str) -> str:
     return strip(replaced(replaced(t, "[ \\t]+", " "), "\\n{3,}", "\n\n"))
 
 

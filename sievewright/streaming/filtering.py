@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions.constants import Thresholds
+from sievewright.functions.frames import cut
 from sievewright.operators import gates
 from sievewright.plans.build import EXACT, SIGNATURES, new_documents
 from sievewright.sources.state import read_if_there
@@ -16,7 +17,7 @@ def judge_stream(docs: DataFrame, limits: Thresholds = Thresholds()) -> DataFram
     return gates.with_reason(gates.arrived(docs), "text", limits)
 
 
-def run_available(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str, limits: Thresholds = Thresholds()) -> None:
+def run_available(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str, limits: Thresholds = Thresholds(), files: int = 1000) -> None:
     """Takes all files of the folder that no earlier run took: kept rows to out/kept, reasons to out/rejected.
 
     Every batch writes a folder of its own number, so a batch that is repeated replaces what it wrote. It reads only
@@ -28,18 +29,17 @@ def run_available(spark: SparkSession, path: str, schema: str, out: str, checkpo
         session = batch.sparkSession
         exact = read_if_there(session, _there(session, [f"{out}/state/exact/{b}" for b in before]), EXACT)
         signatures = read_if_there(session, _there(session, [f"{out}/state/signatures/{b}" for b in before]), SIGNATURES)
-        judged = gates.with_reason(gates.arrived(batch), "text", limits)
+        judged = cut(gates.with_reason(gates.arrived(batch), "text", limits))
         passed = judged.filter(F.col("reason").isNull())
-        marked = new_documents(passed, exact, signatures).persist()
+        marked = cut(new_documents(passed, exact, signatures))
         name = f"{number:08d}"
         marked.filter(F.col("dup_reason").isNull()).select("seq", "clean_text").write.mode("overwrite").parquet(f"{out}/kept/{name}")
         late = marked.filter(F.col("dup_reason").isNotNull()).select("seq", F.col("dup_reason").alias("reason"))
         judged.filter(F.col("reason").isNotNull()).select("seq", "reason").unionByName(late).write.mode("overwrite").parquet(f"{out}/rejected/{name}")
         marked.select("exact_hash").distinct().write.mode("overwrite").parquet(f"{out}/state/exact/{name}")
         marked.filter(F.col("dup_reason").isNull()).select("id", "signature").write.mode("overwrite").parquet(f"{out}/state/signatures/{name}")
-        marked.unpersist()
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
