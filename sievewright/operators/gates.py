@@ -84,6 +84,8 @@ def histogram(judged: DataFrame, top: int | None = None) -> DataFrame:
 
 def funnel(seen: DataFrame, judged: DataFrame) -> DataFrame:
     """How many rows were seen, kept and rejected, and the share kept in percent."""
-    a = seen.agg(F.count("*").alias("seen"))
-    b = judged.agg(F.count_if(F.col("reason").isNull()).alias("kept"), F.count("reason").alias("rejected"))
-    return a.join(b, how="full").withColumn("kept_percent", F.when(F.col("seen") == 0, 0.0).otherwise(F.col("kept") / F.col("seen") * 100))
+    none = F.lit(0).cast("bigint")
+    a = seen.agg(F.count("*").alias("seen"), none.alias("kept"), none.alias("rejected"))
+    b = judged.agg(none.alias("seen"), F.count_if(F.col("reason").isNull()).alias("kept"), F.count("reason").alias("rejected"))
+    both = a.union(b).agg(F.sum("seen").alias("seen"), F.sum("kept").alias("kept"), F.sum("rejected").alias("rejected"))
+    return both.withColumn("kept_percent", F.when(F.col("seen") == 0, 0.0).otherwise(F.col("kept") / F.col("seen") * 100))
