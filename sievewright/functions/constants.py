@@ -48,18 +48,17 @@ ENTITIES = [
 
 ALLOWED_SYMBOLS = ".,!?;:'\"-()[]{}/%&@#" + "+=<>*^~°µ±÷×√∑∏∫πθ$€£¥_|\\"
 
-#: Boilerplate: word boundary, then the pattern; S stands for white space. The last one is anchored to a line instead.
 BOILERPLATE = [
-    r"(beranda|home)S*[\|/>]S*(tentang|about)",
-    r"bacaS+jugaS*:",
-    r"(cookie|kebijakanS+privasi)S+(kami|ini)S+(menggunakan|digunakan)",
-    r"(share|bagikan)S*:S*(facebook|twitter|whatsapp)",
-    r"allS+rights?S+reserved>",
-    r"hakS+ciptaS+dilindungi>",
-    r"subscribeS+(toS+)?(ourS+)?newsletter>",
-    r"berlanggananS+newsletter>",
+    r"\b(beranda|home)\s*[\|/>]\s*(tentang|about)",
+    r"\bbaca\s+juga\s*:",
+    r"\b(cookie|kebijakan\s+privasi)\s+(kami|ini)\s+(menggunakan|digunakan)",
+    r"\b(share|bagikan)\s*:\s*(facebook|twitter|whatsapp)",
+    r"\ball\s+rights?\s+reserved\b",
+    r"\bhak\s+cipta\s+dilindungi\b",
+    r"\bsubscribe\s+(to\s+)?(our\s+)?newsletter\b",
+    r"\bberlangganan\s+newsletter\b",
+    r"^\s*(menu|navigasi)\s*[:|]",
 ]
-BOILERPLATE_LINE = r"S*(menu|navigasi)S*[:|]"
 
 ALLOWED_LANGUAGES = ["id", "en"]
 LANGUAGE_SAMPLES, LANGUAGE_SAMPLE, LANGUAGE_LEAST_SAMPLE, LANGUAGE_LEAST = [0.15, 0.5, 0.85], 2000, 200, 800

@@ -153,11 +153,16 @@ def has_symbol_run(c, least: int = 5) -> Column:
     return F.regexp_like(col(c), F.lit(rf"([^{LETTERS}{WS}])\1{{{least - 1}}}"))
 
 
+def spelled_out(pattern: str, space: str, before: str, after: str) -> str:
+    """A pattern whose white space and whose word edges at either end are put as given."""
+    inner = pattern.removeprefix(r"\b").removesuffix(r"\b").replace(r"\s", f"[{space}]")
+    return (before if pattern.startswith(r"\b") else "") + inner + (after if pattern.endswith(r"\b") else "")
+
+
 def boilerplate_patterns() -> list[str]:
-    edge, over = rf"(?<![{LETTERS}_])", rf"(?![{LETTERS}_])"
-    plain = [f"(?iu){edge}{p.replace('S', f'[{WS}]')}" for p in K.BOILERPLATE]
-    plain = [p[:-1] + over if p.endswith(">") else p for p in plain]
-    return [*plain, f"(?iumd)^{K.BOILERPLATE_LINE.replace('S', f'[{WS}]')}"]
+    """As they are for Java: Unicode case folding; lines end at \\n alone for the one that starts a line."""
+    plain = [spelled_out(p, WS, rf"(?<![{LETTERS}_])", rf"(?![{LETTERS}_])") for p in K.BOILERPLATE]
+    return [("(?iumd)" if p.startswith("^") else "(?iu)") + p for p in plain]
 
 
 def per_thousand(hits: Column, n: Column) -> Column:

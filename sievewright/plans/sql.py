@@ -94,11 +94,8 @@ def symbol_run(t: str, least: int = 5) -> str:
 
 
 def boilerplate_hits(t: str) -> str:
-    edge, over = f"(?:^|[^{W}])", f"(?:$|[^{W}])"
-    plain = [p.replace("S", f"[{WS}]") for p in K.BOILERPLATE]
-    plain = [f"(?i){edge}" + (p[:-1] + over if p.endswith(">") else p) for p in plain]
-    plain.append(f"(?im)^{K.BOILERPLATE_LINE.replace('S', f'[{WS}]')}")
-    return "(" + " + ".join(count(t, p) for p in plain) + ")"
+    plain = [T.spelled_out(p, WS, f"(?:^|[^{W}])", f"(?:$|[^{W}])") for p in K.BOILERPLATE]
+    return "(" + " + ".join(count(t, ("(?im)" if p.startswith("^") else "(?i)") + p) for p in plain) + ")"
 
 
 def any_of(t: str, keywords: list[str]) -> str:

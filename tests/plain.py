@@ -21,8 +21,7 @@ def _pattern(sql: str, flags: int = 0) -> re.Pattern:
 _TAGS, _RULES, _URLS = _pattern(TAG), _pattern(CSS), _pattern(URL)
 _BLOCKS = [re.compile(f"<{t}[^>]*>.*?</{t}>", re.I | re.S) for t in K.BLOCK_TAGS]
 _ATTRIBUTES = re.compile(r"""\b(?:style|class)\s*=\s*["'][^"']*["']""", re.I)
-_PLATES = [re.compile(r"\b" + p.replace("S", r"\s").replace(">", r"\b") if p.endswith(">") else r"\b" + p.replace("S", r"\s"), re.I) for p in K.BOILERPLATE]
-_PLATES.append(re.compile("^" + K.BOILERPLATE_LINE.replace("S", r"\s"), re.I | re.M))
+_PLATES = [re.compile(p, re.I | re.M) for p in K.BOILERPLATE]
 _RUN = re.compile(r"([^\w\s]|_)\1{4}")
 _FINE = frozenset(K.ALLOWED_SYMBOLS)
 
