@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A Python worker holds about this much text at once; one longer text is handled alone.
-SLICE_BYTES = 4 << 20
-
+from sievewright.functions.frames import cut
+from sievewright.functions.frames import read_table as table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["cut", "let", "ragged", "segments", "slices", "table", "texts"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of spark.checkpoint.dir; a local one is set only where there is none."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+#: A Python worker holds about this much text at once; one longer text is handled alone.
+SLICE_BYTES = 2 << 20
 
 
 def let(value, body: Callable):
