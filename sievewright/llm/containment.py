@@ -9,7 +9,7 @@ Shingles are of SHINGLE words, lower-cased, of [^\\x20\\x09-\\x0D]+; fewer words
 A shingle's hash is XXH64 chained over its words' XXH64.
 
 next_document() pairs each document with the next one by doc_id without a global window: ids are cut into ranges of
-about BLOCK rows by arithmetic, ranges are ordered among themselves on one slim row each, and the first document of a
+about BLOCK rows by quantiles and arithmetic, ranges are ordered among themselves on one slim row each, and the first document of a
 range is lent to the range before it.
 
 Defined results: a null text is the empty text; an empty text has the empty fingerprint, which is like another empty
@@ -29,6 +29,8 @@ SHINGLE, ONE_IN, FLOOR = 5, 4, 16
 #: Signed hashes below this are the smallest 1 / ONE_IN of all.
 LIMIT = -(2**63) + 2**64 // ONE_IN
 BLOCK = 512
+#: Quantile ranges of the ids; their bounds are what the driver gets.
+RANGES = 64
 #: Ranges of ids of which a row each may be broadcast, at most.
 BROADCAST_ROWS = 1 << 20
 BLANKS = " \t\n\x0b\x0c\r"
@@ -91,15 +93,34 @@ def hexed(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
+def _block(cuts: list[int], n: int, rows: int) -> Column:
+    """Number of about so many neighbours by doc_id: quantile ranges found by halving, each cut evenly by arithmetic.
+
+    Ids needn't be spread evenly; a stray one only widens the cuts of its own quantile.
+    """
+    wide = F.col("doc_id").cast("decimal(38,0)")
+
+    def leaf(k: int) -> Column:
+        high = cuts[k + 1] if k + 1 < len(cuts) else cuts[k] + 1
+        width = max(1, (high - cuts[k]) * rows * (len(cuts) - 1) // max(n, 1)) if len(cuts) > 1 else 1
+        return (F.lit(k << 40) + F.greatest(F.floor((wide - F.lit(cuts[k]).cast("decimal(38,0)")) / width), F.lit(0))).cast("bigint")
+
+    def pick(low: int, high: int) -> Column:
+        if low == high:
+            return leaf(low)
+        middle = (low + high + 1) // 2
+        return F.when(F.col("doc_id") < cuts[middle], pick(low, middle - 1)).otherwise(pick(middle, high))
+
+    return F.when(F.col("doc_id").isNotNull(), pick(0, len(cuts) - 1))
+
+
 def next_document(docs: DataFrame, carried: list[tuple[str, Column]], block: int = BLOCK) -> DataFrame:
     """The rows, each with the carried columns (name, value) and those of the next row by doc_id (then text) as next_name.
 
     Values are computed behind the exchange, once a row, and windows that follow one another share it.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high = low or 0, high or 0
-    width = max(1, (high - low + 1) * block // max(n, 1))
-    ranged = docs.withColumn("__block", F.coalesce(F.floor((F.col("doc_id").cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / width).cast("bigint"), F.lit(-1)))
+    n, cuts = docs.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", [k / RANGES for k in range(RANGES + 1)], 10 * RANGES)).first()
+    ranged = docs.withColumn("__block", F.coalesce(_block(sorted(set(cuts or [0])), n, block), F.lit(-1)))
     # The range after each: inside its own thousands of ranges, else the first of the next thousands, else the first.
     ranges = ranged.groupBy("__block").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "text_key")).alias("head"))
     ranges = ranges.withColumn("far", F.floor(F.col("__block") / 4096))
