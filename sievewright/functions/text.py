@@ -22,6 +22,7 @@ LETTERS = r"\p{L}\p{N}"
 #: Digits that aren't decimal numbers, such as superscripts.
 DIGITS = "".join(chr(c) for c in range(0x20000) if chr(c).isdigit() and unicodedata.category(chr(c)) != "Nd")
 
+#: Characters that most texts consist of; all of them are fine.
 COMMON = string.ascii_letters + string.digits + " .,"
 
 
@@ -123,7 +124,7 @@ def clean_markup(c) -> Column:
 
 def redact(c) -> Column:
     """E-mail addresses and Indonesian mobile numbers."""
-    mail = F.regexp_replace(col(c), r"(?U)\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "[EMAIL]")
+    mail = where(c, ["@"], lambda t: F.regexp_replace(t, r"(?U)\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "[EMAIL]"))
     return F.regexp_replace(mail, r"(?U)\b(?:\+62|62|0)8[1-9][0-9]{6,10}\b", "[TELEPON]")
 
 
