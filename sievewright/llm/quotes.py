@@ -71,7 +71,10 @@ def _units(text: Column) -> Column:
 def parse(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text_key, clean_text, quotes array<struct<level, text>> of each row."""
     text = F.coalesce("text", F.lit(""))
-    rows = messages.select("conv_id", "turn", "role", F.xxhash64(text).alias("text_key"), let(let(text, _lines), _passages).alias("p"))
+    # Without a mark the whole text is one passage of level 0.
+    plain = F.array(F.struct(F.lit(0).alias("level"), F.regexp_replace(text, r"\r\n", "\n").alias("text")))
+    marked = F.contains(text, F.lit(">"))
+    rows = messages.select("conv_id", "turn", "role", F.xxhash64(text).alias("text_key"), F.when(marked, let(let(text, _lines), _passages)).otherwise(plain).alias("p"))
     own = F.btrim(F.array_join(F.transform(F.filter("p", lambda x: x["level"] == 0), lambda x: x["text"]), "\n"), F.lit(" \t\n\r\x0b\x0c"))
     return rows.select("conv_id", "turn", "role", "text_key", own.alias("clean_text"), F.filter("p", lambda x: (x["level"] > 0) & (normalised(x["text"]) != "")).alias("quotes"))
 
@@ -91,7 +94,7 @@ def link(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, clean_text, n_passages, n_linked, reply_to, thread, chat of each row, in reply order."""
     parsed = parse(messages)
     placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    quoting = parsed.filter(placed & (F.size("quotes") > 0)).select("conv_id", "turn", "text_key", F.posexplode("quotes").alias("place", "q")).distinct()
+    quoting = parse(messages.filter(F.contains("text", F.lit(">")))).filter(placed & (F.size("quotes") > 0)).select("conv_id", "turn", "text_key", F.posexplode("quotes").alias("place", "q")).distinct()
     asked = quoting.select("conv_id", "turn", "text_key", "place", F.col("q.level").alias("level"), F.explode(_units(F.col("q.text"))).alias("hash"))
     have = parsed.filter(placed & (F.col("clean_text") != "")).select("conv_id", "turn", F.explode(_units(F.col("clean_text"))).alias("hash"))
     originals = have.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
