@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.llm import bpe, curriculum, pii, quality, simhash
+from sievewright.llm import bpe, curriculum, pii, quality, similar
 from sievewright.llm._batches import table
 from sievewright.llm.queries import BYTE_VOCABULARY
 
@@ -14,7 +14,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

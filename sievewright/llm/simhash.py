@@ -39,17 +39,16 @@ MASKS = [(0xFFFF << 16 * a) | (0xFFFF << 16 * b) for a in range(4) for b in rang
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """SimHash of each text as uint64."""
+def shingle_hashes(column: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text's place, hash) of each run of words, text by text; a text of fewer words is one run, one without words none."""
     raw, starts = buffer(column)
-    out = np.zeros(len(starts), np.uint64)
     space = SPACE[raw]
     keep = ~space
     keep[1:] |= ~space[:-1]  # one blank behind each word
     keep[0] = False
     kept = np.flatnonzero(keep)
     if not len(kept):
-        return out
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     own = np.searchsorted(starts, kept, side="right") - 1
     flat = LOWER[raw[kept]]
     flat[space[kept]] = 32
@@ -66,7 +65,15 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) ->
     use = np.flatnonzero(full | short)
     data, hashed = flat.tobytes(), xxhash.xxh64_intdigest
     h = np.fromiter((hashed(data[a:b], seed) for a, b in zip(begin[use].tolist(), end[last[use]].tolist(), strict=True)), np.uint64, len(use))
-    per = doc[use]
+    return doc[use], h
+
+
+def fingerprints(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """SimHash of each text as uint64."""
+    per, h = shingle_hashes(column, shingle, seed)
+    out = np.zeros(len(column), np.uint64)
+    if not len(per):
+        return out
     heads = np.flatnonzero(np.r_[True, per[1:] != per[:-1]])
     total = np.diff(np.r_[heads, len(per)])
     place = np.arange(len(per)) - np.repeat(heads, total)
