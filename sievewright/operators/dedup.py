@@ -92,6 +92,12 @@ def near_pairs(signed: DataFrame, key: str = "doc_id", hashes: int = K.HASHES, l
     return pairs.join(one, "a").join(two, "b").withColumn("agree", agreement("s", "t")).filter(F.col("agree") >= least).select("a", "b", "agree")
 
 
+def members(signed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, representative) of every row: the smallest key with its whole signature; signed: key, signature."""
+    firsts = signed.groupBy("signature").agg(F.min(key).alias("representative"))
+    return signed.join(firsts, "signature").select(key, "representative")
+
+
 def slots(signature) -> Column:
     """A signature's hashes, 64 bits each: enough to tell whether slots are equal."""
     return F.transform(signature, lambda h: F.xxhash64(h))

@@ -307,6 +307,12 @@ def near_dup_pairs(spark, d):
     return dedup.near_pairs(signed.groupBy("signature").agg(F.min("doc_id").alias("doc_id")))
 
 
+@query(f"WITH {_SHINGLES}, firsts AS (SELECT signature, min(doc_id) AS id FROM signed GROUP BY ALL) SELECT doc_id, id AS representative FROM signed JOIN firsts USING (signature)")
+def near_dup_members(spark, d):
+    """Whom near_dup_pairs speaks for: rows that aren't their own representative agree with it in all slots."""
+    return dedup.members(cut(documents(spark, d).select("doc_id", dedup.signature("text").alias("signature"))))
+
+
 _GREEDY = f"""
 WITH RECURSIVE {_SHINGLES}, {_NEAR},
 exact AS (SELECT doc_id, row_number() OVER (PARTITION BY {S.normalise('text')} ORDER BY doc_id) AS n FROM documents),

@@ -87,6 +87,21 @@ def test_agreement_bar(spark):
     assert [(r.a, r.b, r.agree) for r in got] == [(0, 1, 28)]
 
 
+def test_pairs_and_members_lose_no_link(spark):
+    """One word changed in the middle of a long text may leave all slots equal; such texts are linked by membership."""
+    words = [f"word{i}" for i in range(300)]
+    texts = [" ".join(words), *(" ".join([*words[:k], "other", *words[k + 1 :]]) for k in range(20, 280, 20)), "something else entirely"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = docs.select("doc_id", dedup.signature("text").alias("signature")).localCheckpoint()
+    of = {r.doc_id: r.signature for r in signed.collect()}
+    want = {(a, b) for a in of for b in of if a < b and sum(x == y for x, y in zip(of[a], of[b])) >= 28}
+    assert any(of[a] == of[b] for a, b in want)
+    first = {r.doc_id: r.representative for r in dedup.members(signed).collect()}
+    assert set(first) == set(of)
+    near = {(r.a, r.b) for r in dedup.near_pairs(signed.groupBy("signature").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "doc_id")).collect()}
+    assert {(a, b) for a in of for b in of if a < b and (first[a] == first[b] or (min(first[a], first[b]), max(first[a], first[b])) in near)} == want
+
+
 def test_tuple_texts(spark):
     texts = ["it's a 'b\" c\\d e f", "one", ""]
     got = [spark.createDataFrame([(t,)], "t string").select(dedup._shingle_texts("t", 5).alias("s")).first().s for t in texts]
