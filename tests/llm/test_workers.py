@@ -170,6 +170,23 @@ def test_personal_data_in_long_texts():
     assert pii.find_spans("+1" + "(" * 100_000) == []
 
 
+def test_addresses_of_many_zeros():
+    zeros = "0" * 5000
+    assert pii.find_spans(f"ip {zeros}.0.1.1") == [("ip", 3, 3 + 5000 + 6, 0.9)]
+    assert [x[0] for x in pii.find_spans(f"{zeros}256.1.1.1 {zeros}255.1.1.{zeros}")] == ["ip"]
+
+
+@pytest.mark.parametrize("iban", ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "AT611904300234573201"])
+@pytest.mark.parametrize("tail", ["", " BIC CAIXESBB", " BANK", " A", ", x", " 12", ". ES91"])
+def test_ibans_end_where_their_country_says(iban, tail):
+    found = [x for x in pii.find_spans(f"x {iban}{tail}") if x[0] == "iban"]
+    assert [(x[1], x[2]) for x in found] == [(2, 2 + len(iban))]
+    assert not [x for x in pii.find_spans(f"x {iban}7{tail}") if x[0] == "iban"]
+    wrong = iban[:-1] + str((int(iban[-1]) + 1) % 10)
+    assert not [x for x in pii.find_spans(f"x {wrong}{tail}") if x[0] == "iban"]
+    assert not [x for x in pii.find_spans(f"x QQ{iban[2:]}{tail}") if x[0] == "iban"]
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(0, "mail a@b.cc or 4111 1111 1111 1111.", "s", 35), (1, None, "s", 0), (2, "clean", "s", 5)], "doc_id bigint, text string, source string, n_chars bigint")
     out = pii.redact(docs)
