@@ -2,8 +2,8 @@
 
 Texts become words: A-Z lower-cased, then runs of digits, letters and all that isn't ASCII. Three base phrases are
 counted wherever their words stand one after the other. The method adds signature rules: hundreds of regular
-expressions over the words, in order of priority, made from the families below. A text is looked at only if it holds
-one of a few stems; a rule is tried only if the text holds the rule's keyword. Each match is an interval of words; an
+expressions over the words, in order of priority, made from the families below. A rule is tried only on lines that
+hold its keys, which its pattern implies; a text is looked at only if it holds the words of some rule's first key. Each match is an interval of words; an
 interval inside another of higher priority, or inside a longer one of the same priority, is suppressed, so that a
 grant with its version outranks the bare name inside it.
 
@@ -57,72 +57,103 @@ PLAIN = {
     "mit": (("(?:the )?(?:mit|expat|x11) licen[sc]e", "licen", 0.9), ("permission is hereby granted free of charge to any person obtaining a copy", "hereby granted", 0.95), ("under mit", "under mit", 0.8), ("under the mit", "under the mit", 0.8), ("under the terms of (?:the )?mit", "under the terms of", 0.8)),
     "bsd": (("(?:new |modified |simplified |revised )?bsd(?: style)? licen[sc]e", " bsd", 0.9), ("redistribution and use in source and binary forms", "redistribution and use", 0.95), ("neither the name of .{1,80}? nor the names of its contributors", "neither the name", 0.9)),
     "isc": (("isc licen[sc]e", " isc ", 0.9), ("permission to use copy modify and (?:or )?distribute this software for any purpose", "permission to use", 0.9)),
-    "zlib": (("zlib(?: libpng)? licen[sc]e", "zlib", 0.9), ("this software is provided as is without any express or implied warranty in no event will the authors", "in no event", 0.8)),
+    "zlib": (("zlib(?: libpng)? licen[sc]e", "zlib", 0.9), ("this software is provided as is without any express or implied warranty in no event will the authors", "in no event will the authors", 0.8)),
     "unlicense": (("(?:the )?unlicen[sc]e", "unlicen", 0.9), ("this is free and unencumbered software released into the public domain", "unencumbered", 0.95)),
     "wtfpl": (("wtfpl", "wtfpl", 0.9), ("do what the fuck you want to public license", "public license", 0.95)),
     "cc0": (("cc0(?: 1 0)?(?: universal)?", "cc0", 0.9), ("creative commons zero", "commons zero", 0.9)),
     "public-domain": (("(?:released|placed|dedicated|is) (?:in|into|to) the public domain", "public domain", 0.8), ("public domain dedication", "public domain", 0.8)),
-    "proprietary": (("proprietary and confidential", "proprietary", 0.8), ("unauthori[sz]ed copying of this file", "unauthori", 0.8), ("no part of this (?:publication|work|book|document) may be reproduced", "may be reproduced", 0.8), ("(?:not|may not be) (?:re)?distributed without (?:prior |express )*(?:written )?permission", "without", 0.6)),
+    "proprietary": (("proprietary and confidential", "proprietary", 0.8), ("unauthori[sz]ed copying of this file", "unauthori", 0.8), ("no part of this (?:publication|work|book|document) may be reproduced", "may be reproduced", 0.8), ("(?:not|may not be) (?:re)?distributed without (?:prior |express ){0,3}(?:written )?permission", "distributed without", 0.6)),
     "copyright": (("copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", "copyright", 0.4), ("© (?:19|20)[0-9]{2}", "©", 0.4)),
     "reserved": (("all rights reserved", "rights reserved", 0.5), ("(?:some|no) rights reserved", "rights reserved", 0.5)),
     "licensed": (("licen[sc]ed under (?:the )?[a-z0-9]+", "licen", 0.3), ("(?:released|distributed|published|available) under (?:the )?(?:terms of (?:the )?)?[a-z0-9]+ licen[sc]e", "licen", 0.3), ("see (?:the )?licen[sc]e(?: file| txt| md)?", "licen", 0.2)),
 }
-#: A text that holds none of these, or all parts of none, lower-cased, has no match of a rule or base phrase.
-STEMS = ("licen", "copyright", "©", "rights", "public", "cc+by", "cc0", "creative", "permi", "redistrib", "neither", "spdx", "under+mit", "bsd", "isc", "zlib", "wtfpl", "gpl", "propriet", "unauthori", "reproduc", "distributed+without", "unencumb", "apache", "asl", "mpl", "epl", "cddl", "eupl", "osl", "afl", "artistic", "ofl", "psf", "php", "cpl", "cecill", "gfdl", "bsl", "affero", "academic free", "european union", "common", "attribution", "as+is+event")
 
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, pattern over words, keyword, priority, score); the first matters most."""
+def rules() -> list[tuple[str, str, tuple[str, ...], int, float]]:
+    """(label, pattern over words, what the line holds wherever the pattern matches, priority, score); the first matters most.
+
+    Tables and version lists above stand for the rules that differ in a name or a number only.
+    """
     out = []
     licence = "(?: licen[sc]e)?"
     for label, (names, versions, keys) in VERSIONED.items():
         for name, key in zip(names, keys, strict=True):
-            key = f" {key} " if len(key) < 6 else key
+            glued = "|v?" if len(key) < 7 else ""  # as in gplv3
+            key = f" {key}"
             for v in versions:
-                tag = f"{label}-{v.replace(' ', '.')}"
-                out.append((f"{tag}-or-later", f"{name}{licence} (?:version |v ?)?{v}(?: of the licen[sc]e)? or (?:at your option )?(?:any )?later", key, 90, 1.0))
-                out.append((f"{tag}", f"spdx licen[sc]e identifier {label} {v}(?: only)?", "spdx licen", 95, 1.0))
-                out.append((tag, f"{name}{licence} (?:version |v ?)?{v}", key, 80, 0.95))
-            out.append((label, f"{name} licen[sc]e", key, 60, 0.85))
+                tag, end = f"{label}-{v.replace(' ', '.')}", f"{v} "
+                dated = f"{name}(?:{licence} (?:version |v ?)?{glued}){v}"
+                out.append((f"{tag}-or-later", f"{dated}(?: of the licen[sc]e)? or (?:at your option )?(?:any )?later", (key, " later ", end), 90, 1.0))
+                out.append((tag, dated, (key, end), 80, 0.95))
+            out.append((label, f"{name} licen[sc]e", (key, " licen"), 60, 0.85))
             if len(name) < 6:
-                out.append((label, f"(?:under|of|by) (?:the )?(?:gnu )?{name}", key, 50, 0.6))
+                out.append((label, f"(?:under|of|by) (?:the )?(?:gnu )?{name}", (f"{key} ",), 50, 0.6))
+        for v in versions:
+            out.append((f"{label}-{v.replace(' ', '.')}", f"spdx licen[sc]e identifier {label} {v}(?: only)?", (" spdx licen", f"{v} "), 95, 1.0))
     for kind in CREATIVE:
         tag, named = f"cc-{kind.replace(' ', '-')}", " ".join(CREATIVE_NAMES[p] for p in kind.split())
         for v in CREATIVE_VERSIONS:
-            out.append((f"{tag}-{v.replace(' ', '.')}", f"cc {kind} {v}", f"cc {kind}", 90, 0.95))
-            out.append((f"{tag}-{v.replace(' ', '.')}", f"(?:creative commons )?{named} {v}(?: international| unported| generic)?", "attribution", 85, 0.9))
-        out.append((tag, f"cc {kind}", f"cc {kind}", 70, 0.8))
-        out.append((tag, f"creative commons {named}", "creative commons", 70, 0.8))
+            out.append((f"{tag}-{v.replace(' ', '.')}", f"cc {kind} {v}", (f" cc {kind} ", f"{v} "), 90, 0.95))
+            out.append((f"{tag}-{v.replace(' ', '.')}", f"(?:creative commons )?{named} {v}(?: international| unported| generic)?", (" attribution ", f" {v} "), 85, 0.9))
+        out.append((tag, f"cc {kind}", (f" cc {kind} ",), 70, 0.8))
+        out.append((tag, f"creative commons {named}", (" creative commons ",), 70, 0.8))
     for label, some in PLAIN.items():
-        out += [(label, pattern, key, 40 if score < 0.6 else 65, score) for pattern, key, score in some]
+        out += [(label, pattern, (key,), 40 if score < 0.6 else 65, score) for pattern, key, score in some]
     return sorted(out, key=lambda r: -r[3])
 
 
-def _rules() -> Column:
-    """array<struct<key, rules>>: the rules by keyword, so each keyword is looked for once."""
-    # A match starts behind one blank and ends before another; look-around keeps neighbours apart.
-    own = lambda key: [F.struct(F.lit(a).alias("label"), F.lit(f"(?<= )(?:{p})(?= )").alias("pattern"), F.lit(r).alias("rank"), F.lit(s).alias("score")) for a, p, k, r, s in rules() if k == key]
-    return F.array(*[F.struct(F.lit(key).alias("key"), F.array(*own(key)).alias("rules")) for key in dict.fromkeys(r[2] for r in rules())])
+def gates() -> list[tuple[str, ...]]:
+    """Sets of words; a text that holds no set, A-Z lower-cased, has no match of a rule or base phrase.
+
+    They are the words of the rules' first keys. A set that holds another one adds nothing and is left out.
+    """
+    sets = {frozenset(key.split()) for key in [*(r[2][0] for r in rules()), *(p for p, _ in BASE)]}
+    return sorted(tuple(sorted(s)) for s in sets if not any(t < s for t in sets))
+
+
+#: Stand before and behind a match; no word holds them.
+OPENS, CLOSES = "\x01", "\x02"
+#: No match has as many words, so a match that holds another starts in the same block of so many words or the one before.
+WIDEST = 128
+
 
+def _marked() -> str:
+    """SQL: of each rule whose keys the line x holds, its number and the line with its matches marked.
 
-def _count_words(text: Column) -> Column:
-    """Blanks of a text whose words each stand before one."""
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    Patterns are literals, so each is compiled once, and a rule is tried only behind its keys. A match stands behind one
+    blank and before another; the look-ahead leaves that to the next match.
+    """
+    by_key: dict[str, list[str]] = {}
+    for k, (_, pattern, (key, *others), *_) in enumerate(rules()):
+        tried = f"named_struct('rule', {k}, 'line', regexp_replace(x, r' ({pattern})(?= )', ' {OPENS}$1{CLOSES}'))"
+        behind = " AND ".join(f"contains(x, '{o}')" for o in others)
+        by_key.setdefault(key, []).append(f"CASE WHEN {behind} THEN {tried} END" if others else tried)
+    each = ", ".join(f"CASE WHEN contains(x, '{key}') THEN array({', '.join(own)}) END" for key, own in by_key.items())
+    return f"filter(flatten(filter(array({each}), g -> g IS NOT NULL)), m -> m IS NOT NULL AND contains(m.line, '{OPENS}'))"
 
 
-def _spans(line: Column, pattern: Column) -> Column:
-    """(start, end) of each match in the line, in words."""
-    gaps, hits = F.split(line, pattern), F.regexp_extract_all(line, pattern, F.lit(0))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+def _spans() -> str:
+    """SQL: (start, end, rule) of all matches in the line x, in words."""
+    words = "split(substring(m.line, 2), ' ')"
+    places = lambda sign, by: f"filter(transform(w, (v, i) -> CASE WHEN {by}(v, '{sign}') THEN i END), i -> i IS NOT NULL)"
+    pairs = f"zip_with({places(OPENS, 'startswith')}, {places(CLOSES, 'endswith')}, (a, b) -> named_struct('start', a, 'end', b + 1, 'rule', m.rule))"
+    return f"array_sort(array_distinct(flatten(transform({_marked()}, m -> element_at(transform(array({words}), w -> {pairs}), 1)))))"
 
-    def walk(acc, pair):
-        begin = acc["at"] + _count_words(pair["gap"])
-        end = begin + _count_words(pair["hit"]) + 1
-        return F.struct((end - 1).alias("at"), F.concat(acc["found"], F.array(F.struct((begin - 1).alias("start"), (end - 1).alias("end")))).alias("found"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, start, walk, lambda acc: acc["found"])
+def _kept(spans: Column) -> Column:
+    """Matches that aren't inside another of higher priority, or inside a longer one of the same; by blocks of words."""
+    listed = lambda values: F.array(*map(F.lit, values))
+    labels, ranks, scores = (listed(r[k] for r in rules()) for k in (0, 3, 4))
+    known = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(labels, s["rule"]).alias("label"), F.get(ranks, s["rule"]).alias("rank"), F.get(scores, s["rule"]).alias("score")))
+    inside = lambda s, t: (t["start"] <= s["start"]) & (s["end"] <= t["end"]) & ((t["rank"] > s["rank"]) | ((t["rank"] == s["rank"]) & (t["end"] - t["start"] > s["end"] - s["start"])))
+    block = lambda all_, b: F.filter(all_, lambda s: F.floor(s["start"] / WIDEST) == b)
+
+    def by_block(all_: Column) -> Column:
+        blocks = F.array_distinct(F.transform(all_, lambda s: F.floor(s["start"] / WIDEST)))
+        pairs = F.transform(blocks, lambda b: F.struct(block(all_, b).alias("own"), block(all_, b - 1).alias("before")))
+        return F.flatten(F.transform(pairs, lambda p: F.filter(p["own"], lambda s: ~F.exists(p["own"], lambda t: inside(s, t)) & ~F.exists(p["before"], lambda t: inside(s, t)))))
+
+    return let(F.array_distinct(known), by_block)
 
 
 def _phrase(words: Column, phrase: str) -> Column:
@@ -136,28 +167,27 @@ def _phrase(words: Column, phrase: str) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections of each row."""
     text = F.coalesce("text", F.lit(""))
-    every = lambda t, parts: reduce(Column.__and__, [F.contains(t, F.lit(p)) for p in parts.split("+")])
-    any_stem = lambda t: reduce(Column.__or__, [every(t, s) for s in STEMS])
-    line = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate(text, UPPER, LOWER), OTHER, " ")), F.lit(" "))
-    rows = docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("n_words"), F.when(let(F.lower(text), any_stem), line).alias("line"))
-
-    def look(line: Column) -> Column:
+    every = lambda t, parts: reduce(Column.__and__, [F.contains(t, F.lit(p)) for p in parts])
+    any_gate = lambda t: reduce(Column.__or__, [every(t, g) for g in gates()])
+    line = lambda low: F.concat(F.lit(" "), F.btrim(F.regexp_replace(low, OTHER, " ")), F.lit(" "))
+    gated = let(F.translate(text, UPPER, LOWER), lambda low: F.when(any_gate(low), line(low)))
+    rows = docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("n_words"), gated.alias("line"))
+    none = F.array().cast("array<int>")
+
+    def based(line: Column) -> Column:
         words = F.filter(F.split(line, " "), lambda w: w != "")
-        base = let(words, lambda w: F.array(*[F.struct(F.lit(label).alias("label"), F.when(F.contains(line, F.lit(f" {p} ")), _phrase(w, p)).otherwise(F.array().cast("array<int>")).alias("at")) for p, label in BASE]))
-        tried = F.flatten(F.transform(F.filter(_rules(), lambda g: F.contains(line, g["key"])), lambda g: g["rules"]))
-        spans = F.flatten(F.transform(tried, lambda r: F.transform(_spans(line, r["pattern"]), lambda s: F.struct(r["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"), r["rank"].alias("rank"), r["score"].alias("score")))))
-        inside = lambda s, t: (t["start"] <= s["start"]) & (s["end"] <= t["end"]) & ((t["rank"] > s["rank"]) | ((t["rank"] == s["rank"]) & (t["end"] - t["start"] > s["end"] - s["start"])))
-        kept = let(F.array_distinct(spans), lambda all_: F.filter(all_, lambda s: ~F.exists(all_, lambda t: inside(s, t))))
-        return F.struct(F.filter(base, lambda b: F.size(b["at"]) > 0).alias("base"), kept.alias("kept"))
-
-    seen = rows.select("doc_id", "n_words", F.when(F.col("line").isNotNull(), let(F.col("line"), look)).alias("x"))
+        return let(words, lambda w: F.array(*[F.struct(F.lit(label).alias("label"), F.when(F.contains(line, F.lit(f" {p} ")), _phrase(w, p)).otherwise(none).alias("at")) for p, label in BASE]))
+
+    base = F.when(reduce(Column.__or__, [F.contains("line", F.lit(f" {p} ")) for p, _ in BASE]), F.filter(let(F.col("line"), based), lambda b: F.size(b["at"]) > 0))
+    spans = F.expr(f"element_at(transform(array(line), x -> {_spans()}), 1)")
+    seen = rows.select("doc_id", "n_words", base.alias("base"), F.when(F.col("line").isNotNull(), _kept(spans)).alias("kept"))
     nothing = F.array().cast("array<string>")
-    starts = F.flatten(F.col("x.base.at"))
-    base_labels = F.coalesce(F.transform("x.base", lambda b: b["label"]), nothing)
-    labels = F.array_union(base_labels, F.coalesce(F.transform("x.kept", lambda s: s["label"]), nothing))
-    best = F.greatest(F.coalesce(F.array_max(F.transform("x.kept", lambda s: s["score"])), F.lit(0.0)), F.when(F.size(base_labels) > 0, F.lit(BASE_SCORE)).otherwise(F.lit(0.0)))
+    starts = F.flatten(F.col("base.at"))
+    base_labels = F.coalesce(F.transform("base", lambda b: b["label"]), nothing)
+    labels = F.array_union(base_labels, F.coalesce(F.transform("kept", lambda s: s["label"]), nothing))
+    best = F.greatest(F.coalesce(F.array_max(F.transform("kept", lambda s: s["score"])), F.lit(0.0)), F.when(F.size(base_labels) > 0, F.lit(BASE_SCORE)).otherwise(F.lit(0.0)))
     listed = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    detections = F.coalesce(F.array_join(F.transform(F.array_sort(F.transform("x.kept", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["label"].alias("c")))), lambda s: F.concat_ws(":", s["c"], s["a"], s["b"])), ","), F.lit(""))
+    detections = F.coalesce(F.array_join(F.transform(F.array_sort(F.transform("kept", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["label"].alias("c")))), lambda s: F.concat_ws(":", s["c"], s["a"], s["b"])), ","), F.lit(""))
     return seen.select(
         "doc_id", "n_words", F.coalesce(F.size(starts), F.lit(0)).cast("bigint").alias("n_base"), F.array_min(starts).cast("bigint").alias("first_word"), F.array_max(starts).cast("bigint").alias("last_word"),
         listed(base_labels).alias("base_labels"), listed(labels).alias("labels"), best.alias("score"), detections.alias("detections"),
