@@ -76,9 +76,13 @@ class Memo(dict):
 
     def __init__(self):
         super().__init__()
-        self.fresh = []
+        self.fresh, self.held = [], 0
 
     def __missing__(self, piece):
         self[piece] = number = len(self)
         self.fresh.append(piece)
+        self.held += len(piece)
         return number
+
+    def full(self, pieces: int, characters: int) -> bool:
+        return len(self) > pieces or self.held > characters

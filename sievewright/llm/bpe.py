@@ -2,20 +2,23 @@
 
 Pieces of the pre-tokenizer's pattern are held once each, by length bucket, in padded numpy matrices of token ids. In
 each round every row merges its leftmost pair of minimum rank; ranks come from a hashed pair table; rows that have no
-pair left leave the matrix, and the others close the gap (compaction), so a matrix loses a column a round. Pieces of
-over LONG bytes, of which a matrix would need as many rounds as columns, go through a heap of (rank, place) instead:
-the same merges in the same order.
+pair left leave the matrix, and the others close the gap (compaction), so a matrix loses a column a round. A piece of
+over LONG bytes is folded into a matrix of its own, WIDTH symbols a row: in each round every row whose least rank is the
+piece's merges its leftmost such pair, and the matrix is laid out anew when half of its symbols are gone. Merges of one
+rank in several rows may be one round because no merge gives rise to a pair of a lower rank; that holds where the merges
+inside each token run in order of rank, which is checked when a vocabulary meets its first long piece; otherwise one row
+merges a round.
 
 Defined results: a null text is the empty text; an empty text has no ids (n_tokens 0, hashes of no bytes); repeated
 rows are encoded each; special strings are ordinary text; extra input columns are ignored; an empty table gives an
-empty result. Memory: SLICE_BYTES of text and a memo of at most MEMO pieces in a worker.
+empty result. Memory: SLICE_BYTES of text, or one text, and a memo of at most MEMO pieces and MEMO_CHARS characters.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +28,9 @@ from pyspark.sql import DataFrame
 from sievewright.llm._batches import ragged, segments, slices, texts
 from sievewright.llm._vocab import PATTERN, Memo, PairTable, byte_ranks
 
-LONG = 128
-#: Pieces of which a worker keeps the ids from one slice to the next.
-MEMO = 300_000
+LONG, WIDTH = 128, 64
+#: Pieces, and characters in them, of which a worker keeps the ids from one slice to the next.
+MEMO, MEMO_CHARS = 300_000, 8 << 20
 NONE = PairTable.NONE
 #: Fills rows; in no pair.
 PAD = (1 << 20) - 1
@@ -36,7 +39,7 @@ PAD = (1 << 20) - 1
 class ByteBPE:
     def __init__(self, name: str, pattern: str = PATTERN):
         ranks = byte_ranks(name)
-        self.find = regex.compile(pattern).findall
+        self.find, self.ranks = regex.compile(pattern).findall, ranks
         size = max(ranks.values()) + 1
         self.token = [b""] * size
         left, right, merged = [], [], []
@@ -59,33 +62,60 @@ class ByteBPE:
 
     # -- pieces -> ids -------------------------------------------------------------------------------------------
 
-    def _heap(self, piece: bytes) -> np.ndarray:
-        ids = self.single[np.frombuffer(piece, np.uint8)].astype(np.int64)
-        n, rank = len(ids), self.pairs
-        following, previous, ids = list(range(1, n + 1)), list(range(-1, n - 1)), ids.tolist()
-        first = rank(np.array(ids[:-1]), np.array(ids[1:])) if n > 1 else np.zeros(0, np.int32)
-        heap = [(int(r), i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        one = np.zeros(1, np.int64)
-
-        def push(i: int, j: int) -> None:
-            r = int(rank(one + ids[i], one + ids[j])[0])
-            if r != NONE:
-                heapq.heappush(heap, (r, i, ids[i], ids[j]))
-
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = following[i] if ids[i] >= 0 else n
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = r, -1
-            following[i] = following[j]
-            if following[i] < n:
-                previous[following[i]] = i
-                push(i, following[i])
-            if previous[i] >= 0:
-                push(previous[i], i)
-        return np.array([t for t in ids if t >= 0], np.int32)
+    @cached_property
+    def in_order(self) -> bool:
+        """Whether the merges inside every token run in order of rank, the token's own last."""
+        for token, rank in self.ranks.items():
+            parts, last = [token[k : k + 1] for k in range(len(token))], -1
+            while len(parts) > 1:
+                here, least = min(((k, self.ranks.get(parts[k] + parts[k + 1], NONE)) for k in range(len(parts) - 1)), key=lambda p: p[1])
+                if least == NONE or least < last:
+                    return False
+                parts[here : here + 2], last = [parts[here] + parts[here + 1]], least
+            if len(token) > 1 and last != rank:
+                return False
+        return True
+
+    def _folded(self, piece: bytes) -> np.ndarray:
+        """Ids of one long piece."""
+        ids, rank = self.single[np.frombuffer(piece, np.uint8)], -1
+        while rank != NONE:
+            n = left = len(ids)
+            size = -(-n // WIDTH) * WIDTH
+            # The last place belongs to no row; it is behind the first symbol and ahead of the last.
+            ids = np.append(ids, np.full(size + 1 - n, PAD, np.int32))
+            ahead, behind = np.minimum(np.arange(1, size + 2), size), np.arange(-1, size)
+            ranks = np.full(size + 1, NONE, np.int32)
+            ranks[: n - 1] = self.pairs(ids[: n - 1], ids[1:n])
+            grid = ranks[:size].reshape(-1, WIDTH)
+            least = grid.min(axis=1)
+            while 2 * left > n and (rank := least.min()) != NONE:
+                rows = np.flatnonzero(least == rank)[: None if self.in_order else 1]
+                at = rows * WIDTH + grid[rows].argmin(axis=1)
+                if (ranks[behind[at]] == rank).any():
+                    at = self._leftmost(ranks, ahead, rank)[: None if self.in_order else 1]
+                gone = ahead[at]
+                after = ahead[gone]
+                ids[at], ids[gone], ranks[gone] = rank, PAD, NONE
+                ahead[at], behind[after] = after, at
+                left -= len(at)
+                places = np.concatenate([at, behind[at]])
+                ranks[places] = self.pairs(ids[places], ids[ahead[places]])
+                ranks[size] = NONE
+                changed = np.unique(np.concatenate([places, gone]) // WIDTH)
+                changed = changed[(changed >= 0) & (changed < len(least))]
+                least[changed] = grid[changed].min(axis=1)
+            ids = ids[:size][ids[:size] != PAD]
+        return ids
+
+    @staticmethod
+    def _leftmost(ranks: np.ndarray, ahead: np.ndarray, rank: int) -> np.ndarray:
+        """Each row's leftmost pair of the rank, where pairs that overlap count from the left, whatever row they begin in."""
+        hits = np.flatnonzero(ranks == rank)
+        fresh = np.r_[True, ahead[hits[:-1]] != hits[1:]]
+        begin = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        hits = hits[(np.arange(len(hits)) - begin) % 2 == 0]
+        return hits[np.unique(hits // WIDTH, return_index=True)[1]]
 
     def _matrix(self, rows: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> Iterator[tuple]:
         """(numbers, counts, ids) of the rows as they end."""
@@ -137,7 +167,7 @@ class ByteBPE:
                 for r, c, i in self._matrix(rows, buffer[ragged(starts[rows], own)], own):
                     numbers.append(r), counts.append(c), ids.append(i)
         for r in np.flatnonzero(lengths > LONG):
-            i = self._heap(pieces[r])
+            i = self._folded(pieces[r])
             numbers.append(np.array([r])), counts.append(np.array([len(i)])), ids.append(i)
         numbers, counts, ids = np.concatenate(numbers), np.concatenate(counts), np.concatenate(ids)
         order = np.argsort(numbers, kind="stable")
@@ -163,7 +193,7 @@ class ByteBPE:
 
     def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other; bounds of each text's ids."""
-        if len(self.memo) > MEMO:
+        if self.memo.full(MEMO, MEMO_CHARS):
             self._forget()
         numbers = [np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces)) for pieces in map(self.find, batch)]
         self._learn()
