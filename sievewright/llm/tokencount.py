@@ -7,7 +7,7 @@ merged symbol ranks after the merge that makes the symbol; this is checked when
 
 Defined results: a null text is the empty text and has no tokens; special strings inside a text count as one token
 each, as the library does by default; repeated rows are counted each; extra columns are ignored; an empty table gives
-an empty result. Memory: SLICE_BYTES of text and a memo of at most MEMO pre-tokens in a worker.
+an empty result. Memory: SLICE_BYTES of text, or one text, and a memo of at most MEMO pre-tokens and MEMO_CHARS characters.
 """
 
 from __future__ import annotations
@@ -25,8 +25,11 @@ from pyspark.sql import DataFrame
 from sievewright.llm._batches import slices, texts
 from sievewright.llm._vocab import Memo, PairTable, locate
 
-MEMO = 300_000
+#: Pre-tokens, and characters in them, whose counts a worker keeps from one slice to the next.
+MEMO, MEMO_CHARS = 300_000, 8 << 20
 NONE = PairTable.NONE
+#: Behind each piece, and in place of a symbol that is gone; in no pair.
+PAD, GONE = (1 << 20) - 1, (1 << 20) - 2
 
 
 def byte_alphabet() -> list[str]:
@@ -68,38 +71,54 @@ class WordBPE:
         self.memo, self.counts = Memo(), np.zeros(1 << 14, np.int64)
 
     def survivors(self, pieces: list[bytes]) -> np.ndarray:
-        """How many symbols each piece ends as."""
+        """How many symbols each piece ends as.
+
+        Ranks are looked up once and then only beside what merged; places of symbols that are gone, and of pieces that
+        are done, are closed up when they make half of all.
+        """
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         counts = lengths.copy()
+        own = np.flatnonzero(lengths)
+        if not len(own):
+            return counts
+        # A pad behind each piece is in no pair.
+        ends = np.cumsum(lengths[own] + 1) - 1
+        ids = np.full(int(ends[-1]) + 1, PAD, np.int32)
+        rows = np.repeat(own, lengths[own] + 1)
+        inside = np.ones(len(ids), bool)
+        inside[ends] = False
         flat = np.frombuffer(b"".join(pieces), np.uint8)
-        ids, rows = self.inner[flat], np.repeat(np.arange(len(pieces)), lengths)
-        ends = np.cumsum(lengths)[lengths > 0] - 1
-        ids[ends] = self.last[flat[ends]]
-        while len(ids) > 1:
-            same = rows[:-1] == rows[1:]
+        ids[inside] = self.inner[flat]
+        ids[ends - 1] = self.last[flat[np.cumsum(lengths[own]) - 1]]
+        while len(ids):
+            ahead, behind = np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
             ranks = np.full(len(ids), NONE, np.int32)
-            where = np.flatnonzero(same)
-            ranks[where] = self.pairs(ids[where], ids[where + 1])
-            heads = np.flatnonzero(np.r_[True, ~same])
-            least = np.minimum.reduceat(ranks, heads)
+            ranks[:-1] = self.pairs(ids[:-1], ids[1:])
+            heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
             sizes = np.diff(np.r_[heads, len(ids)])
-            hit = (ranks == np.repeat(least, sizes)) & (ranks != NONE)
-            if self.at_once:  # in a run of hits, only a pair of equal symbols overlaps itself; take every second place
-                places = np.flatnonzero(hit)
-                fresh = np.r_[True, np.diff(places) != 1] if len(places) else np.zeros(0, bool)
-                run_start = places[fresh][np.cumsum(fresh) - 1] if len(places) else places
-                places = places[(places - run_start) % 2 == 0]
-            else:
-                places = np.flatnonzero(hit)
-                places = places[np.r_[True, rows[places][1:] != rows[places][:-1]]] if len(places) else places
-            if not len(places):
-                break
-            ids[places] = self.made[ranks[places]]
-            np.subtract.at(counts, rows[places], 1)
-            keep = np.ones(len(ids), bool)
-            keep[places + 1] = False
-            active = np.repeat(least != NONE, sizes)
-            keep &= active
+            gone = 0
+            while True:
+                least = np.minimum.reduceat(ranks, heads)
+                going = least != NONE
+                if not going.any() or 2 * (gone + sizes[~going].sum()) > len(ids):
+                    break
+                hits = np.flatnonzero((ranks == np.repeat(least, sizes)) & (ranks != NONE)) if len(heads) > 1 else np.flatnonzero(ranks == least[0])
+                if self.at_once:  # only a pair of equal symbols overlaps itself: in a run of hits every second place
+                    fresh = np.r_[True, ahead[hits[:-1]] != hits[1:]]
+                    begin = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+                    at = hits[(np.arange(len(hits)) - begin) % 2 == 0]
+                else:
+                    at = hits[np.r_[True, rows[hits[1:]] != rows[hits[:-1]]]]
+                lost = ahead[at]
+                after = ahead[lost]
+                ids[at], ids[lost], ranks[lost] = self.made[ranks[at]], GONE, NONE
+                ahead[at], behind[after] = after, at
+                np.subtract.at(counts, rows[at], 1)
+                gone += len(at)
+                places = np.concatenate([at, behind[at]])
+                places = places[places >= 0]
+                ranks[places] = self.pairs(ids[places], ids[ahead[places]])
+            keep = np.repeat(going, sizes) & (ids != GONE)
             ids, rows = ids[keep], rows[keep]
         return counts
 
@@ -109,7 +128,7 @@ class WordBPE:
         return self.find(text.lower())
 
     def count(self, batch: list[str]) -> np.ndarray:
-        if len(self.memo) > MEMO:
+        if self.memo.full(MEMO, MEMO_CHARS):
             self._forget()
         numbers, extra = [], np.zeros(len(batch), np.int64)
         for k, text in enumerate(batch):

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -69,6 +70,47 @@ def test_token_counts_as_the_library(spark, texts):
     assert tokencount.count_tokens(frame(spark, texts).limit(0), WORD_VOCABULARY).collect() == []
 
 
+def unbroken():
+    """Long texts without a place to split: runs, two letters, many letters, several bytes a letter, word parts; odd lengths around a row."""
+    rng = random.Random(8)
+    some = ["".join(rng.choices(alphabet, k=n)) for alphabet, n in (("a", 5001), ("ab", 8000), ("abcdefghijklmnopqrstuvwxyz", 9000), ("éüñßaeiounst", 6000), ("日本語テキスト漢字仮名交", 4000), ("!?.,;-", 5000), (["the", "ing", "tion", "and", "al"], 4000))]
+    return some + [c * k for k in (127, 128, 129, 191, 192, 193, 257) for c in ("a", "!", "ab")] + ["".join(rng.choices("aab", k=k)) for k in range(126, 200)]
+
+
+def test_unbroken_pieces_as_the_libraries():
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    with open(locate(BYTE_VOCABULARY), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    bytewise, wordwise = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(locate(WORD_VOCABULARY))
+    own, counts = bpe.ByteBPE(BYTE_VOCABULARY), tokencount.WordBPE(WORD_VOCABULARY)
+    assert own.in_order and counts.at_once
+    texts = unbroken()
+    ids, bounds = own.encode(texts)
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == bytewise.encode_ordinary(text), text[:40]
+    assert counts.count(texts).tolist() == [len(wordwise.encode(t, add_special_tokens=False).ids) for t in texts]
+    own.in_order = False
+    assert all((own._folded(t.encode()) == ids[bounds[k] : bounds[k + 1]]).all() for k, t in enumerate(texts) if " " not in t and 128 < len(t.encode()) < 300)
+
+
+@pytest.mark.parametrize("letters", ["a", "abcdefghijklmnopqrstuvwxyz"])
+def test_a_megabyte_without_a_break_takes_seconds(letters):
+    text = "".join(random.Random(9).choices(letters, k=1 << 20))
+    began = time.perf_counter()
+    assert len(bpe.opened(BYTE_VOCABULARY).encode([text])[0]) > 1000 and tokencount.opened(WORD_VOCABULARY).count([text])[0] > 1000
+    assert time.perf_counter() - began < 120
+
+
+def test_memos_are_bounded_in_characters(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_CHARS", 100), monkeypatch.setattr(tokencount, "MEMO_CHARS", 100)
+    own, counts = bpe.ByteBPE(BYTE_VOCABULARY), tokencount.WordBPE(WORD_VOCABULARY)
+    for k in range(5):
+        own.encode(["x" * (150 + k)]), counts.count(["x" * (150 + k)])
+        assert own.memo.held < 200 and counts.memo.held < 200
+
+
 def test_counts_one_merge_at_a_time():
     own = tokencount.WordBPE(WORD_VOCABULARY)
     pieces = [p.encode() for p in ("aaaaaaa", "bananarama", "x", "thethethe", "ßéé" * 9)]
