@@ -282,10 +282,47 @@ def test_top_k(spark, block):
     assert vafile.search(frame_.limit(0), F.col("vec_id") % 100 == 0).collect() == []
 
 
-def test_cells_spare_exact_vectors():
+def test_exact_vectors_are_read_for_survivors_only(spark):
     rng = np.random.default_rng(5)
-    v = np.floor(1024 * rng.normal(0, 0.125, (4000, 64))).astype(np.int64)
-    best = vafile.Best(np.arange(5), v[:5], 10)
-    for at in range(0, len(v), 1000):
-        best.scan(np.arange(at, at + 1000), v[at : at + 1000])
-    assert best.read < 0.2 * 5 * len(v)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.125, 64)]) for i in range(4000)]
+    rows += [(4000 + i, rows[7][1]) for i in range(500)]  # copies
+    given = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("vec_id", "xxhash64(embedding) AS key", "embedding")
+    grid = vafile.grid_of(given)
+    table = vafile.approximations(given, grid, 10)
+    assert table.count() == 4000 + 10  # eleven of the copies
+    assert {len(r.cells) for r in table.limit(5).collect()} == {64}
+    asks = [rows[i] for i in (0, 100, 200, 300, 7)]
+    left = vafile.survivors(table, grid, asks, 10)
+    assert left.count() <= 5 * 20 and "embedding" not in left.columns
+    # Bounds hold for every row, and what is taken in order of the upper bound ends early.
+    v = vafile.whole(np.array([r[1] for r in rows]))
+    for r in left.collect():
+        assert r.lower <= v[asks[r.query][0]] @ v[r.vec_id] <= r.upper
+    taken = []
+    real = vafile._dot
+    many = [(0, int(vec), float(u), e) for vec, u, e in sorted(((i, v[0] @ v[i] + 9, rows[i][1]) for i in range(1, 4000)), key=lambda x: -x[1])]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([m[0] for m in many], pa.int32()), pa.array([m[1] for m in many]), pa.array([m[2] for m in many]), pa.array([m[3] for m in many], pa.list_(pa.float32()))], names=["query", "vec_id", "upper", "embedding"])
+    vafile._dot = lambda q, x: taken.append(len(x)) or real(q, x)
+    try:
+        (out,) = list(vafile.certain(asks, 10)(iter([batch])))
+    finally:
+        vafile._dot = real
+    assert sum(taken) <= 64
+    want = sorted((-int(v[0] @ v[i]), i) for i in range(1, 4000))[:10]
+    assert list(zip(out.column("score").to_pylist(), out.column("vec_id").to_pylist())) == [(-s, i) for s, i in want]
+
+
+def test_top_k_of_large_and_of_equal_components(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 4) * 10.0 ** rng.integers(0, 12)]) for i in range(300)] + [(1000 + i, [0.5] * 4) for i in range(60)] + [(1000, [0.5] * 4)] * 3
+    got = vafile.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    clipped = lambda s: max(-(2**63), min(2**63 - 1, s))
+    exact = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    for i in {i for i, _ in rows if i % 100 == 0}:
+        q = next(v for j, v in exact if j == i)
+        want = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in exact if j != i)[:10]
+        assert [(r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)] == [(clipped(-s), j) for s, j in want]
+    huge = [(0, [-1e300, 1e160, 0.0, 1.0]), (7, [1e307, 0.0, 0.0, 0.0]), (8, [1.0, 2.0, 3.0, 4.0])]
+    assert [r.vec_id for r in vafile.search(spark.createDataFrame(huge, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()] == [8, 7]
