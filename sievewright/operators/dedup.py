@@ -4,10 +4,17 @@ Near duplicates agree in at least NEAR_SLOTS of HASHES minimum hashes. With at m
 five bands is equal as a whole, so buckets of equal bands hold every pair. A document is kept if no earlier kept
 document is near it; that isn't the first of a connected component: with A near B, B near C, A not near C, both A and C
 stay. Rounds settle it; see overtaken().
+
+A crowded bucket is dealt out in chunks of about RUN rows, every two of which meet in a task of their own (a tile), so
+no task holds more than some 2 * RUN signatures whatever the size of a bucket.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,22 +22,28 @@ from sievewright.functions import constants as K
 from sievewright.functions import text as T
 from sievewright.functions.frames import cut
 
+#: Rows of a bucket that one chunk holds.
+RUN = 1024
+#: Rows of a bucket, the first ones, that the first round settles; each later round takes as many times more.
+LEAD = 64
+
 
 def exact_hash(text) -> Column:
     return F.sha2(T.normalise(text), 256)
 
 
 def exact_duplicates(docs: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """Adds exact_hash and duplicate: whether an earlier row has the same normalised text.
+    """Adds exact_hash and duplicate: whether an earlier row has the same normalised text; places (order) are distinct.
 
-    The earliest row of a hash is the minimum of a partial aggregation, so a text with many copies is no hot task. The
-    hash comes out of a generator, so that no filter inferred from the join computes it once more.
+    The earliest place of a hash is the minimum of a partial aggregation. Rows are then matched with such places by
+    their own, so no task meets the copies of a text. The hash comes out of a generator, so that no filter inferred from
+    the join computes it once more.
     """
-    place = F.struct(*order)
     hashed = docs.select("*", F.explode(F.array(exact_hash(text))).alias("exact_hash"))
-    first = hashed.groupBy("exact_hash").agg(F.min(place).alias("__first"))
-    first = first.withColumnRenamed("exact_hash", "__hash")
-    return hashed.join(first, hashed["exact_hash"] == first["__hash"]).withColumn("duplicate", place != F.col("__first")).drop("__hash", "__first")
+    firsts = hashed.groupBy("exact_hash").agg(F.min(F.struct(*order)).alias("__first"))
+    firsts = firsts.select(*[F.col(f"__first.{c}").alias(f"__first_{c}") for c in order], F.lit(True).alias("__is_first"))
+    same = [hashed[c].eqNullSafe(firsts[f"__first_{c}"]) if hashed.schema[c].nullable else hashed[c] == firsts[f"__first_{c}"] for c in order]
+    return hashed.join(firsts, same, "left").withColumn("duplicate", F.col("__is_first").isNull()).drop("__is_first", *[f"__first_{c}" for c in order])
 
 
 def shingles(text, n: int = K.SHINGLE_WORDS) -> Column:
@@ -80,16 +93,99 @@ def bands(hashes: int = K.HASHES, least: int = K.NEAR_SLOTS) -> list[tuple[int,
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def near_pairs(signed: DataFrame, key: str = "doc_id", hashes: int = K.HASHES, least: int = K.NEAR_SLOTS) -> DataFrame:
-    """(a, b, agree) with a < b for all rows that agree in enough slots; signed: key, signature, each once."""
-    banded = signed.select(key, "signature", F.explode(F.array(*[F.struct(F.lit(k).alias("no"), F.hash(F.slice("signature", s + 1, n)).alias("h"), F.xxhash64(F.slice("signature", s + 1, n)).alias("x")) for k, (s, n) in enumerate(bands(hashes, least))])).alias("band"))
-    slim = banded.select(F.col(key).alias("id"), "band.*")
-    shared = slim.groupBy("no", "h", "x").agg(F.count("*").alias("n")).filter("n > 1").select("no", "h", "x")
-    live = slim.join(shared, ["no", "h", "x"])
-    left, right = (live.select("no", "h", "x", F.col("id").alias(i)) for i in ("a", "b"))
-    pairs = left.join(right, ["no", "h", "x"]).filter("a < b").select("a", "b").distinct()
-    one, two = (signed.select(F.col(key).alias(i), F.col("signature").alias(s)) for i, s in (("a", "s"), ("b", "t")))
-    return pairs.join(one, "a").join(two, "b").withColumn("agree", agreement("s", "t")).filter(F.col("agree") >= least).select("a", "b", "agree")
+def slots(signature) -> Column:
+    """A signature's hashes, 64 bits each: enough to tell whether slots are equal."""
+    return F.transform(signature, lambda h: F.xxhash64(h))
+
+
+def _buckets(signed: DataFrame, hashes: int, least: int) -> DataFrame:
+    """(id, bucket) a row for each band; signed: id, slots."""
+    each = F.array(*[F.xxhash64(F.lit(k), F.slice("slots", start + 1, n)) for k, (start, n) in enumerate(bands(hashes, least))])
+    return signed.select("id", F.explode(each).alias("bucket"))
+
+
+def _shared(buckets: DataFrame) -> DataFrame:
+    """Rows (id, bucket) of buckets with more than one row."""
+    return buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "bucket").select("id", "bucket")
+
+
+def _among(buckets: DataFrame, run: int = RUN) -> DataFrame:
+    """(run, id, side): rows of a bucket dealt to tiles; rows of one side in a tile of two sides meet elsewhere."""
+    chunks = F.ceil(F.col("n") / run)
+    own = F.pmod(F.xxhash64("id"), chunks)
+    meets = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.xxhash64("bucket", F.least(c, own), F.greatest(c, own)))
+    sized = buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket")
+    return sized.select("id", own.cast("int").alias("side"), F.explode(F.when(chunks == 1, F.array("bucket")).otherwise(meets)).alias("run"))
+
+
+def _between(left: DataFrame, right: DataFrame, run: int = RUN) -> DataFrame:
+    """(run, id, side): rows of a bucket dealt so that every left row (side 0) meets every right row (side 1) in one tile."""
+    n = lambda rows, name: rows.groupBy("bucket").agg(F.ceil(F.count("*") / run).alias(name))
+    sizes = n(left, "ls").join(n(right, "rs"), "bucket")
+    one = left.join(sizes, "bucket").select("id", F.lit(0).alias("side"), F.explode(F.transform(F.sequence(F.lit(0), F.col("rs") - 1), lambda c: F.xxhash64("bucket", F.pmod(F.xxhash64("id"), "ls"), c))).alias("run"))
+    two = right.join(sizes, "bucket").select("id", F.lit(1).alias("side"), F.explode(F.transform(F.sequence(F.lit(0), F.col("ls") - 1), lambda c: F.xxhash64("bucket", c, F.pmod(F.xxhash64("id"), "rs")))).alias("run"))
+    return one.union(two)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, sides, slots) of each tile, by id; a tile's rows come one after the other."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def out() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
+
+    for batch in batches:
+        run, ids, side = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("run", "id", "side"))
+        lists = batch.column("slots")
+        values = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(run), -1) if len(run) else np.zeros((0, 1), np.int64)
+        heads = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else []
+        for a, b in zip(heads, [*heads[1:], len(run)]):
+            if held and held[0][0][0] != run[a]:
+                yield out()
+                held = []
+            held.append((run[a:b], ids[a:b], side[a:b], values[a:b]))
+    if held:
+        yield out()
+
+
+def _met(tiles: DataFrame, rows: DataFrame, schema: str, work: Callable) -> DataFrame:
+    """What work(ids, sides, slots) gives of each tile as columns; rows: id, slots."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _whole(batches):
+            yield from (pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names) for columns in work(*tile))
+
+    full = tiles.join(rows, "id").repartition("run").sortWithinPartitions("run", "id")
+    return full.select("run", "id", "side", "slots").mapInArrow(run, schema)
+
+
+def near_pairs(signed: DataFrame, key: str = "doc_id", hashes: int = K.HASHES, least: int = K.NEAR_SLOTS, run: int = RUN) -> DataFrame:
+    """(a, b, agree) with a < b for all rows that agree in enough slots; signed: key, signature, each once.
+
+    A pair that shares several bands meets under each and counts under the first.
+    """
+    edges = bands(hashes, least)
+    rows = signed.select(F.col(key).alias("id"), slots("signature").alias("slots"))
+    each = F.array(*[F.struct(F.lit(k).alias("no"), F.xxhash64(F.lit(k), F.slice("slots", s + 1, n)).alias("bucket")) for k, (s, n) in enumerate(edges)])
+    banded = rows.select("id", F.explode(each).alias("b")).select("id", "b.*")
+
+    def work(ids, sides, values):
+        two = (sides != sides[0]).any()
+        for i in range(len(ids) - 1):
+            agree = (values[i + 1 :] == values[i]).sum(axis=1)
+            near = np.flatnonzero((agree >= least) & ((sides[i + 1 :] != sides[i]) | (not two)))
+            if len(near):
+                other = i + 1 + near
+                same = np.stack([(values[other, s : s + n] == values[i, s : s + n]).all(axis=1) for s, n in edges])
+                yield np.full(len(near), ids[i]), ids[other], agree[near].astype(np.int32), same.argmax(axis=0).astype(np.int32)
+
+    out = None
+    for no in range(len(edges)):
+        tiles = _among(banded.filter(F.col("no") == no).select("id", "bucket"), run)
+        found = _met(tiles, rows, "a bigint, b bigint, agree int, first int", work).filter(F.col("first") == no).select("a", "b", "agree")
+        out = found if out is None else out.union(found)
+    return out
 
 
 def members(signed: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -98,44 +194,68 @@ def members(signed: DataFrame, key: str = "doc_id") -> DataFrame:
     return signed.join(firsts, "signature").select(key, "representative")
 
 
-def slots(signature) -> Column:
-    """A signature's hashes, 64 bits each: enough to tell whether slots are equal."""
-    return F.transform(signature, lambda h: F.xxhash64(h))
+def _near(values: np.ndarray, other: np.ndarray, least: int) -> np.ndarray:
+    """Whether any of the other signatures is near, for each of the values."""
+    out = np.zeros(len(values), bool)
+    for at in range(0, len(values), 256):
+        some = values[at : at + 256]
+        agree = np.zeros((len(some), len(other)), np.uint8)
+        for k in range(values.shape[1]):
+            agree += some[:, k, None] == other[None, :, k]
+        out[at : at + 256] = (agree >= least).any(axis=1)
+    return out
 
 
-def _buckets(signed: DataFrame, hashes: int, least: int) -> DataFrame:
-    """(id, slots, bucket) a row for each band."""
-    each = F.array(*[F.xxhash64(F.lit(k), F.slice("slots", start + 1, n)) for k, (start, n) in enumerate(bands(hashes, least))])
-    return signed.select("id", "slots", F.explode(each).alias("bucket"))
+def near_to(stored: DataFrame, rows: DataFrame, hashes: int = K.HASHES, least: int = K.NEAR_SLOTS) -> DataFrame:
+    """Distinct ids of rows near a stored one; both: id, slots, and no id of both."""
 
+    def work(ids, sides, values):
+        late = np.flatnonzero(sides == 1)
+        yield (ids[late[_near(values[late], values[sides == 0], least)]],)
 
-def near_to(stored: DataFrame, rows: DataFrame, hashes: int = K.HASHES, least: int = K.NEAR_SLOTS) -> DataFrame:
-    """Distinct ids of rows near a stored one; both: id, slots. Stored rows aren't near each other, so few share a bucket."""
-    a = _buckets(stored, hashes, least).select("bucket", F.col("slots").alias("s"))
-    b = _buckets(rows, hashes, least)
-    return b.join(a, "bucket").filter(agreement("slots", "s") >= least).select("id").distinct()
+    tiles = _between(_buckets(stored, hashes, least), _buckets(rows, hashes, least))
+    return _met(tiles, stored.select("id", "slots").union(rows.select("id", "slots")), "id bigint", work).distinct()
 
 
-def overtaken(signed: DataFrame, hashes: int = K.HASHES, least: int = K.NEAR_SLOTS) -> DataFrame:
+def overtaken(signed: DataFrame, hashes: int = K.HASHES, least: int = K.NEAR_SLOTS, lead: int = LEAD) -> DataFrame:
     """Ids (column id) that are near a smaller id that stays; signed: id, slots, ids distinct.
 
-    In each round the smallest open id of a bucket leads it. An id that leads all its buckets has no open candidate
-    before it, so it stays, and the rows of its buckets that are near it go. A round compares a row with at most one
-    leader a band, so a bucket of any size costs its size and never its pairs. Rows alone in all buckets take no part.
+    In each round the first open ids of every bucket lead it: LEAD of them, and as many times more in each later round.
+    Leaders meet each other. An id that leads all its buckets has met every open candidate before it; if none of them is
+    near, it stays. Then all open rows meet those that stay, and rows near one go. So a group of near copies goes at
+    its first one, rows that share a bucket without being near take few rounds however many they are, and otherwise a
+    round follows each link of a chain. Rows alone in all their buckets take no part.
     """
     rows = cut(signed.select("id", "slots"))
-    every = _buckets(rows, hashes, least).select("id", "bucket")
-    open_ = cut(every.join(every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "bucket").select("id", "bucket"))
-    gone = rows.select("id").limit(0)
+    open_ = cut(_shared(_buckets(rows, hashes, least)))
+    gone = []
+
+    def earlier(ids, sides, values):
+        two, late = (sides != sides[0]).any(), np.zeros(len(ids), bool)
+        for i in range(len(ids) - 1):
+            late[i + 1 :] |= ((values[i + 1 :] == values[i]).sum(axis=1) >= least) & ((sides[i + 1 :] != sides[i]) | (not two))
+        yield (ids[late],)
+
+    def follow(ids, sides, values):
+        first, late = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+        yield (ids[late[_near(values[late], values[first], least)]],)
+
     while not open_.isEmpty():
-        led = open_.join(open_.groupBy("bucket").agg(F.min("id").alias("leader")), "bucket")
-        stays = cut(led.groupBy("id").agg(F.min("leader").alias("m")).filter("m = id").select("id"))
-        met = led.filter("id <> leader").select("id", "leader").distinct().join(stays.withColumnRenamed("id", "leader"), "leader", "left_semi")
-        met = met.join(rows, "id").join(rows.select(F.col("id").alias("leader"), F.col("slots").alias("s")), "leader")
-        goes = cut(met.filter(agreement("slots", "s") >= least).select("id").distinct())
-        open_ = cut(open_.join(stays.union(goes), "id", "left_anti"))
-        gone = cut(gone.union(goes))
-    return gone
+        order = Window.partitionBy("bucket").orderBy("id")
+        leaders = cut(open_.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= lead).drop("n"))
+        places = leaders.groupBy("id").agg(F.count("*").alias("led"))
+        ripe = open_.groupBy("id").agg(F.count("*").alias("in")).join(places, "id").filter(F.col("led") == F.col("in")).select("id")
+        late = _met(_among(leaders), rows, "id bigint", earlier)
+        stays = cut(ripe.join(late.distinct(), "id", "left_anti"))
+        rest = open_.join(stays, "id", "left_anti")
+        goes = cut(_met(_between(open_.join(stays, "id", "left_semi"), rest), rows, "id bigint", follow).distinct())
+        gone.append(goes)
+        open_ = cut(_shared(rest.join(goes, "id", "left_anti")))
+        lead *= LEAD
+    out = rows.select("id").limit(0)
+    for g in gone:
+        out = out.union(g)
+    return out
 
 
 def near_duplicates(docs: DataFrame, text: str, key: str = "doc_id", fast: bool = False, most: int | None = None) -> DataFrame:

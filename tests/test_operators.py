@@ -73,6 +73,41 @@ def test_greedy_is_sequential(spark):
         assert near == {k for k, s in enumerate(rows) if any(sum(x == y for x, y in zip(s, rows[j])) >= 28 for j in kept[: len(kept) // 2])}
 
 
+def test_rows_that_share_a_band_take_few_rounds(spark, monkeypatch):
+    """2,000 rows with one band in common and nothing else, and a chain: rounds follow the chain, not the bucket."""
+    rng, rounds = random.Random(7), []
+    rows = [[1] * 6 + [rng.getrandbits(60) for _ in range(26)] for _ in range(2000)]
+    given = spark.createDataFrame(list(enumerate(rows)), "id bigint, slots array<bigint>")
+    cutting = dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda df: rounds.append(df.columns == ["id", "bucket"]) or cutting(df))
+    assert dedup.overtaken(given).count() == 0
+    assert sum(rounds) <= 1 + 2 * 3  # what is open at first, and leaders and what is open in each round
+    near = [[*rows[0][:k], *(5 + k + i for i in range(4)), *rows[0][k + 4 :]] for k in range(28)]
+    mixed = rows[:1500] + [r for r in near for _ in range(3)]
+    want, kept = set(), []
+    for k, r in enumerate(mixed):
+        near_one = any(sum(x == y for x, y in zip(r, mixed[j])) >= 28 for j in kept if j == 0 or j >= 1500)
+        (want.add if near_one else kept.append)(k)
+    got = dedup.overtaken(spark.createDataFrame(list(enumerate(mixed)), "id bigint, slots array<bigint>"))
+    assert {r.id for r in got.collect()} == want
+
+
+def test_tiles_of_crowded_buckets(spark):
+    """Pairs of a bucket of many chunks are found once each, whatever bands they share."""
+    rng = random.Random(3)
+    base = [str(rng.getrandbits(40)) for _ in range(32)]
+    rows = []
+    for k in range(60):
+        s = list(base)
+        for _ in range(rng.randint(0, 5)):
+            s[rng.randrange(32)] = str(rng.getrandbits(40))
+        rows.append((k, s))
+    want = sorted((a, b, n) for a, s in rows for b, t in rows if a < b and (n := sum(x == y for x, y in zip(s, t))) >= 28)
+    signed = spark.createDataFrame(rows, "doc_id bigint, signature array<string>")
+    for run in (4, 1024):
+        assert sorted(tuple(r) for r in dedup.near_pairs(signed, run=run).collect()) == want
+
+
 def test_bands_miss_nothing():
     assert [n for _, n in dedup.bands()] == [6, 6, 7, 6, 7]
     random.seed(1)
