@@ -108,52 +108,54 @@ def gates() -> list[tuple[str, ...]]:
     They are the words of the rules' first keys. A set that holds another one adds nothing and is left out.
     """
     sets = {frozenset(key.split()) for key in [*(r[2][0] for r in rules()), *(p for p, _ in BASE)]}
-    return sorted(tuple(sorted(s)) for s in sets if not any(t < s for t in sets))
+    return sorted(tuple(sorted(s, key=lambda w: (-len(w), w))) for s in sets if not any(t < s for t in sets))
 
 
-#: Stand before and behind a match; no word holds them.
-OPENS, CLOSES = "\x01", "\x02"
+#: Stand before a match and its rule's number, between number and match, and behind the match; no word holds them.
+OPENS, SAYS, CLOSES = "\x01", "\x02", "\x03"
 #: No match has as many words, so a match that holds another starts in the same block of so many words or the one before.
 WIDEST = 128
 
 
+def _listed(values, kind: str) -> str:
+    """SQL: array of values, as one literal that is parsed once."""
+    return f"cast(split('{','.join(map(str, values))}', ',') AS array<{kind}>)"
+
+
 def _marked() -> str:
-    """SQL: of each rule whose keys the line x holds, its number and the line with its matches marked.
+    """SQL: of each rule whose keys the line x holds, the line with its matches marked.
 
     Patterns are literals, so each is compiled once, and a rule is tried only behind its keys. A match stands behind one
     blank and before another; the look-ahead leaves that to the next match.
     """
     by_key: dict[str, list[str]] = {}
     for k, (_, pattern, (key, *others), *_) in enumerate(rules()):
-        tried = f"named_struct('rule', {k}, 'line', regexp_replace(x, r' ({pattern})(?= )', ' {OPENS}$1{CLOSES}'))"
+        tried = f"regexp_replace(x, r' ({pattern})(?= )', ' {OPENS}{k}{SAYS}$1{CLOSES}')"
         behind = " AND ".join(f"contains(x, '{o}')" for o in others)
         by_key.setdefault(key, []).append(f"CASE WHEN {behind} THEN {tried} END" if others else tried)
     each = ", ".join(f"CASE WHEN contains(x, '{key}') THEN array({', '.join(own)}) END" for key, own in by_key.items())
-    return f"filter(flatten(filter(array({each}), g -> g IS NOT NULL)), m -> m IS NOT NULL AND contains(m.line, '{OPENS}'))"
+    return f"filter(flatten(array_compact(array({each}))), m -> contains(m, '{OPENS}'))"
 
 
 def _spans() -> str:
-    """SQL: (start, end, rule) of all matches in the line x, in words."""
-    words = "split(substring(m.line, 2), ' ')"
-    places = lambda sign, by: f"filter(transform(w, (v, i) -> CASE WHEN {by}(v, '{sign}') THEN i END), i -> i IS NOT NULL)"
-    pairs = f"zip_with({places(OPENS, 'startswith')}, {places(CLOSES, 'endswith')}, (a, b) -> named_struct('start', a, 'end', b + 1, 'rule', m.rule))"
-    return f"array_sort(array_distinct(flatten(transform({_marked()}, m -> element_at(transform(array({words}), w -> {pairs}), 1)))))"
-
-
-def _kept(spans: Column) -> Column:
-    """Matches that aren't inside another of higher priority, or inside a longer one of the same; by blocks of words."""
-    listed = lambda values: F.array(*map(F.lit, values))
-    labels, ranks, scores = (listed(r[k] for r in rules()) for k in (0, 3, 4))
-    known = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(labels, s["rule"]).alias("label"), F.get(ranks, s["rule"]).alias("rank"), F.get(scores, s["rule"]).alias("score")))
-    inside = lambda s, t: (t["start"] <= s["start"]) & (s["end"] <= t["end"]) & ((t["rank"] > s["rank"]) | ((t["rank"] == s["rank"]) & (t["end"] - t["start"] > s["end"] - s["start"])))
-    block = lambda all_, b: F.filter(all_, lambda s: F.floor(s["start"] / WIDEST) == b)
-
-    def by_block(all_: Column) -> Column:
-        blocks = F.array_distinct(F.transform(all_, lambda s: F.floor(s["start"] / WIDEST)))
-        pairs = F.transform(blocks, lambda b: F.struct(block(all_, b).alias("own"), block(all_, b - 1).alias("before")))
-        return F.flatten(F.transform(pairs, lambda p: F.filter(p["own"], lambda s: ~F.exists(p["own"], lambda t: inside(s, t)) & ~F.exists(p["before"], lambda t: inside(s, t)))))
-
-    return let(F.array_distinct(known), by_block)
+    """SQL: (start, end, rule) of all matches in the line x, in words, in order."""
+    words = "split(substring(m, 2), ' ')"
+    begins = f"filter(transform(w, (v, i) -> CASE WHEN startswith(v, '{OPENS}') THEN named_struct('at', i, 'rule', cast(substring_index(substring(v, 2), '{SAYS}', 1) AS int)) END), i -> i IS NOT NULL)"
+    ends = f"filter(transform(w, (v, i) -> CASE WHEN endswith(v, '{CLOSES}') THEN i END), i -> i IS NOT NULL)"
+    pairs = f"zip_with({begins}, {ends}, (a, b) -> named_struct('start', a.at, 'end', b + 1, 'rule', a.rule))"
+    return f"array_sort(flatten(transform({_marked()}, m -> element_at(transform(array({words}), w -> {pairs}), 1))))"
+
+
+def _kept(spans: str) -> str:
+    """SQL: matches that aren't inside another of higher priority, or inside a longer one of the same; by blocks of words."""
+    of = lambda k, kind: f"get({_listed((r[k] for r in rules()), kind)}, s.rule)"
+    known = f"array_distinct(transform({spans}, s -> named_struct('start', s.start, 'end', s.end, 'label', {of(0, 'string')}, 'rank', {of(3, 'int')}, 'score', {of(4, 'double')})))"
+    inside = "t.start <= s.start AND s.end <= t.end AND (t.rank > s.rank OR (t.rank = s.rank AND t.end - t.start > s.end - s.start))"
+    block = lambda b: f"filter(a, s -> s.start div {WIDEST} = {b})"
+    blocks = f"array_distinct(transform(a, s -> s.start div {WIDEST}))"
+    pairs = f"transform({blocks}, b -> named_struct('own', {block('b')}, 'before', {block('b - 1')}))"
+    kept = f"filter(p.own, s -> NOT exists(p.own, t -> {inside}) AND NOT exists(p.before, t -> {inside}))"
+    return f"element_at(transform(array({known}), a -> flatten(transform({pairs}, p -> {kept}))), 1)"
 
 
 def _phrase(words: Column, phrase: str) -> Column:
@@ -167,11 +169,10 @@ def _phrase(words: Column, phrase: str) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections of each row."""
     text = F.coalesce("text", F.lit(""))
-    every = lambda t, parts: reduce(Column.__and__, [F.contains(t, F.lit(p)) for p in parts])
-    any_gate = lambda t: reduce(Column.__or__, [every(t, g) for g in gates()])
-    line = lambda low: F.concat(F.lit(" "), F.btrim(F.regexp_replace(low, OTHER, " ")), F.lit(" "))
-    gated = let(F.translate(text, UPPER, LOWER), lambda low: F.when(any_gate(low), line(low)))
-    rows = docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("n_words"), gated.alias("line"))
+    any_gate = " OR ".join("(" + " AND ".join(f"contains(low, '{w}')" for w in g) + ")" for g in gates())
+    line = F.expr(f"element_at(transform(array(low), low -> CASE WHEN {any_gate} THEN concat(' ', btrim(regexp_replace(low, r'{OTHER}', ' ')), ' ') END), 1)")
+    lowered = docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("n_words"), F.translate(text, UPPER, LOWER).alias("low"))
+    rows = lowered.select("doc_id", "n_words", line.alias("line"))
     none = F.array().cast("array<int>")
 
     def based(line: Column) -> Column:
@@ -179,8 +180,8 @@ def scan(docs: DataFrame) -> DataFrame:
         return let(words, lambda w: F.array(*[F.struct(F.lit(label).alias("label"), F.when(F.contains(line, F.lit(f" {p} ")), _phrase(w, p)).otherwise(none).alias("at")) for p, label in BASE]))
 
     base = F.when(reduce(Column.__or__, [F.contains("line", F.lit(f" {p} ")) for p, _ in BASE]), F.filter(let(F.col("line"), based), lambda b: F.size(b["at"]) > 0))
-    spans = F.expr(f"element_at(transform(array(line), x -> {_spans()}), 1)")
-    seen = rows.select("doc_id", "n_words", base.alias("base"), F.when(F.col("line").isNotNull(), _kept(spans)).alias("kept"))
+    kept = F.expr(f"CASE WHEN line IS NOT NULL THEN element_at(transform(array(line), x -> {_kept(_spans())}), 1) END")
+    seen = rows.select("doc_id", "n_words", base.alias("base"), kept.alias("kept"))
     nothing = F.array().cast("array<string>")
     starts = F.flatten(F.col("base.at"))
     base_labels = F.coalesce(F.transform("base", lambda b: b["label"]), nothing)
