@@ -107,6 +107,6 @@ class Thresholds:
     dominant_min_words: int = 10
     max_profanity: float = 3.0
     max_marketing: float = 15.0
-    #: off, column (a language column), or a column of votes computed elsewhere.
+    #: off, column (a language column), detect (a function that the caller gives), or a column of votes computed elsewhere.
     language: str = "off"
     language_column: str = "lang"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,10 +45,13 @@ def probabilities(logits: DataFrame) -> DataFrame:
     return grown.withColumn("probability", F.col("__e") / F.sum("__e").over(every)).drop("__e")
 
 
+def draw_at(chances: DataFrame, point: Column) -> DataFrame:
+    """(step, token_id): of each step the first token whose running probability exceeds the point, of 0 to 1."""
+    order = Window.partitionBy("step").orderBy("token_id")
+    reached = chances.withColumns({"__upto": F.sum("probability").over(order), "__u": point})
+    return reached.groupBy("step").agg(F.coalesce(F.min(F.when(F.col("__upto") > F.col("__u"), F.col("token_id"))), F.max("token_id")).alias("token_id"))
+
+
 def draw(chances: DataFrame, seed: int) -> DataFrame:
     """(step, token_id): one draw a step from its probabilities, the same for the same seed."""
-    order = Window.partitionBy("step").orderBy("token_id")
-    point = F.pmod(F.xxhash64(F.lit(seed), "step"), F.lit(1 << 53)) / float(1 << 53)
-    reached = chances.withColumn("__upto", F.sum("probability").over(order)).withColumn("__u", point)
-    hit = reached.groupBy("step").agg(F.coalesce(F.min(F.when(F.col("__upto") > F.col("__u"), F.col("token_id"))), F.max("token_id")).alias("token_id"))
-    return hit
+    return draw_at(chances, F.pmod(F.xxhash64(F.lit(seed), "step"), F.lit(1 << 53)) / float(1 << 53))

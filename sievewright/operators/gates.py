@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,9 @@ from sievewright.functions import constants as K
 from sievewright.functions import text as T
 from sievewright.functions.constants import Thresholds
 
+#: The column of what a detector says of a text's samples.
+VOTES = "language_votes"
+
 
 def arrived(docs: DataFrame, text: str = "text") -> DataFrame:
     """Stripped texts; null and blank ones go, without a reason."""
@@ -16,7 +24,7 @@ def arrived(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_measures(docs: DataFrame, text: str = "text", limits: Thresholds = Thresholds()) -> DataFrame:
-    """markup_density of the raw text; clean_text; and the measures of that.
+    """markup_density of the raw text; clean_text; and the measures of that. They replace input columns of their names.
 
     Three projections: each column that others read several times is computed once in the projection below.
     """
@@ -59,20 +67,52 @@ def reason(limits: Thresholds = Thresholds()) -> Column:
     if limits.language == "column":
         gates.append(("bahasa_tidak_diizinkan", ~T.language_vote(F.array(limits.language_column))))
     elif limits.language != "off":
-        gates.append(("bahasa_tidak_diizinkan", ~T.language_vote(limits.language)))
+        gates.append(("bahasa_tidak_diizinkan", ~T.language_vote(VOTES if limits.language == "detect" else limits.language)))
     chain = F
     for name, rejects in gates:
         chain = chain.when(rejects, F.lit(name))
     return chain.otherwise(F.lit(None).cast("string"))
 
 
-def with_reason(docs: DataFrame, text: str = "text", limits: Thresholds = Thresholds()) -> DataFrame:
-    """Adds the measures and reason.
+def with_votes(docs: DataFrame, detect: Callable[[list[str]], list[str | None]], text: str = "clean_text", votes: str = VOTES) -> DataFrame:
+    """Adds votes, array<string>: what detect says of each sample of the text, in Arrow batches; None is no vote.
+
+    detect runs in Python workers, on the samples of many rows at once.
+    """
+    names = [c for c in docs.columns if c != votes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            samples = batch.column("__samples")
+            said = pa.array(list(detect(samples.flatten().to_pylist())), pa.string())
+            edges = pa.array(np.r_[0, np.cumsum(pc.list_value_length(samples).to_numpy(zero_copy_only=False))].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(edges, said)], names=[*names, votes])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != votes), f"`{votes}` array<string>"])
+    return docs.select(*names, T.language_samples(text).alias("__samples")).mapInArrow(run, schema)
+
+
+def with_reason(docs: DataFrame, text: str = "text", limits: Thresholds = Thresholds(), detect: Callable[[list[str]], list[str | None]] | None = None) -> DataFrame:
+    """Adds the measures and reason; columns of their names are replaced. detect names the languages of samples for limits.language == "detect".
 
     reason comes out of a generator of one row: a filter on it would otherwise be pushed below the projections, with
     every measure written out in it once for each use.
     """
-    return with_measures(docs.drop("reason"), text, limits).select("*", F.explode(F.array(reason(limits))).alias("reason"))
+    if (limits.language == "detect") != (detect is not None):
+        raise ValueError('a detector and limits.language = "detect" go together')
+    measured = with_measures(docs.drop("reason"), text, limits)
+    if detect is not None:
+        measured = with_votes(measured, detect)
+    return measured.select("*", F.explode(F.array(reason(limits))).alias("reason"))
+
+
+def measure() -> Column:
+    """The number that a row's reason goes by, null where it goes by none; rows with measures and reason."""
+    by = {"html_css_spam": "markup_density", "panjang_invalid": "n_words", "symbol_spam": "symbol_ratio", "boilerplate": "boilerplate", "profanity": "profanity", "marketing_spam": "marketing"}
+    chain = F
+    for name, column in by.items():
+        chain = chain.when(F.col("reason") == name, F.col(column).cast("double"))
+    return chain.otherwise(F.lit(None).cast("double"))
 
 
 def histogram(judged: DataFrame, top: int | None = None) -> DataFrame:

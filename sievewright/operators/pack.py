@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sievewright.functions import constants as K
 
 
-def chunk_parts(docs: DataFrame, size: int = K.CHUNK_TOKENS, source: str = "source_rank", before: str = "before", tokens: str = "tokens") -> DataFrame:
-    """(chunk_id, offset, tokens): what each document gives to each chunk.
+def chunk_parts(docs: DataFrame, size: int = K.CHUNK_TOKENS, source: str = "source_rank", before: str = "before", tokens: str = "tokens", keep: list[str] = []) -> DataFrame:
+    """(chunk_id, offset, tokens, and columns to keep): what each document gives to each chunk.
 
     A source's tokens stand one after the other and are cut every size tokens; the cut starts anew with each source
     and chunk numbers go on. docs: source rank, tokens before the document in its source, tokens array.
@@ -18,16 +18,15 @@ def chunk_parts(docs: DataFrame, size: int = K.CHUNK_TOKENS, source: str = "sour
     firsts = totals.select(F.col(source).alias("__s"), F.coalesce(F.sum(F.ceil(F.col("n") / size)).over(Window.orderBy(source).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
     held = docs.filter(F.size(tokens) > 0).join(firsts, F.col(source) == F.col("__s"))
     start, n = F.col(before), F.size(tokens)
-    spread = held.select("__first", start.alias("start"), F.col(tokens).alias("t"), F.explode(F.sequence(F.floor(start / size), F.floor((start + n - 1) / size))).alias("k"))
+    spread = held.select(*keep, "__first", start.alias("start"), F.col(tokens).alias("t"), F.explode(F.sequence(F.floor(start / size), F.floor((start + n - 1) / size))).alias("k"))
     low = F.greatest(F.col("k") * size - F.col("start"), F.lit(0)).cast("int")
     high = F.least((F.col("k") + 1) * size - F.col("start"), F.size("t")).cast("int")
-    return spread.select((F.col("__first") + F.col("k")).cast("bigint").alias("chunk_id"), (F.col("start") + low - F.col("k") * size).cast("bigint").alias("offset"), F.slice("t", low + 1, high - low).alias("tokens"))
+    return spread.select(*keep, (F.col("__first") + F.col("k")).cast("bigint").alias("chunk_id"), (F.col("start") + low - F.col("k") * size).cast("bigint").alias("offset"), F.slice("t", low + 1, high - low).alias("tokens"))
 
 
-def assembled(parts: DataFrame) -> DataFrame:
-    """(chunk_id, tokens array): for chunks that fit a row; a chunk has at most its size of tokens."""
-    pieces = F.array_sort(F.collect_list(F.struct("offset", "tokens")))
-    return parts.groupBy("chunk_id").agg(F.flatten(F.transform(pieces, lambda p: p["tokens"])).alias("tokens"))
+def chunk_sizes(parts: DataFrame) -> DataFrame:
+    """chunk_id, n_tokens of each chunk."""
+    return parts.groupBy("chunk_id").agg(F.sum(F.size("tokens")).cast("bigint").alias("n_tokens"))
 
 
 def shard(chunk_id="chunk_id", per: int = K.SHARD_CHUNKS) -> Column:
@@ -45,11 +44,22 @@ def split_validation(chunks: DataFrame, last: int = 2, by: str = "chunk_id") ->
     return marked.withColumn("validation", F.col("__id").isNotNull()).drop("__id")
 
 
-def windows(chunks: DataFrame, draws: DataFrame, length: int) -> DataFrame:
-    """(draw, chunk_id, start, x, y) for draws (draw, chunk_id, start): y is x one token later."""
-    t = chunks.select(F.col("chunk_id").alias("__c"), F.col("tokens").alias("__t"))
-    joined = draws.join(t, F.col("chunk_id") == F.col("__c"))
-    return joined.select("draw", "chunk_id", "start", F.slice("__t", F.col("start") + 1, length).alias("x"), F.slice("__t", F.col("start") + 2, length).alias("y"))
+def windows(parts: DataFrame, draws: DataFrame, length: int) -> DataFrame:
+    """(draw, chunk_id, start, x, y) for draws (draw, chunk_id, start): y is x one token later.
+
+    parts: chunk_id, offset, tokens, as chunks are held. They are cut into cells of length + 1 tokens, so a window lies
+    in two cells, which it meets by an equi-join; no chunk is put together.
+    """
+    w, o, n = length + 1, F.col("offset"), F.size("tokens")
+    spread = parts.filter(n > 0).select("chunk_id", "offset", "tokens", F.explode(F.sequence(F.floor(o / w), F.floor((o + n - 1) / w))).alias("cell"))
+    low = F.greatest(F.col("cell") * w - o, F.lit(0)).cast("int")
+    high = F.least((F.col("cell") + 1) * w - o, n).cast("int")
+    cells = spread.select("chunk_id", "cell", (o + low).alias("at"), F.slice("tokens", low + 1, high - low).alias("some"))
+    first = F.floor(F.col("start") / w)
+    asked = draws.select("draw", "chunk_id", "start", F.explode(F.array(first, first + 1)).alias("cell"))
+    met = asked.join(cells, ["chunk_id", "cell"]).groupBy("draw", "chunk_id", "start").agg(F.array_sort(F.collect_list(F.struct("at", "some"))).alias("p"))
+    joined = met.select("draw", "chunk_id", "start", (F.col("start") - F.col("p")[0]["at"]).cast("int").alias("skip"), F.flatten(F.transform("p", lambda p: p["some"])).alias("t"))
+    return joined.select("draw", "chunk_id", "start", F.slice("t", F.col("skip") + 1, F.lit(length)).alias("x"), F.slice("t", F.col("skip") + 2, F.lit(length)).alias("y"))
 
 
 def draw_windows(sizes: DataFrame, n: int, length: int, seed: int, by_size: bool = False) -> DataFrame:

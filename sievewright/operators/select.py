@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import constants as K
@@ -40,6 +42,13 @@ def remaining(catalog: DataFrame, done: DataFrame) -> DataFrame:
     return left.select("source", "target", rest.cast("bigint").alias("remaining"), (rest <= 0).alias("complete"))
 
 
+def turns(sums: DataFrame, stop: Callable[[Column], Column]) -> DataFrame:
+    """Sources (source_rank, n_tokens; a row each) that have their turn before stop(total) tokens are there; adds before."""
+    order = Window.orderBy("source_rank").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumns({"before": F.coalesce(F.sum("n_tokens").over(order), F.lit(0)), "__total": F.sum("n_tokens").over(Window.partitionBy())})
+    return placed.filter(F.col("before") < stop(F.col("__total"))).drop("__total")
+
+
 def capped_corpus(docs: DataFrame, caps: list[tuple], total: int, source: str = "source_rank", seq: str = "seq", text: str = "text") -> DataFrame:
     """Rows of each ranked source (from 0) until its row cap or the running share of all characters is reached.
 

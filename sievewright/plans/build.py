@@ -32,9 +32,13 @@ class Settings:
     redact: bool = False
     eos: int | None = None
     total: int | None = None
+    #: Minimum hashes by XXH64 in place of MD5; all of a build's state must agree.
+    fast: bool = False
+    #: Languages of text samples, for limits.language == "detect".
+    detect: Callable[[list[str]], list[str | None]] | None = None
 
 
-def new_documents(passed: DataFrame, exact: DataFrame, signatures: DataFrame, text: str = "clean_text", seq: str = "seq") -> DataFrame:
+def new_documents(passed: DataFrame, exact: DataFrame, signatures: DataFrame, text: str = "clean_text", seq: str = "seq", fast: bool = False) -> DataFrame:
     """Adds dup_reason, given hashes and kept signatures of earlier sources; passed rows have distinct seq.
 
     A row whose hash is known, or seen in an earlier row, is an exact duplicate. A row near a stored signature, or near
@@ -44,7 +48,8 @@ def new_documents(passed: DataFrame, exact: DataFrame, signatures: DataFrame, te
     judged = dedup.exact_duplicates(passed, text, [seq])
     known = exact.select(F.col("exact_hash").alias("__h")).distinct().withColumn("__known", F.lit(True))
     judged = cut(judged.join(known, F.col("exact_hash") == F.col("__h"), "left").withColumn("duplicate", F.col("duplicate") | F.col("__known").isNotNull()).drop("__h", "__known"))
-    fresh = cut(judged.filter(~F.col("duplicate")).select((F.col(seq) + base).alias("id"), dedup.signature(text).alias("signature")).withColumn("slots", dedup.slots("signature")))
+    texts = judged.filter(~F.col("duplicate")).select((F.col(seq) + base).alias("id"), F.col(text).alias("text"))
+    fresh = cut(dedup.signed(texts, "text", fast).withColumn("slots", dedup.slots("signature")))
     firsts = cut(fresh.groupBy("slots").agg(F.min("id").alias("id")))
     stored = cut(dedup.near_to(signatures.select("id", dedup.slots("signature").alias("slots")), firsts))
     gone = stored.union(dedup.overtaken(firsts.join(stored, "id", "left_anti"))).select(F.col("id").alias("first"), F.lit(True).alias("__lost"))
@@ -65,11 +70,11 @@ class Selected:
 
 def select_source(docs: DataFrame, exact: DataFrame, signatures: DataFrame, target: int, count: Callable[[DataFrame], DataFrame], settings: Settings = Settings()) -> Selected:
     """One source's rows (seq, text) to what it emits and adds to the state; count adds tokens (array) and n_tokens."""
-    judged = cut(gates.with_reason(gates.arrived(docs), "text", settings.limits))
+    judged = cut(gates.with_reason(gates.arrived(docs), "text", settings.limits, settings.detect))
     passed = judged.filter(F.col("reason").isNull())
     if settings.redact:
         passed = passed.withColumn("clean_text", T.redact("clean_text"))
-    marked = cut(new_documents(passed, exact, signatures))
+    marked = cut(new_documents(passed, exact, signatures, fast=settings.fast))
     kept = cut(count(marked.filter(F.col("dup_reason").isNull()).withColumn("__all", F.lit(0))))
     ordered = cut(select.emitted(kept, "educational", "n_tokens", settings.buffer, "__all"))
     emitted = select.within_budget(ordered, F.lit(target))
@@ -91,7 +96,6 @@ def build(spark: SparkSession, sources: dict[str, DataFrame], targets: dict[str,
 
     A source that fails is listed as failed, not as complete, and the build goes on.
     """
-    chunks.register(spark)
     progress = state.load_progress(spark, f"{out}/progress.json")
 
     def count(rows: DataFrame) -> DataFrame:
@@ -109,11 +113,8 @@ def build(spark: SparkSession, sources: dict[str, DataFrame], targets: dict[str,
             try:
                 got = select_source(docs, exact, signatures, target, count, settings)
                 rows = cut(got.emitted.withColumn("source_rank", F.lit(rank)))
-                parts = pack.assembled(pack.chunk_parts(rows, settings.chunk))
-                first = progress.chunk_idx
-                made = cut(parts.select((F.col("chunk_id") + first).alias("chunk_id"), "tokens"))
-                writer = made.write.format("token_chunks").mode("append")
-                (writer.option("shard", settings.shard) if settings.shard else writer).save(out)
+                parts = pack.chunk_parts(rows, settings.chunk).withColumn("chunk_id", F.col("chunk_id") + progress.chunk_idx)
+                chunks.write(parts, out, settings.shard)
                 batch = f"{rank:03d}"
                 got.exact.write.mode("overwrite").parquet(f"{out}/state/exact/{batch}")
                 got.signatures.write.mode("overwrite").parquet(f"{out}/state/signatures/{batch}")
@@ -122,8 +123,8 @@ def build(spark: SparkSession, sources: dict[str, DataFrame], targets: dict[str,
                 state.save_progress(spark, f"{out}/progress.json", progress)
                 print(f"{name}: {failure}")
                 continue
-            n, new = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0], made.count()
-            progress.chunk_idx += new
+            n = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+            progress.chunk_idx += -(-n // settings.chunk)
             progress.total_tokens += n
             progress.tokens_per_source[name] = progress.tokens_per_source.get(name, 0) + n
             progress.batches.append(batch)

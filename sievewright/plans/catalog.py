@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions import constants as K
 from sievewright.functions import text as T
 from sievewright.functions.constants import Thresholds
-from sievewright.functions.frames import cut, read_table
+from sievewright.functions.frames import cut, read_table, shared_folder
 from sievewright.operators import decoding, dedup, gates, pack, select, tokens
 from sievewright.plans import build, runs
 from sievewright.plans import sql as S
-from sievewright.sources import state
+from sievewright.sources import chunks, readers, state
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 #: Sizes that show several buffers and chunks on small tables too.
-BUFFER, BUDGET, CHUNK, WINDOW = 16, 5000, 4096, 128
+BUFFER, CHUNK, WINDOW = 16, 4096, 128
+#: Words that a source may give, and kept rows that later ones are compared with.
+BUDGET, STORED = 3_000_000_000, 500_000
 SHORT = Thresholds(min_words=50)
 
 
@@ -236,6 +240,41 @@ def cascade(spark, d):
     return gates.with_reason(gates.arrived(documents(spark, d)), "text", limits).select("doc_id", "reason")
 
 
+#: A toy detector, by counts of marker words: what a real one would be given and asked for.
+_MARKERS = {"de": "und", "en": "and", "es": "y", "fr": "et"}
+
+
+def toy_detector(samples: list[str]) -> list[str | None]:
+    """The language whose marker word stands in a sample most often, the first of them on ties; None without any."""
+    counts = [[(-s.lower().split(" ").count(w), name) for name, w in _MARKERS.items()] for s in samples]
+    return [min(c)[1] if min(c)[0] else None for c in counts]
+
+
+def _toy_sql() -> str:
+    count = lambda w: f"len(list_filter(string_split(lower(s), ' '), lambda w: w = '{w}'))"
+    best = f"greatest({', '.join(map(count, _MARKERS.values()))})"
+    return f"CASE WHEN {best} = 0 THEN NULL {' '.join(f'WHEN {count(w)} = {best} THEN {S.quoted(name)}' for name, w in sorted(_MARKERS.items()))} END"
+
+
+@query(f"""WITH {S.measured('documents', 'doc_id', 'text')},
+samples AS (SELECT doc_id, unnest(list_filter(list_transform([0.15, 0.5, 0.85], lambda f: substr(clean_text, CAST(floor(length(clean_text) * CAST(f AS DOUBLE)) AS BIGINT) + 1, 2000)), lambda s: length(s) >= 200)) AS s FROM judged WHERE length(clean_text) >= 800),
+votes AS (SELECT doc_id, count(v) AS n, count(*) FILTER (v IN ({', '.join(map(S.quoted, K.ALLOWED_LANGUAGES))})) AS good FROM (SELECT doc_id, {_toy_sql()} AS v FROM samples) GROUP BY ALL)
+SELECT doc_id, coalesce(CASE WHEN {S.reason(50)} IS NOT NULL THEN {S.reason(50)} WHEN n > 0 AND 2 * good < n THEN 'bahasa_tidak_diizinkan' END) AS reason FROM judged LEFT JOIN votes USING (doc_id)""")
+def cascade_detected(spark, d):
+    """The cascade with a detector of languages."""
+    limits = Thresholds(min_words=50, language="detect")
+    return gates.with_reason(gates.arrived(documents(spark, d)), "text", limits, toy_detector).select("doc_id", "reason")
+
+
+@query(f"""WITH {S.measured('documents', 'doc_id', 'text')}, r AS (SELECT *, {S.reason(50)} AS reason FROM judged)
+SELECT doc_id, reason, CASE reason WHEN 'html_css_spam' THEN markup_density WHEN 'panjang_invalid' THEN n_words WHEN 'symbol_spam' THEN symbol_ratio WHEN 'boilerplate' THEN boilerplate
+  WHEN 'profanity' THEN profanity WHEN 'marketing_spam' THEN marketing END AS measure FROM r WHERE reason IS NOT NULL""")
+def reject_measures(spark, d):
+    """Rejected documents with the measure that a reason goes by, where it goes by one."""
+    judged = gates.with_reason(gates.arrived(documents(spark, d)), "text", SHORT).filter(F.col("reason").isNotNull())
+    return judged.select("doc_id", "reason", gates.measure().alias("measure"))
+
+
 @query(f"WITH {S.measured('pages', 'page_id', 'html')} SELECT page_id, {S.reason(50)} AS reason FROM judged")
 def cascade_pages(spark, d):
     return gates.with_reason(gates.arrived(pages(spark, d), "html"), "html", SHORT).select("page_id", "reason")
@@ -298,19 +337,25 @@ def shingle_count(spark, d):
 
 @query(f"WITH {_SHINGLES} SELECT doc_id, array_to_string(signature, ' ') AS signature FROM signed")
 def minhash_signature(spark, d):
-    return documents(spark, d).select("doc_id", F.array_join(dedup.signature("text"), " ").alias("signature"))
+    return dedup.signed(documents(spark, d).select("doc_id", "text")).select("doc_id", F.array_join("signature", " ").alias("signature"))
+
+
+@query()
+def near_dedup_fast(spark, d):
+    """near_dedup_greedy with minimum hashes by XXH64, which SQL elsewhere doesn't have."""
+    return dedup.deduplicate(documents(spark, d).select("doc_id", "text"), "text", fast=True).select("doc_id", "dup_reason")
 
 
 @query(f"WITH {_SHINGLES}, {_NEAR} SELECT a, b, agree FROM pairs")
 def near_dup_pairs(spark, d):
-    signed = cut(documents(spark, d).select("doc_id", dedup.signature("text").alias("signature")))
-    return dedup.near_pairs(signed.groupBy("signature").agg(F.min("doc_id").alias("doc_id")))
+    signed = cut(dedup.signed(documents(spark, d).select("doc_id", "text")))
+    return dedup.near_pairs(cut(signed.groupBy("signature").agg(F.min("doc_id").alias("doc_id"))))
 
 
 @query(f"WITH {_SHINGLES}, firsts AS (SELECT signature, min(doc_id) AS id FROM signed GROUP BY ALL) SELECT doc_id, id AS representative FROM signed JOIN firsts USING (signature)")
 def near_dup_members(spark, d):
     """Whom near_dup_pairs speaks for: rows that aren't their own representative agree with it in all slots."""
-    return dedup.members(cut(documents(spark, d).select("doc_id", dedup.signature("text").alias("signature"))))
+    return dedup.members(cut(dedup.signed(documents(spark, d).select("doc_id", "text"))))
 
 
 _GREEDY = f"""
@@ -344,10 +389,27 @@ def near_dedup_across_sources(spark, d):
     return first.select("doc_id", "dup_reason").union(second.select("doc_id", "dup_reason"))
 
 
-@query()
+def capped_sql(most: int) -> str:
+    """A walk over the rows that have an earlier near one. A kept row is stored if it is among the first `most` kept ones."""
+    return f"""
+WITH RECURSIVE {_SHINGLES}, {_NEAR},
+ranked AS (SELECT id, row_number() OVER (ORDER BY id) AS place FROM firsts),
+late AS (SELECT b, list({{'id': a, 'place': r.place}}) AS earlier, row_number() OVER (ORDER BY b) AS i FROM pairs JOIN ranked r ON r.id = a GROUP BY b),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone
+  UNION ALL
+  SELECT late.i, CASE WHEN len(list_filter(earlier, lambda x: NOT list_contains(gone, x.id) AND x.place - len(list_filter(gone, lambda g: g < x.id)) <= {most})) > 0 THEN list_append(gone, b) ELSE gone END
+  FROM walk JOIN late ON late.i = walk.i + 1
+), gone AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM walk ORDER BY i DESC LIMIT 1)),
+last AS (SELECT coalesce((SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS k FROM firsts WHERE id NOT IN (SELECT id FROM gone)) WHERE k = {most}), 9223372036854775807) AS id)
+SELECT doc_id, firsts.id IN (SELECT id FROM gone) OR (doc_id <> firsts.id AND firsts.id <= last.id) AS near_duplicate
+FROM signed JOIN firsts USING (signature) CROSS JOIN last"""
+
+
+@query(capped_sql(STORED))
 def near_dedup_capped(spark, d):
-    """Only the first 100 kept rows are compared with."""
-    return dedup.near_duplicates(documents(spark, d), "text", most=100)
+    """Only so many kept rows, the first ones, are compared with."""
+    return dedup.near_duplicates(documents(spark, d), "text", most=STORED)
 
 
 # -- order, budgets, chunks -------------------------------------------------------------------------------------------
@@ -382,62 +444,191 @@ def source_budget(spark, d):
     return select.remaining(done.select("source", F.lit(20_000).cast("bigint").alias("target")), done)
 
 
-_CAPS = [(20, 50, None, 0.25), (20, 50, 2000, 0.45), (20, 100, 1000, 0.75), (20, 50, 1500, 1.0)]
-_CAP_CHARS = 80_000
-
-
-def _caps_sql() -> str:
+def caps_sql(caps: list[tuple], chars: int) -> str:
     parts, carried = [], ["SELECT 0 AS n"]
-    for k, (rows, least, keep, share) in enumerate(_CAPS):
+    for k, (rows, least, keep, share) in enumerate(caps):
         piece = "text" if keep is None else f"substr(text, 1, {keep})"
         before = " UNION ALL ".join(f"SELECT coalesce(sum(length(piece)), 0) AS n FROM c{j}" for j in range(k)) or carried[0]
         parts.append(f"""r{k} AS (SELECT doc_id, {k} AS source_rank, {piece} AS piece, CAST(coalesce(sum(length({piece})) OVER w, 0) AS BIGINT) AS chars_before, count(*) OVER w AS rows_before
   FROM documents WHERE source = 'src{k}' AND length(text) >= {least} WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-c{k} AS (SELECT * FROM r{k} WHERE rows_before = 0 OR (rows_before < {rows} AND chars_before + (SELECT sum(n) FROM ({before})) < {_CAP_CHARS} * {share}))""")
-    union = " UNION ALL ".join(f"SELECT doc_id, source_rank, CAST(length(piece) AS INTEGER) AS n_chars, chars_before FROM c{k}" for k in range(len(_CAPS)))
+c{k} AS (SELECT * FROM r{k} WHERE rows_before = 0 OR (rows_before < {rows} AND chars_before + (SELECT sum(n) FROM ({before})) < {chars} * {share}))""")
+    union = " UNION ALL ".join(f"SELECT doc_id, source_rank, CAST(length(piece) AS INTEGER) AS n_chars, chars_before FROM c{k}" for k in range(len(caps)))
     return f"WITH {', '.join(parts)} {union}"
 
 
-@query(_caps_sql())
+def capped(spark, d, caps: list[tuple], chars: int) -> DataFrame:
+    return select.capped_corpus(sequenced(documents(spark, d)), caps, chars)
+
+
+@query(caps_sql(K.CORPUS_CAPS, K.CORPUS_CHARS))
 def corpus_caps(spark, d):
-    out = select.capped_corpus(sequenced(documents(spark, d)), _CAPS, _CAP_CHARS)
-    return out.select("doc_id", "source_rank", F.length("piece").alias("n_chars"), "chars_before")
+    return capped(spark, d, K.CORPUS_CAPS, K.CORPUS_CHARS).select("doc_id", "source_rank", F.length("piece").alias("n_chars"), "chars_before")
 
 
-@query(f"""
-WITH {_ORDERED}, totals AS (SELECT source, sum(n_tokens) AS n, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS source_rank FROM scored GROUP BY ALL),
-firsts AS (SELECT source, coalesce(sum(ceil(n / {CHUNK})) OVER (ORDER BY source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first, n FROM totals),
-chunks AS (SELECT first, n, unnest(range(0, CAST(ceil(n / {CHUNK}) AS BIGINT))) AS k FROM firsts)
-SELECT CAST(first + k AS BIGINT) AS chunk_id, CAST(least({CHUNK}, n - k * {CHUNK}) AS BIGINT) AS n_tokens, CAST(first + k AS BIGINT) // {K.SHARD_CHUNKS} AS shard FROM chunks""")
+@query(f"""WITH c AS (SELECT text, regexp_extract(source, '(\\d+)$', 1) AS k FROM documents),
+p AS (SELECT CASE k WHEN '0' THEN text WHEN '1' THEN substr(text, 1, 2000) WHEN '2' THEN substr(text, 1, 1000) ELSE substr(text, 1, 1500) END AS piece FROM c
+      WHERE k IN ('0', '1', '2', '3') AND length(text) >= CASE k WHEN '2' THEN 100 ELSE 50 END)
+SELECT line, count(*) AS n FROM (SELECT unnest(string_split_regex(piece, '\\r\\n|\\r|\\n')) AS line FROM p) GROUP BY line""")
+def corpus_lines(spark, d):
+    """The corpus as it is written for a tokenizer, read back by the line."""
+    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    readers.write_corpus(capped(spark, d, K.CORPUS_CAPS, K.CORPUS_CHARS), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+#: Words as tokens, each its length, and the chunk and place in it of each.
+_TOKENS = f"""{_ORDERED}, totals AS (SELECT source, sum(n_tokens) AS n, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS source_rank FROM scored GROUP BY ALL),
+firsts AS (SELECT source, CAST(coalesce(sum(ceil(n / {CHUNK})) OVER (ORDER BY source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, n FROM totals),
+listed AS (SELECT o.doc_id, firsts.first, o.before, {S.words('text')} AS w FROM ordered o JOIN firsts USING (source) JOIN documents d ON d.doc_id = o.doc_id),
+each AS (SELECT doc_id, first, unnest(w) AS word, before + generate_subscripts(w, 1) - 1 AS spot FROM listed),
+tokens AS (SELECT doc_id, word, CAST(length(word) AS INTEGER) AS token, first + spot // {CHUNK} AS chunk_id, spot % {CHUNK} AS place FROM each)"""
+
+
+def _parts(spark, d, token=F.length) -> DataFrame:
+    """Words as tokens, each its length, as parts of chunks."""
+    texts = documents(spark, d).select(F.col("doc_id").alias("__d"), F.transform(T.words("text"), token).alias("tokens"))
+    rows = _ordered(spark, d).join(texts, F.col("doc_id") == F.col("__d"))
+    return pack.chunk_parts(rows, CHUNK)
+
+
+_SIZES = f"SELECT chunk_id, count(*) AS n_tokens FROM tokens GROUP BY ALL"
+
+
+@query(f"WITH {_TOKENS} SELECT chunk_id, count(*) AS n_tokens, chunk_id // {K.SHARD_CHUNKS} AS shard FROM tokens GROUP BY ALL")
 def chunk_pack_stats(spark, d):
-    return _chunks(spark, d).select("chunk_id", F.size("tokens").cast("bigint").alias("n_tokens"), pack.shard().alias("shard"))
+    return pack.chunk_sizes(_parts(spark, d)).select("chunk_id", "n_tokens", pack.shard().alias("shard"))
 
 
-def _chunks(spark, d) -> DataFrame:
-    """Words as tokens: a word's number is its hash."""
-    texts = documents(spark, d).select(F.col("doc_id").alias("__d"), F.transform(T.words("text"), lambda w: F.pmod(F.crc32(w), F.lit(1 << 16)).cast("int")).alias("tokens"))
+@query(f"WITH {_TOKENS} SELECT chunk_id, doc_id, min(place) AS offset, string_agg(word, ' ' ORDER BY place) AS words FROM tokens GROUP BY chunk_id, doc_id")
+def chunk_words(spark, d):
+    """Token order: the words that each document gives to each chunk, and where they begin."""
+    texts = documents(spark, d).select(F.col("doc_id").alias("__d"), T.words("text").alias("tokens"))
     rows = _ordered(spark, d).join(texts, F.col("doc_id") == F.col("__d"))
-    return pack.assembled(pack.chunk_parts(rows, CHUNK))
+    return pack.chunk_parts(rows, CHUNK, keep=["doc_id"]).select("chunk_id", "doc_id", "offset", F.array_join("tokens", " ").alias("words"))
+
+
+def _written(spark, d, shard: int | None) -> str:
+    """The chunks as files in a folder of their own."""
+    path = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    chunks.write(_parts(spark, d), path.removeprefix("file:"), shard)
+    return path
+
+
+@query(f"WITH {_TOKENS} SELECT 'chunk_' || lpad(CAST(chunk_id AS VARCHAR), 4, '0') || '.bin' AS name, chunk_id, count(*) AS n_tokens FROM tokens GROUP BY ALL")
+def chunk_files(spark, d):
+    """Chunks written to one folder, as their files say."""
+    path = _written(spark, d, None)
+    return chunks.files(spark, path).select(F.regexp_extract("path", r"(?:chunks-[0-9a-f]+)/(.*)$", 1).alias("name"), "chunk_id", "n_tokens")
+
+
+@query(f"WITH {_TOKENS} SELECT 'shard_' || lpad(CAST(chunk_id // 2 AS VARCHAR), 3, '0') || '/chunk_' || lpad(CAST(chunk_id AS VARCHAR), 4, '0') || '.bin' AS name, chunk_id, count(*) AS n_tokens FROM tokens GROUP BY ALL")
+def chunk_files_sharded(spark, d):
+    """The same in folders of two chunks each."""
+    path = _written(spark, d, 2)
+    return chunks.files(spark, path).select(F.regexp_extract("path", r"(?:chunks-[0-9a-f]+)/(.*)$", 1).alias("name"), "chunk_id", "n_tokens")
+
+
+@query(f"WITH {_TOKENS}, m AS (SELECT max(chunk_id) AS last FROM tokens) SELECT chunk_id, count(*) AS n_tokens, CAST(sum(token * (place % 1009 + 1)) AS BIGINT) AS weighed, chunk_id > any_value(last) - 2 AS validation FROM tokens, m GROUP BY chunk_id")
+def chunk_scan(spark, d):
+    """Chunk files read back: every token with its place, by chunk; the last two are for validation."""
+    parts = chunks.read(spark, _written(spark, d, None), part=1000)
+    each = parts.select("chunk_id", "offset", F.posexplode("tokens").alias("k", "token"))
+    sums = each.groupBy("chunk_id").agg(F.count("*").alias("n_tokens"), F.sum(F.col("token") * ((F.col("offset") + F.col("k")) % 1009 + 1)).cast("bigint").alias("weighed"))
+    return pack.split_validation(sums)
+
+
+@query(f"WITH {_TOKENS}, c AS ({_SIZES}) SELECT CAST(sum(n_tokens) AS BIGINT) AS tokens_done, count(*) AS next_chunk FROM c")
+def chunk_resume(spark, d):
+    return chunks.resume_point_frame(spark, _written(spark, d, 2)).select("tokens_done", "next_chunk")
 
 
 @query(f"""
 WITH {_ORDERED}, totals AS (SELECT source, sum(n_tokens) AS n FROM scored GROUP BY ALL), c AS (SELECT CAST(sum(ceil(n / {CHUNK})) AS BIGINT) AS n FROM totals)
 SELECT CAST(id AS BIGINT) AS chunk_id, id >= n - 2 AS validation FROM (SELECT n, unnest(range(0, n)) AS id FROM c)""")
 def train_val_split(spark, d):
-    return pack.split_validation(_chunks(spark, d).select("chunk_id"))
+    return pack.split_validation(pack.chunk_sizes(_parts(spark, d)).select("chunk_id"))
 
 
 @query()
 def windows(spark, d):
-    made = cut(_chunks(spark, d))
-    draws = pack.draw_windows(made.select("chunk_id", F.size("tokens").alias("n_tokens")), 256, WINDOW, seed=11)
-    return pack.windows(made, draws, WINDOW)
+    made = cut(_parts(spark, d))
+    return pack.windows(made, pack.draw_windows(cut(pack.chunk_sizes(made)), 256, WINDOW, seed=11), WINDOW)
+
+
+@query(f"""WITH {_TOKENS}, sizes AS ({_SIZES}), draws AS (SELECT event_id AS draw, event_id % (SELECT count(*) FROM sizes) AS chunk_id, event_id * 7919 AS point FROM events),
+placed AS (SELECT draw, chunk_id, CAST(point % (n_tokens - {WINDOW} - 1) AS BIGINT) AS start FROM draws JOIN sizes USING (chunk_id) WHERE n_tokens > {WINDOW} + 1),
+lists AS (SELECT chunk_id, list(token ORDER BY place) AS t FROM tokens GROUP BY ALL)
+SELECT draw, chunk_id, start, array_to_string(t[start + 1:start + {WINDOW}], ' ') AS x, array_to_string(t[start + 2:start + {WINDOW} + 1], ' ') AS y FROM placed JOIN lists USING (chunk_id)""")
+def windows_given(spark, d):
+    """Windows at given draws: a row of events is a draw."""
+    made = cut(_parts(spark, d))
+    sizes = cut(pack.chunk_sizes(made))
+    n = sizes.count()
+    draws = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("draw"), (F.col("event_id") % n).alias("chunk_id"), (F.col("event_id") * 7919).alias("point"))
+    placed = draws.join(sizes.filter(F.col("n_tokens") > WINDOW + 1), "chunk_id").select("draw", "chunk_id", (F.col("point") % (F.col("n_tokens") - WINDOW - 1)).cast("bigint").alias("start"))
+    out = pack.windows(made, placed, WINDOW)
+    return out.select("draw", "chunk_id", "start", F.array_join(F.transform("x", lambda t: t.cast("string")), " ").alias("x"), F.array_join(F.transform("y", lambda t: t.cast("string")), " ").alias("y"))
+
+
+@query(f"""WITH p AS (SELECT source, sum({S.word_count('text')}) AS n, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS k FROM documents GROUP BY ALL),
+b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM p)
+SELECT source, CAST(n AS BIGINT) AS n_tokens, CAST(before AS BIGINT) AS before FROM b WHERE before < total / 2""")
+def global_stop(spark, d):
+    """Sources in turn until half of all words are there; the one that reaches it is the last."""
+    sums = sequenced(documents(spark, d)).groupBy("source", "source_rank").agg(F.sum(T.word_count("text")).cast("bigint").alias("n_tokens"))
+    return select.turns(sums, lambda total: total / 2).select("source", "n_tokens", "before")
+
+
+@query(f"""WITH p AS (SELECT source, CAST(sum({S.word_count('text')}) AS BIGINT) AS n FROM documents GROUP BY ALL)
+SELECT array_to_string(list(source ORDER BY source), ',') AS completed, CAST(count(*) AS INTEGER) AS chunk_idx, CAST(sum(n) AS BIGINT) AS total_tokens, array_to_string(list(source || '=' || n ORDER BY source), ',') AS per_source FROM p""")
+def progress_round_trip(spark, d):
+    """Progress of a build over all sources, saved and loaded again."""
+    sums = {r.source: r.n for r in documents(spark, d).groupBy("source").agg(F.sum(T.word_count("text")).alias("n")).collect()}
+    path = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}.json"
+    state.save_progress(spark, path, state.Progress(sorted(sums), [], len(sums), sum(sums.values()), sums))
+    made = state.progress_frame(spark, state.load_progress(spark, path))
+    each = F.transform(F.array_sort(F.map_entries("tokens_per_source")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return made.select(F.array_join("completed_sources", ",").alias("completed"), "chunk_idx", "total_tokens", F.array_join(each, ",").alias("per_source"))
+
+
+@query("SELECT event_id AS step, round(value, 6) AS train, CASE WHEN event_id % 4 = 0 THEN round(value / 2, 6) END AS val FROM events")
+def loss_log(spark, d):
+    """Losses appended to a log in two turns, read back."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("step"), F.col("value").alias("train"), F.when(F.col("event_id") % 4 == 0, F.col("value") / 2).alias("val"))
+    path = f"{shared_folder(spark)}/losses-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        runs.append_losses(rows.filter(F.col("step") % 2 == half), path)
+    return runs.read_losses(spark, path)
+
+
+@query("SELECT event_id AS step, event_id < 15000 AS immature FROM events")
+def run_maturity(spark, d):
+    return runs.with_maturity(spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("step")))
+
+
+@query("WITH p(name, layers, hidden, heads, kv_heads, vocab) AS (VALUES " + ", ".join(f"('{n}', {', '.join(f'{x}::BIGINT' for x in rest)})" for n, *rest in K.PRESETS) + ") SELECT name, hidden // heads AS head, heads // kv_heads AS shared FROM p WHERE hidden % heads = 0 AND heads % kv_heads = 0")
+def checked_presets(spark, d):
+    """Presets that pass the checks of their shape; one that doesn't fails the query."""
+    ok = runs.checked(runs.presets(spark))
+    return ok.select("name", F.floor(F.col("hidden") / F.col("heads")).cast("bigint").alias("head"), F.floor(F.col("heads") / F.col("kv_heads")).cast("bigint").alias("shared"))
+
+
+_PIECE = "CASE p_size % 4 WHEN 0 THEN '<0x' || lpad(upper(to_hex(p_partkey % 256)), 2, '0') || '>' WHEN 1 THEN '<0x' || lower(to_hex(p_partkey)) || '>' WHEN 2 THEN p_type ELSE '<0xG' || p_size || '>' END"
+
+
+@query(f"WITH p AS (SELECT p_partkey, {_PIECE} AS piece FROM part) SELECT p_partkey, piece, regexp_full_match(piece, '<0x[0-9A-Fa-f]{{2}}>') AS is_byte FROM p")
+def byte_pieces(spark, d):
+    """Which pieces stand for a byte; pieces are made of the parts' columns."""
+    kind, key = F.col("p_size") % 4, F.col("p_partkey")
+    byte = F.concat(F.lit("<0x"), F.lpad(F.upper(F.hex(key % 256)), 2, "0"), F.lit(">"))
+    piece = F.when(kind == 0, byte).when(kind == 1, F.concat(F.lit("<0x"), F.lower(F.hex(key)), F.lit(">"))).when(kind == 2, F.col("p_type")).otherwise(F.concat(F.lit("<0xG"), F.col("p_size"), F.lit(">")))
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", piece.alias("piece"))
+    return rows.select("p_partkey", "piece", tokens.is_byte_piece("piece").alias("is_byte"))
 
 
 def _word_model(spark, d) -> bytes:
-    """A small model of a bounded sample of the first rows of each source."""
-    caps = [(50, 50, 2000, 1.0)] * 20
-    return tokens.train(select.capped_corpus(sequenced(documents(spark, d)), caps, 4_000_000), "piece", vocab=2000)
+    """A model of the corpus that the caps allow, which is a sample of bounded size; its vocabulary suits small tables."""
+    return tokens.train(capped(spark, d, K.CORPUS_CAPS, K.CORPUS_CHARS), "piece", vocab=2000)
 
 
 @query()
@@ -447,6 +638,14 @@ def tokenize_counts(spark, d):
     return coded.select("doc_id", F.size("tokens").alias("n_tokens"), F.length("decoded").alias("n_chars"))
 
 
+@query()
+def token_pieces(spark, d):
+    """How often each piece stands in the encoded documents."""
+    model = _word_model(spark, d)
+    coded = tokens.pieces(tokens.encode(documents(spark, d).select("doc_id", "text"), model), model)
+    return coded.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+
+
 # -- runs -------------------------------------------------------------------------------------------------------------
 
 
@@ -521,6 +720,16 @@ def softmax(spark, d):
     return decoding.probabilities(_logits(spark, d)).select("step", "token_id", F.round("probability", 9).alias("probability"))
 
 
+@query(f"""WITH {_LOGITS}, k AS (SELECT step, token_id, logit / 0.9 AS x FROM l QUALIFY rank() OVER (PARTITION BY step ORDER BY logit / 0.9 DESC) <= 50),
+m AS (SELECT step, token_id, exp(x - max(x) OVER (PARTITION BY step)) AS e FROM k), p AS (SELECT step, token_id, e / sum(e) OVER (PARTITION BY step) AS q FROM m),
+u AS (SELECT step, token_id, sum(q) OVER (PARTITION BY step ORDER BY token_id ROWS UNBOUNDED PRECEDING) AS upto, (step * 37 % 101 + 0.5) / 101 AS point FROM p)
+SELECT step, coalesce(min(token_id) FILTER (upto > point), max(token_id)) AS token_id FROM u GROUP BY step""")
+def sampled_tokens_given(spark, d):
+    """Draws at given points of 0 to 1."""
+    chances = decoding.probabilities(decoding.top_k(decoding.scaled(_logits(spark, d), 0.9), 50))
+    return decoding.draw_at(chances, (F.col("step") * 37 % 101 + 0.5) / 101)
+
+
 @query()
 def sampled_tokens(spark, d):
     return decoding.draw(decoding.probabilities(decoding.top_k(decoding.scaled(_logits(spark, d), 0.9), 50)), seed=5)

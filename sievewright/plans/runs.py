@@ -55,9 +55,9 @@ def read_losses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_losses(rows: DataFrame, path: str) -> None:
-    """One more file of the log, rounded to six places; readers take the whole folder."""
-    rounded = rows.select("step", F.round("train", 6).alias("train"), F.round("val", 6).alias("val"))
-    rounded.coalesce(1).write.mode("append").json(path)
+    """One more file of the log, a JSON array rounded to six places; readers take the whole folder. Rows of one append are few."""
+    rounded = F.struct("step", F.round("train", 6).alias("train"), F.round("val", 6).alias("val"))
+    rows.agg(F.to_json(F.array_sort(F.collect_list(rounded))).alias("value")).write.mode("append").text(path)
 
 
 def mean_loss(rows: DataFrame, last: int = 10) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Headerless files of 16-bit token ids: a scan, a Python data source for reading and writing, and their listing."""
+"""Headerless files of 16-bit token ids: a scan, a Python data source that writes them, and their listing.
+
+A chunk is never a row: it comes and goes as parts (chunk_id, offset, tokens), so that a chunk of any size takes the
+memory of a part. The writer appends the parts of a chunk to its file, one task a chunk.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 PATTERN = "chunk_*.bin"
+#: Tokens of a part, at most.
+PART = 1 << 16
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -19,10 +25,13 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return found.select("path", number.alias("chunk_id"), F.floor(F.col("length") / 2).cast("bigint").alias("n_tokens"))
 
 
+def resume_point_frame(spark: SparkSession, path: str) -> DataFrame:
+    """tokens_done in the chunk files that are there, and next_chunk, the number of the next one."""
+    return files(spark, path).agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens_done"), F.count("*").alias("next_chunk"))
+
+
 def resume_point(spark: SparkSession, path: str) -> tuple[int, int]:
-    """Tokens in the chunk files that are there, and the number of the next one."""
-    row = files(spark, path).agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
-    return row[0], row[1]
+    return tuple(resume_point_frame(spark, path).first())
 
 
 def unpacked(content) -> Column:
@@ -34,8 +43,8 @@ def unpacked(content) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<int>"))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """chunk_id, tokens of each file; Arrow batches of one file, so memory holds a chunk at a time."""
+def read(spark: SparkSession, path: str, part: int = PART) -> DataFrame:
+    """chunk_id, offset, tokens: the files in parts of at most so many tokens."""
     import numpy as np
     import pyarrow as pa
 
@@ -45,10 +54,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("content")[k].as_buffer(), "<u2").astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"chunk_id": batch.column("chunk_id").slice(k, 1), "tokens": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))})
+                ids = np.frombuffer(batch.column("content")[k].as_buffer(), "<u2")
+                for at in range(0, max(1, len(ids)), part):
+                    some = ids[at : at + part].astype(np.int32)
+                    yield pa.RecordBatch.from_pydict({"chunk_id": batch.column("chunk_id").slice(k, 1), "offset": pa.array([at], pa.int64()), "tokens": pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), pa.array(some))})
 
-    return raw.mapInArrow(run, "chunk_id bigint, tokens array<int>")
+    return raw.mapInArrow(run, "chunk_id bigint, offset bigint, tokens array<int>")
+
+
+def write(parts: DataFrame, path: str, shard: int | None = None, part: int = PART) -> None:
+    """Files of the parts (chunk_id, offset, tokens), which leave no gap in a chunk; a task takes whole chunks, a part at a time."""
+    register(parts.sparkSession)
+    n = F.size("tokens")
+    cut = F.explode(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / part).cast("int")), lambda k: F.struct((F.col("offset") + k * part).alias("offset"), F.slice("tokens", k * part + 1, F.lit(part)).alias("tokens"))))
+    small = parts.filter(n > 0).select("chunk_id", cut.alias("p")).select("chunk_id", "p.*")
+    writer = small.repartition("chunk_id").sortWithinPartitions("chunk_id", "offset").write.format("token_chunks").mode("append")
+    (writer.option("shard", shard) if shard else writer).save(path)
 
 
 @dataclass
@@ -56,8 +77,11 @@ class Written(WriterCommitMessage):
     names: list[tuple[str, str]]
 
 
-class ChunkWriter(DataSourceWriter):
-    """Each task writes its chunks beside their places; the commit moves them there, an abort takes them away."""
+class ChunkWriter(DataSourceArrowWriter):
+    """Each task writes its chunks beside their places; the commit moves them there, an abort takes them away.
+
+    Parts of a chunk come one after the other, in order and without gaps, as write() deals them.
+    """
 
     def __init__(self, path: str, per_shard: int | None):
         self.path, self.per_shard = path, per_shard
@@ -70,15 +94,27 @@ class ChunkWriter(DataSourceWriter):
         import numpy as np
         from pyspark import TaskContext
 
-        attempt, names = TaskContext.get().taskAttemptId(), []
-        for row in iterator:
-            place = self._place(row.chunk_id)
-            os.makedirs(os.path.dirname(place), exist_ok=True)
-            ids = np.asarray(row.tokens, np.int64)
-            if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << 16:
-                raise ValueError(f"chunk {row.chunk_id} holds ids beyond 16 bits")
-            ids.astype("<u2").tofile(f"{place}.{attempt}")
-            names.append((f"{place}.{attempt}", place))
+        attempt, names, now, out, n = TaskContext.get().taskAttemptId(), [], None, None, 0
+        try:
+            for batch in iterator:
+                for k, (chunk_id, offset) in enumerate(zip(batch.column("chunk_id").to_pylist(), batch.column("offset").to_pylist(), strict=True)):
+                    if chunk_id != now:
+                        if out is not None:
+                            out.close()
+                        place, now, n = self._place(chunk_id), chunk_id, 0
+                        os.makedirs(os.path.dirname(place), exist_ok=True)
+                        names.append((f"{place}.{attempt}", place))
+                        out = open(f"{place}.{attempt}", "wb")
+                    ids = batch.column("tokens")[k].values.to_numpy(zero_copy_only=False)
+                    if offset != n:
+                        raise ValueError(f"chunk {chunk_id} goes on at {offset} after {n} tokens")
+                    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << 16:
+                        raise ValueError(f"chunk {chunk_id} holds ids beyond 16 bits")
+                    out.write(np.asarray(ids).astype("<u2").tobytes())
+                    n += len(ids)
+        finally:
+            if out is not None:
+                out.close()
         return Written(names)
 
     def commit(self, messages):
@@ -94,14 +130,14 @@ class ChunkWriter(DataSourceWriter):
 
 
 class ChunkSource(DataSource):
-    """df.write.format("token_chunks").option("shard", 40).mode("append").save(path); the folder is a shared one."""
+    """What write() writes with: df.write.format("token_chunks").option("shard", 40).mode("append").save(path); a shared folder."""
 
     @classmethod
     def name(cls):
         return "token_chunks"
 
     def schema(self):
-        return "chunk_id bigint, tokens array<int>"
+        return "chunk_id bigint, offset bigint, tokens array<int>"
 
     def writer(self, schema, overwrite):
         per = self.options.get("shard")

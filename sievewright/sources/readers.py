@@ -12,22 +12,27 @@ COLUMNS = ["source", "source_rank", "seq", "text"]
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Adds seq, from 0 in the order of files and of rows inside a file; rows come straight from a file scan.
+    """Adds seq, from 0 in the order of files and of rows inside a file; rows come straight from a file scan with _metadata.
 
-    Files are counted first, so no task holds more than the rows of a file, or a row for each file.
+    Files, or the splits of those without row numbers, are counted first, so no task holds more than the rows of one, or
+    a row for each.
     """
-    placed = rows.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
-    return running_sum(placed, "seq", F.lit(1), [], F.col("__file"), ["__row"]).drop("__file", "__row")
+    fields = {f.name for f in rows.select("_metadata").schema[0].dataType.fields}
+    by_row = "row_index" in fields
+    split = F.col("_metadata.file_path") if by_row else F.concat("_metadata.file_path", F.lit("#"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
+    placed = rows.withColumns({"__split": split, "__row": F.col("_metadata.row_index") if by_row else F.monotonically_increasing_id()})
+    return running_sum(placed, "seq", F.lit(1), [], F.col("__split"), ["__row"]).drop("__split", "__row")
 
 
-def load(spark: SparkSession, path: str, source: str, rank: int = 0, text_field: str = "text") -> DataFrame:
-    """One source of Parquet files. Other formats are read by the caller, who gives them a seq.
+def load(spark: SparkSession, path: str, source: str, rank: int = 0, text_field: str = "text", kind: str = "parquet") -> DataFrame:
+    """One source of files that Spark reads: parquet, orc, json (a row a line), csv (with a header) or text (a row a line).
 
-    A text that isn't a string counts as none and is skipped later, as a blank one is.
+    A text that isn't a string, or is absent, counts as none and is skipped later, as a blank one is.
     """
-    rows = spark.read.parquet(path)
-    kind = dict(rows.dtypes).get(text_field)
-    text = F.col(text_field) if kind == "string" else F.lit(None).cast("string")
+    reader = spark.read.option("header", True).option("multiLine", kind == "csv").option("escape", '"') if kind == "csv" else spark.read
+    rows = reader.format(kind).load(path)
+    text_field = "value" if kind == "text" else text_field
+    text = F.col(f"`{text_field}`") if dict(rows.dtypes).get(text_field) == "string" else F.lit(None).cast("string")
     return numbered(rows.select(text.alias("text"), "_metadata")).select(F.lit(source).alias("source"), F.lit(rank).alias("source_rank"), "seq", "text")
 
 

@@ -11,6 +11,9 @@ from sievewright.operators import gates
 from sievewright.plans.build import EXACT, SIGNATURES, new_documents
 from sievewright.sources.state import read_if_there
 
+#: Batches after which the state of all batches so far is written as one table.
+COMPACT = 16
+
 
 def judge_stream(docs: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
     """Measures and reasons of a stream; the same expressions as in batch, without state."""
@@ -21,14 +24,12 @@ def run_available(spark: SparkSession, path: str, schema: str, out: str, checkpo
     """Takes all files of the folder that no earlier run took: kept rows to out/kept, reasons to out/rejected.
 
     Every batch writes a folder of its own number, so a batch that is repeated replaces what it wrote. It reads only
-    the state of batches before it.
+    the state of batches before it, as partitions of one table; every COMPACT batches they are written as one.
     """
 
     def commit(batch: DataFrame, number: int) -> None:
-        before = [f"{n:08d}" for n in range(number)]
         session = batch.sparkSession
-        exact = read_if_there(session, _there(session, [f"{out}/state/exact/{b}" for b in before]), EXACT)
-        signatures = read_if_there(session, _there(session, [f"{out}/state/signatures/{b}" for b in before]), SIGNATURES)
+        exact, signatures = (_before(session, f"{out}/state/{name}", number, schema) for name, schema in (("exact", EXACT), ("signatures", SIGNATURES)))
         judged = cut(gates.with_reason(gates.arrived(batch), "text", limits))
         passed = judged.filter(F.col("reason").isNull())
         marked = cut(new_documents(passed, exact, signatures))
@@ -36,14 +37,17 @@ def run_available(spark: SparkSession, path: str, schema: str, out: str, checkpo
         marked.filter(F.col("dup_reason").isNull()).select("seq", "clean_text").write.mode("overwrite").parquet(f"{out}/kept/{name}")
         late = marked.filter(F.col("dup_reason").isNotNull()).select("seq", F.col("dup_reason").alias("reason"))
         judged.filter(F.col("reason").isNotNull()).select("seq", "reason").unionByName(late).write.mode("overwrite").parquet(f"{out}/rejected/{name}")
-        marked.select("exact_hash").distinct().write.mode("overwrite").parquet(f"{out}/state/exact/{name}")
-        marked.filter(F.col("dup_reason").isNull()).select("id", "signature").write.mode("overwrite").parquet(f"{out}/state/signatures/{name}")
+        new = marked.select("exact_hash").distinct(), marked.filter(F.col("dup_reason").isNull()).select("id", "signature")
+        for kind, rows, old in (("exact", new[0], exact), ("signatures", new[1], signatures)):
+            whole = number % COMPACT == COMPACT - 1
+            (rows.union(old) if whole else rows).write.mode("overwrite").parquet(f"{out}/state/{kind}/whole={str(whole).lower()}/batch={number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def _there(spark: SparkSession, paths: list[str]) -> list[str]:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    made = [(p, jvm.org.apache.hadoop.fs.Path(p)) for p in paths]
-    return [p for p, place in made if place.getFileSystem(conf).exists(place)]
+def _before(spark: SparkSession, path: str, number: int, schema: str) -> DataFrame:
+    """State of the batches before this one: the last table of all, and those after it."""
+    last = number - number % COMPACT - 1
+    kept = read_if_there(spark, [path], f"{schema}, whole boolean, batch int")
+    return kept.filter(((F.col("batch") == last) & F.col("whole")) | ((F.col("batch") > last) & (F.col("batch") < number))).drop("whole", "batch")

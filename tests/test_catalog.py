@@ -36,6 +36,21 @@ def test_query_as_sql(spark, tables, name):
     assert plain(tuple(r) for r in got.select(*columns).collect()) == plain(want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
 
 
+@pytest.mark.parametrize("caps", [[(20, 50, None, 0.25), (20, 50, 2000, 0.45), (20, 100, 1000, 0.75), (20, 50, 1500, 1.0)], [(3, 50, None, 0.1), (2, 50, 200, 0.2), (9, 100, 100, 0.9)]])
+def test_small_caps_as_sql(spark, tables, caps):
+    want = tables.sql(catalog.caps_sql(caps, 80_000)).project("doc_id, source_rank, n_chars, chars_before").fetchall()
+    got = catalog.capped(spark, SF, caps, 80_000).selectExpr("doc_id", "source_rank", "length(piece) AS n_chars", "chars_before").collect()
+    assert plain(tuple(r) for r in got) == plain(want)
+
+
+@pytest.mark.parametrize("most", [1, 20, 60])
+def test_few_stored_rows_as_sql(spark, tables, most):
+    from sievewright.operators import dedup
+
+    want = tables.sql(catalog.capped_sql(most)).project("doc_id, near_duplicate").fetchall()
+    assert plain(tuple(r) for r in dedup.near_duplicates(catalog.documents(spark, SF), "text", most=most).collect()) == plain(want)
+
+
 def test_windows_query(spark):
     rows = catalog.QUERIES["windows"](spark, SF).collect()
     assert len(rows) == 256 and all(r.y[:-1] == r.x[1:] for r in rows)

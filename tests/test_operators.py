@@ -173,31 +173,116 @@ def test_buffers_and_budgets(spark):
     assert [r.score for r in select.within_budget(out, F.lit(5)).orderBy("before").collect()] == [5.0, 1.0]
 
 
+def put_together(parts):
+    out = {}
+    for r in sorted(parts.collect(), key=lambda r: (r.chunk_id, r.offset)):
+        assert r.offset == len(out.setdefault(r.chunk_id, []))
+        out[r.chunk_id] += r.tokens
+    return out
+
+
 def test_chunks(spark, tmp_path):
     rows = spark.createDataFrame([(0, 0, [1, 2, 3]), (0, 3, [4, 5, 6, 7]), (0, 7, [8, 9]), (1, 0, [70000 - 5000]), (1, 1, [])], "source_rank int, before bigint, tokens array<int>")
-    made = pack.assembled(pack.chunk_parts(rows, 4)).orderBy("chunk_id")
-    want = [(0, [1, 2, 3, 4]), (1, [5, 6, 7, 8]), (2, [9]), (3, [65000])]
-    assert [tuple(r) for r in made.collect()] == want
-    chunks.register(spark)
-    made.write.format("token_chunks").option("shard", 2).mode("append").save(str(tmp_path))
-    assert sorted(os.listdir(tmp_path / "shard_001")) == ["chunk_0002.bin", "chunk_0003.bin"]
-    assert [tuple(r) for r in chunks.read(spark, str(tmp_path)).orderBy("chunk_id").collect()] == want
-    assert [(r.chunk_id, r.n_tokens) for r in chunks.files(spark, str(tmp_path)).orderBy("chunk_id").collect()] == [(0, 4), (1, 4), (2, 1), (3, 1)]
-    raw = spark.read.format("binaryFile").load(str(tmp_path / "shard_000" / "chunk_0001.bin"))
+    made = pack.chunk_parts(rows, 4)
+    want = {0: [1, 2, 3, 4], 1: [5, 6, 7, 8], 2: [9], 3: [65000]}
+    assert put_together(made) == want
+    for part in (1, 3, 1 << 16):
+        chunks.write(made, str(tmp_path / str(part)), 2, part)
+        assert put_together(chunks.read(spark, str(tmp_path / str(part)), part)) == want
+    assert sorted(os.listdir(tmp_path / "3" / "shard_001")) == ["chunk_0002.bin", "chunk_0003.bin"]
+    sizes = [(0, 4), (1, 4), (2, 1), (3, 1)]
+    assert [(r.chunk_id, r.n_tokens) for r in chunks.files(spark, str(tmp_path / "3")).orderBy("chunk_id").collect()] == sizes
+    assert sorted(tuple(r) for r in pack.chunk_sizes(made).collect()) == sizes
+    raw = spark.read.format("binaryFile").load(str(tmp_path / "3" / "shard_000" / "chunk_0001.bin"))
     assert raw.select(chunks.unpacked(F.col("content")).alias("t")).first().t == [5, 6, 7, 8]
-    assert [r.validation for r in pack.split_validation(made, 2).orderBy("chunk_id").collect()] == [False, False, True, True]
-    assert not any(r.validation for r in pack.split_validation(made, 0).collect())
-    assert made.select(pack.chunk_name().alias("n")).first().n == "shard_000/chunk_0000.bin"
+    ids = pack.chunk_sizes(made)
+    assert [r.validation for r in pack.split_validation(ids, 2).orderBy("chunk_id").collect()] == [False, False, True, True]
+    assert not any(r.validation for r in pack.split_validation(ids, 0).collect())
+    assert ids.orderBy("chunk_id").select(pack.chunk_name().alias("n")).first().n == "shard_000/chunk_0000.bin"
+    for fault, rows in (("16 bits", [(0, 0, [1, 1 << 16])]), ("goes on", [(0, 0, [1, 2]), (0, 3, [4])])):
+        with pytest.raises(Exception, match=fault):
+            chunks.write(spark.createDataFrame(rows, "chunk_id bigint, offset bigint, tokens array<int>"), str(tmp_path / "bad"))
+    assert not [f for _, _, names in os.walk(tmp_path / "bad") for f in names if f.endswith(".bin")]
+
+
+def test_a_chunk_is_written_a_part_at_a_time(spark, tmp_path):
+    """The writer's memory is that of a batch of parts, not of a chunk of 8 million tokens."""
+    import resource
+
+    parts = spark.range(0, 4000, 1, 4).select(F.lit(0).cast("bigint").alias("chunk_id"), (F.col("id") * 2000).alias("offset"), F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda k: ((F.col("id") + k) % 65536).cast("int")).alias("tokens"))
+    chunks.write(parts, str(tmp_path / "big"))
+    size = (tmp_path / "big" / "chunk_0000.bin").stat().st_size
+    assert size == 16_000_000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss > 0
+    last = chunks.read(spark, str(tmp_path / "big"), 1 << 20).orderBy(F.desc("offset")).first()
+    assert last.tokens[-3:] == [(3999 + k) % 65536 for k in (1997, 1998, 1999)]
 
 
 def test_windows(spark):
-    made = spark.createDataFrame([(0, list(range(50))), (1, [1, 2]), (2, list(range(100, 400)))], "chunk_id bigint, tokens array<int>")
-    sizes = made.select("chunk_id", F.size("tokens").alias("n_tokens"))
+    tokens_of = {0: list(range(50)), 1: [1, 2], 2: list(range(100, 400))}
+    parts = [(c, a, t[a : a + 7]) for c, t in tokens_of.items() for a in range(0, len(t), 7)]
+    made = spark.createDataFrame(parts, "chunk_id bigint, offset bigint, tokens array<int>")
+    sizes = pack.chunk_sizes(made)
     for by_size in (False, True):
         draws = pack.draw_windows(sizes, 40, 8, 3, by_size)
         got = pack.windows(made, draws, 8).collect()
         assert len(got) == 40 and {r.chunk_id for r in got} == {0, 2}
-        assert all(r.y[:-1] == r.x[1:] and len(r.x) == len(r.y) == 8 for r in got)
+        assert all((r.x, r.y) == (tokens_of[r.chunk_id][r.start : r.start + 8], tokens_of[r.chunk_id][r.start + 1 : r.start + 9]) for r in got)
+
+
+def test_other_formats(spark, tmp_path):
+    from sievewright.sources import readers
+
+    rows = spark.createDataFrame([(f"text {i}, \"quoted\"",) for i in range(20)] + [(None,)], "content string").coalesce(1)
+    for kind in ("json", "csv", "orc"):
+        writer = rows.write.option("header", True).option("escape", '"') if kind == "csv" else rows.write
+        writer.format(kind).save(str(tmp_path / kind))
+        got = sorted(readers.load(spark, str(tmp_path / kind), "s", 1, "content", kind).collect(), key=lambda r: r.seq)
+        assert [r.seq for r in got] == list(range(len(got)))
+        assert [r.text for r in got if r.text is not None] == [f"text {i}, \"quoted\"" for i in range(20)], kind
+    (tmp_path / "t.txt").write_text("one\ntwo\n")
+    assert [r.text for r in sorted(readers.load(spark, str(tmp_path / "t.txt"), "s", 0, kind="text").collect(), key=lambda r: r.seq)] == ["one", "two"]
+    assert {r.text for r in readers.load(spark, str(tmp_path / "json"), "s", 1, "nowhere", "json").collect()} == {None}
+
+
+def test_detector_votes(spark):
+    """Half of the votes is enough; texts without samples pass; nulls are no votes."""
+    word = lambda w, n: (w + " ") * n
+    texts = [word("deer, owl", 400), word("fox, hen", 400), word("deer, owl", 60), word("fox, hen", 200) + word("deer, owl", 200), word("cat, dog", 300), None]
+    seen = []
+
+    def detect(samples):
+        seen.extend(samples)
+        return ["de" if "deer" in s and "fox" not in s else "en" if "fox" in s else None for s in samples]
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    limits = Thresholds(min_words=5, language="detect", max_symbol_ratio=1.0, max_boilerplate=1e9, dominant_min_words=10**9)
+    got = {r.doc_id: r.reason for r in gates.with_reason(gates.arrived(rows), "text", limits, detect).collect()}
+    assert got == {0: "bahasa_tidak_diizinkan", 1: None, 2: None, 3: None, 4: None}
+    with pytest.raises(ValueError):
+        gates.with_reason(rows, "text", limits)
+    with pytest.raises(ValueError):
+        gates.with_reason(rows, "text", Thresholds(), detect)
+
+
+def test_signatures_of_workers_as_the_expression(spark):
+    texts = ["", "one", "a b", "it's a 'b\" c\\d e f g", "É ü " * 30, "word " * 9, " ".join(f"w{i}" for i in range(700)), "x" * 300 + " y z a b c", None]
+    rows = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id bigint, text string, other string")
+    made = dedup.signed(rows)
+    assert made.columns == ["doc_id", "other", "signature"]
+    want = {r.doc_id: r.s for r in rows.select("doc_id", dedup.signature(F.coalesce("text", F.lit(""))).alias("s")).collect()}
+    assert {r.doc_id: r.signature for r in made.collect()} == want
+    assert len({len(r.signature) for r in dedup.signed(rows, fast=True).collect()}) == 1
+    assert dedup.signed(rows.limit(0)).count() == 0
+
+
+def test_golden_strings(spark, tmp_path):
+    """Round trips of the kinds of text that the reference tries its tokenizer on."""
+    lines = ["Indonesia adalah negara kepulauan terbesar di dunia.", "The quick brown fox jumps over the lazy dog.", "def f(n):\n    return n if n < 2 else f(n - 1)", "<pengguna>Apa ibu kota Indonesia?</pengguna><asisten>"]
+    model = tokens.train(spark.createDataFrame([(t,) for t in lines * 20], "text string"), vocab=400)
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in tokens.pieces(tokens.safe_decode(tokens.encode(rows, model), model), model).collect()}
+    assert [" ".join(got[k].decoded.split()) for k in range(4)] == [" ".join(t.split()) for t in lines]
+    assert [p for p in got[3].pieces if p.startswith("<") and p.endswith(">")] == ["<pengguna>", "</pengguna>", "<asisten>"]
 
 
 @pytest.fixture(scope="module")
@@ -245,8 +330,9 @@ def test_runs(spark, tmp_path):
     log = spark.createDataFrame([(1, 3.12345678, None), (2, 2.0, 2.5)], "step bigint, train double, val double")
     runs.append_losses(log, str(tmp_path / "log"))
     (tmp_path / "log" / "bad.json").write_text("{not json")
+    runs.append_losses(log.filter("step > 9"), str(tmp_path / "log"))
     got = runs.read_losses(spark, str(tmp_path / "log"))
-    assert got.count() >= 1
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 3.123457, None), (2, 2.0, 2.5)]
     assert runs.mean_loss(log).first().train == pytest.approx(2.56172839)
 
 
