@@ -14,7 +14,7 @@ EVERY = 100
 
 
 def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link(table(spark, sf_dir, "conversations"))
+    return quotes.conversations(quotes.link(table(spark, sf_dir, "conversations")))
 
 
 def op2_threshold_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,8 @@ WITH RECURSIVE m AS (
   UNION ALL SELECT rid, conv_id, turn, 0, 0, text FROM own WHERE text <> ''
 ), raw AS (
   SELECT *, unnest(list_concat([text], string_split_regex(text, '\\n[ \\t]*\\n'))) AS unit, 1 AS least FROM pieces
-  UNION ALL SELECT *, unnest(string_split(text, chr(10))) AS unit, 3 AS least FROM pieces
+  UNION ALL SELECT *, unnest(string_split(text, chr(10))) AS unit, CASE WHEN level = 0 THEN 1 ELSE 3 END AS least FROM pieces
+  UNION ALL SELECT *, unnest(string_split(regexp_replace(text, '([.!?])[ \\t\\n]+', '\\1' || chr(30), 'g'), chr(30))) AS unit, CASE WHEN level = 0 THEN 1 ELSE 3 END AS least FROM pieces
 ), units AS (
   SELECT DISTINCT rid, conv_id, turn, island, level, unit FROM (
     SELECT * REPLACE (trim(regexp_replace(lower(unit), '[ \\t\\n\\r\\x0B\\f]+', ' ', 'g')) AS unit) FROM raw)
@@ -116,13 +117,18 @@ WITH RECURSIVE m AS (
   UNION ALL SELECT a.conv_id, a.turn, b.up FROM climbing a JOIN climb b ON a.conv_id = b.conv_id AND a.up = b.turn
 ), tops AS (
   SELECT conv_id, turn, min(up) AS thread FROM climbing GROUP BY ALL
+), places AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, thread ORDER BY turn) AS position FROM tops
+), linked_rows AS (
+  SELECT m.conv_id, m.turn, m.role, own.text AS clean_text, coalesce(found.n_linked, 0) AS n_linked, found.reply_to, coalesce(places.thread, m.turn) AS thread, coalesce(position, 0) AS position
+  FROM m JOIN own ON own.rid = m.rid LEFT JOIN found ON found.rid = m.rid
+  LEFT JOIN places ON places.conv_id = m.conv_id AND places.turn = m.turn AND found.rid IS NOT NULL
 )
-SELECT m.conv_id, m.turn, m.role, own.text AS clean_text,
-       (SELECT count(*) FROM pieces p WHERE p.rid = m.rid AND p.level > 0) AS n_passages,
-       coalesce(found.n_linked, 0) AS n_linked, found.reply_to, coalesce(tops.thread, m.turn) AS thread,
-       '<' || coalesce(m.role, 'user') || '>' || own.text AS chat
-FROM m JOIN own ON own.rid = m.rid LEFT JOIN found ON found.rid = m.rid
-LEFT JOIN tops ON tops.conv_id = m.conv_id AND tops.turn = m.turn AND found.rid IS NOT NULL""",
+SELECT conv_id, thread, CAST(position // 512 AS BIGINT) AS part, count(*) AS n_turns, CAST(sum(n_linked) AS BIGINT) AS n_linked,
+       string_agg(coalesce(CAST(turn AS VARCHAR), '-'), ',' ORDER BY position, turn NULLS FIRST, role NULLS FIRST, clean_text, reply_to NULLS FIRST) AS turns,
+       string_agg(coalesce(CAST(reply_to AS VARCHAR), '-'), ',' ORDER BY position, turn NULLS FIRST, role NULLS FIRST, clean_text, reply_to NULLS FIRST) AS parents,
+       string_agg('<' || coalesce(role, 'user') || '>' || clean_text, chr(10) ORDER BY position, turn NULLS FIRST, role NULLS FIRST, clean_text, reply_to NULLS FIRST) AS chat
+FROM linked_rows GROUP BY conv_id, thread, part""",
     "op6_topk_va_file": f"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings

@@ -1,21 +1,25 @@
 """Chat formatting by quotation linking (operator 1). DataFrame functions only.
 
 A line's quote level is the number of > in front of it. Neighbouring lines of one level are a passage; what stands at
-level 0 is the message's own text, less a line that announces a quote ("... wrote:") right above one. Passages, their
-paragraphs and their lines of at least LINE_WORDS words are normalised (lower case, white space to a blank) and hashed.
-A hash links to its original: the first message of the conversation that has it in its own text, if that is an earlier
-turn. A message replies to the latest original of its passages of the lowest level that is linked, and belongs to
-the thread of that original. Rows come out by conversation, thread and turn, so each follows what it replies to, with
-the quotes gone.
+level 0 is the message's own text, less a line that announces a quote ("... wrote:") right above one. Own texts and
+passages are cut into units: the whole, its paragraphs, lines and sentences, normalised (lower case, white space to a
+blank) and hashed. A quoted passage asks for itself and its paragraphs whatever their length, and for its lines and
+sentences of at least LINE_WORDS words; a message has all its units. A hash links to its original: the first message of
+the conversation that has it in its own text, if that is an earlier turn. A message replies to the latest original of
+its passages of the lowest level that is linked (its parent), and belongs to the thread of that original.
+
+conversations() has a row for each thread, its messages in reply order with the quotes gone: each turn follows the one
+that it replies to. A thread of more than PART turns is given in parts of PART turns, numbered from 0, so that no row
+and no task grows with a thread.
 
 Originals are the minimum of a partial aggregation and unique by (conversation, hash), so a passage that everyone
 quotes adds a row for each quote and no pairs; threads are found by pointer doubling over messages that reply, with a
-reliable checkpoint a round. No conversation is gathered into one row or one task.
+reliable checkpoint a round; places in a thread are running sums over buckets of turns.
 
 Defined results: a null or empty text has an empty clean_text and no passages; messages with a null conv_id or turn
-link to nothing; rows that repeat a conversation and turn are one message for links to them, and each keeps what its
-own text quotes; a message without links starts a thread; extra columns are ignored; an empty table gives an empty
-result.
+link to nothing; rows that repeat a conversation and turn are one message for links to them and share a place, and each
+keeps what its own text quotes; a message without links starts a thread; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,9 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.functions.frames import running_sum
 from sievewright.llm._batches import cut, let
 
 LINE_WORDS = 3
+#: Turns of a thread that a row holds.
+PART = 512
 PREFIX = r"^[ \t]*(?:>[ \t]*)+"
 ANNOUNCES = r"(?i)(?:wrote|writes|schrieb|écrit|escribió)[ \t]*:[ \t]*$"
 WHITE = r"[ \t\n\r\x0B\f]+"
@@ -61,11 +68,12 @@ def normalised(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), WHITE, " "))
 
 
-def _units(text: Column) -> Column:
-    """Hashes of the text, its paragraphs, and its lines that are long enough."""
+def _units(text: Column, least: int) -> Column:
+    """Hashes of the text and its paragraphs, and of its lines and sentences of at least so many words."""
     whole = F.filter(F.concat(F.array(text), F.split(text, r"\n[ \t]*\n")), lambda u: normalised(u) != "")
-    lines = F.filter(F.split(text, "\n"), lambda u: F.size(F.split(normalised(u), " ")) >= LINE_WORDS)
-    return F.array_distinct(F.transform(F.concat(whole, lines), lambda u: F.xxhash64(normalised(u))))
+    sentences = F.split(F.regexp_replace(text, r"([.!?])[ \t\n]+", "$1\x1e"), "\x1e")
+    fine = F.filter(F.concat(F.split(text, "\n"), sentences), lambda u: let(normalised(u), lambda n: (n != "") & (F.size(F.split(n, " ")) >= least)))
+    return F.array_distinct(F.transform(F.concat(whole, fine), lambda u: F.xxhash64(normalised(u))))
 
 
 def parse(messages: DataFrame) -> DataFrame:
@@ -91,22 +99,39 @@ def threads(replies: DataFrame) -> DataFrame:
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, clean_text, n_passages, n_linked, reply_to, thread, chat of each row, in reply order."""
+    """conv_id, turn, role, clean_text, n_passages, n_linked, reply_to, thread, position, chat of each row.
+
+    position counts the turns of the thread before the row's own.
+    """
     parsed = parse(messages)
     placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     quoting = parse(messages.filter(F.contains("text", F.lit(">")))).filter(placed & (F.size("quotes") > 0)).select("conv_id", "turn", "text_key", F.posexplode("quotes").alias("place", "q")).distinct()
-    asked = quoting.select("conv_id", "turn", "text_key", "place", F.col("q.level").alias("level"), F.explode(_units(F.col("q.text"))).alias("hash"))
-    have = parsed.filter(placed & (F.col("clean_text") != "")).select("conv_id", "turn", F.explode(_units(F.col("clean_text"))).alias("hash"))
+    asked = quoting.select("conv_id", "turn", "text_key", "place", F.col("q.level").alias("level"), F.explode(_units(F.col("q.text"), LINE_WORDS)).alias("hash"))
+    # Only conversations in which someone quotes have anything to link.
+    heard = parsed.filter(placed & (F.col("clean_text") != "")).join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
+    have = heard.select("conv_id", "turn", F.explode(_units(F.col("clean_text"), 1)).alias("hash"))
     originals = have.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     linked = asked.join(originals, ["conv_id", "hash"]).filter("origin < turn")
     per_passage = linked.groupBy("conv_id", "turn", "text_key", "place", "level").agg(F.max("origin").alias("origin"))
     found = cut(per_passage.groupBy("conv_id", "turn", "text_key").agg(F.count("*").alias("n_linked"), F.max(F.struct((-F.col("level")).alias("l"), "origin"))["origin"].alias("reply_to")))
     replies = found.groupBy("conv_id", "turn").agg(F.max("reply_to").alias("reply_to"))
-    roots = threads(replies)
-    per_row = found.join(roots.withColumnRenamed("thread", "up"), ["conv_id", "turn"]).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("text_key").alias("k"), "n_linked", "reply_to", F.col("up").alias("thread"))
+    roots = cut(running_sum(threads(replies), "ahead", F.lit(1), ["conv_id", "thread"], F.floor(F.col("turn") / PART), ["turn"]))
+    per_row = found.join(roots, ["conv_id", "turn"]).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("text_key").alias("k"), "n_linked", "reply_to", "thread", (F.col("ahead") + 1).alias("position"))
     rows = parsed.join(per_row, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")) & (F.col("text_key") == F.col("k")), "left")
-    out = rows.select(
+    return rows.select(
         "conv_id", "turn", "role", "clean_text", F.size("quotes").cast("bigint").alias("n_passages"), F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), "reply_to",
-        F.coalesce("thread", "turn").alias("thread"), F.concat(F.lit("<"), F.coalesce("role", F.lit("user")), F.lit(">"), F.col("clean_text")).alias("chat"),
+        F.coalesce("thread", "turn").alias("thread"), F.coalesce("position", F.lit(0)).cast("bigint").alias("position"),
+        F.concat(F.lit("<"), F.coalesce("role", F.lit("user")), F.lit(">"), F.col("clean_text")).alias("chat"),
     )
-    return out.repartitionByRange("conv_id", "thread", "turn").sortWithinPartitions("conv_id", "thread", "turn")
+
+
+def conversations(linked: DataFrame, part: int = PART) -> DataFrame:
+    """conv_id, thread, part, n_turns, n_linked, turns, parents, chat of each thread; linked: link().
+
+    turns and parents are numbers joined by commas, - for none; chat has a tagged turn after the other.
+    """
+    own = F.struct("position", "turn", "role", "clean_text", "reply_to", "chat")
+    rows = linked.groupBy("conv_id", "thread", F.floor(F.col("position") / part).alias("part"))
+    held = rows.agg(F.count("*").alias("n_turns"), F.sum("n_linked").alias("n_linked"), F.array_sort(F.collect_list(own)).alias("m"))
+    joined = lambda c: F.array_join(F.transform("m", lambda m: F.coalesce(m[c].cast("string"), F.lit("-"))), ",")
+    return held.select("conv_id", "thread", "part", "n_turns", "n_linked", joined("turn").alias("turns"), joined("reply_to").alias("parents"), F.array_join(F.transform("m", lambda m: m["chat"]), "\n").alias("chat"))
