@@ -205,7 +205,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"))
     kept = least.join(forest_, least["root"] == forest_["node"], "left").groupBy(F.coalesce(forest_["root"], least["root"])).agg(F.min("k").alias("k"))
     kept = _placed_key(kept, dict(docs.dtypes)["doc_id"])
-    return _placed(docs).join(kept, _PLACE, "left_semi").dropDuplicates(_PLACE).select(*docs.columns)
+    # Of rows equal in doc_id and text one stays that is the same in every run.
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    some = _placed(docs).join(kept, _PLACE, "left_semi").select(*_PLACE, every, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("order"))
+    return some.groupBy(*_PLACE).agg(F.min_by("row", "order").alias("row")).select("row.*")
 
 
 def _placed_key(kept: DataFrame, kind: str) -> DataFrame:
