@@ -218,9 +218,11 @@ def opened(name: str, pattern: str = PATTERN) -> ByteBPE:
     return _OPEN[name, pattern]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; with_ids adds ids array<int>."""
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, {'ids array<int>, ' * with_ids}ids_sha256 string, decoded_sha256 string"
+def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False, keep: list[str] = []) -> DataFrame:
+    """doc_id, columns to keep, n_tokens, ids_sha256, decoded_sha256 of each row; with_ids adds ids array<int>."""
+    kept = ["doc_id", *keep]
+    types = {f.name: f.dataType.simpleString() for f in docs.select(*kept).schema.fields}
+    schema = f"{', '.join(f'`{c}` {types[c]}' for c in kept)}, n_tokens bigint, {'ids array<int>, ' * with_ids}ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = opened(tokenizer)
@@ -230,7 +232,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) ->
                 plain, at = bpe.decode(ids, bounds)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-                out = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(np.diff(bounds), pa.int64())}
+                out = {c: part.column(c) for c in kept} | {"n_tokens": pa.array(np.diff(bounds), pa.int64())}
                 if with_ids:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 out["ids_sha256"] = pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in spans], pa.string())
@@ -238,4 +240,4 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) ->
                 out["decoded_sha256"] = pa.array([hashlib.sha256(decoded[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
                 yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(*kept, "text").mapInArrow(run, schema)
