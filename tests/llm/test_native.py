@@ -174,12 +174,12 @@ def test_mixture(spark):
 def test_mixed_documents(spark):
     docs = frame(spark, TEXTS)
     out = curriculum.mix(docs)
-    assert out.columns == docs.columns
-    want = {r.doc_id: r.taken // r.size for r in curriculum.plan(docs).collect() if r.taken}
-    got = {}
-    for r in out.collect():
-        got[r.doc_id] = got.get(r.doc_id, 0) + 1
-    assert got == want
+    assert out.columns == [*docs.columns, "position", "pass"]
+    want = {(r.doc_id, k): p for r in curriculum.plan(docs).collect() for k, p in enumerate(r.positions)}
+    rows = out.collect()
+    assert {(r.doc_id, r["pass"]): r.position for r in rows} == want and len(rows) == len(want)
+    assert [r.position for r in rows] == sorted(want.values())
+    assert curriculum.mix(out).columns == out.columns
     assert curriculum.mix(docs.limit(0)).collect() == []
 
 
