@@ -14,8 +14,8 @@ rows of one bucket. Neither window holds more than about sqrt(rows) rows of a so
 
 Defined results: a null text has size 0; documents of size 0 are never taken; a null source is a source; rows that
 repeat follow each other in any order, which gives the same rows; ties of the hash go by doc_id and size; extra columns
-are ignored by plan() and kept by mix(), but for ones named position and pass, which it replaces; an empty table gives
-an empty result.
+are ignored by plan() and kept by mix(), but for ones of the names that it gives to position and pass; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -99,12 +99,13 @@ def plan(docs: DataFrame) -> DataFrame:
     return out.repartitionByRange(first, F.col("doc_id")).sortWithinPartitions(first, F.col("doc_id"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """The same columns, position (0 to 1) and pass (0 for the first reading); a row for each time that a document is taken.
+def mix(docs: DataFrame, position: str = "position", reading: str = "pass") -> DataFrame:
+    """The same columns, position (0 to 1) and pass (0 for the first reading), or other names; a row for each time that a document is taken.
 
     Rows are sorted by position over all partitions, the first partition's first.
     """
-    names = [n for n in docs.columns if n not in ("position", "pass")]
+    names = [n for n in docs.columns if n not in (position, reading)]
     held = docs.select("doc_id", "source", F.struct(*[F.col(f"`{n}`") for n in names]).alias("__row"), words().alias("size"))
-    taken = _places(held, docs.count()).select("__row", "doc_id", F.posexplode(_positions()).alias("pass", "position"))
-    return taken.repartitionByRange("position", "doc_id", "pass").sortWithinPartitions("position", "doc_id", "pass").select("__row.*", "position", "pass")
+    taken = _places(held, docs.count()).select("__row", "doc_id", F.posexplode(_positions()).alias("__pass", "__at"))
+    order = ["__at", "doc_id", "__pass"]
+    return taken.repartitionByRange(*order).sortWithinPartitions(*order).select("__row.*", F.col("__at").alias(position), F.col("__pass").alias(reading))
