@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions.frames import running_sum
@@ -11,17 +11,23 @@ from sievewright.sources.state import catalog
 COLUMNS = ["source", "source_rank", "seq", "text"]
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """Adds seq, from 0 in the order of files and of rows inside a file; rows come straight from a file scan with _metadata.
+def numbered(rows: DataFrame, name: str = "seq") -> DataFrame:
+    """Adds the row's number, from 0 in the order of files and of rows inside a file; rows come straight from a file scan.
 
-    Files, or the splits of those without row numbers, are counted first, so no task holds more than the rows of one, or
-    a row for each.
+    Where files number their rows (Parquet), the rows of each file are counted, and no row moves. Elsewhere the splits of
+    files are counted first, so no task holds more than the rows of one, or a row for each.
     """
     fields = {f.name for f in rows.select("_metadata").schema[0].dataType.fields}
-    by_row = "row_index" in fields
-    split = F.col("_metadata.file_path") if by_row else F.concat("_metadata.file_path", F.lit("#"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
-    placed = rows.withColumns({"__split": split, "__row": F.col("_metadata.row_index") if by_row else F.monotonically_increasing_id()})
-    return running_sum(placed, "seq", F.lit(1), [], F.col("__split"), ["__row"]).drop("__split", "__row")
+    if "row_index" in fields:
+        file = F.col("_metadata.file_path")
+        counts = rows.select(file.alias("__file")).groupBy("__file").agg(F.count("*").alias("__n"))
+        before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.select(F.col("__file").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+        placed = rows.withColumns({"__file": file, "__row": F.col("_metadata.row_index")})
+        return placed.join(starts, F.col("__file") == F.col("__of")).withColumn(name, F.col("__start") + F.col("__row")).drop("__file", "__row", "__of", "__start")
+    split = F.concat("_metadata.file_path", F.lit("#"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
+    placed = rows.withColumns({"__split": split, "__row": F.monotonically_increasing_id()})
+    return running_sum(placed, name, F.lit(1), [], F.col("__split"), ["__row"]).drop("__split", "__row")
 
 
 def load(spark: SparkSession, path: str, source: str, rank: int = 0, text_field: str = "text", kind: str = "parquet") -> DataFrame:
