@@ -126,6 +126,16 @@ def brute_fingerprint(text):
     return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
 
 
+def test_fingerprints_of_long_texts(spark):
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120_000))
+    some = [long, long + " tail", "x" * 2_000_000, "a " * 300_000, None, ""]
+    got = {r.doc_id: r for r in simhash.near_duplicates(frame(spark, some)).collect()}
+    prints = [brute_fingerprint(t) for t in some]
+    assert [got[k].fingerprint for k in range(len(some))] == [f"{p:016x}" for p in prints]
+    assert [got[k].component_id for k in range(len(some))] == brute_components(prints)
+
+
 def brute_components(prints):
     label = list(range(len(prints)))
     for _ in prints:
@@ -248,6 +258,51 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([r.predicted == r.quality for r in told]) > 0.93
 
 
+def test_word_vectors_as_plain_sums(spark):
+    """Random indexing over the whole table, added up word by word."""
+    import pyarrow as pa
+
+    texts = ["The cat sat, the CAT ran!", "a dog ran away...", None, "", "dog dog dog", "über große Wörter und Straßen"] * 3
+    words = quality.learn_words(frame(spark, texts).repartition(3))
+    places, signs = quality.index_vectors()
+    counts, sums = np.zeros(quality.BUCKETS), np.zeros((quality.BUCKETS, quality.DIM))
+    for t in texts:
+        _, bucket, _ = quality.word_stream(pa.array([t], pa.string()))
+        for k, b in enumerate(bucket.tolist()):
+            counts[b] += 1
+            for j in (k - 1, k + 1):
+                if 0 <= j < len(bucket):
+                    for p, s in zip(places[bucket[j]], signs[bucket[j]]):
+                        sums[b, p] += s
+    want = quality.Words.of(counts, sums)
+    assert np.allclose(words.vectors, want.vectors) and np.allclose(words.weights, want.weights)
+    doc, bucket, n = quality.word_stream(pa.array(["one Two", None, "x"], pa.string()))
+    assert n == 3 and set(doc.tolist()) == {0, 2} and len({b for d, b in zip(doc.tolist(), bucket.tolist()) if d == 0 and b >= quality.SHAPES}) == 2
+
+
+def test_temperature_calibrates():
+    """Overconfident logits: the temperature brings probabilities near the shares that hold, on rows that neither saw."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, (12_000, quality.DIM + quality.SHAPES + 2))
+    chance = 1 / (1 + np.exp(-1.2 * (x[:, 0] + 0.5 * x[:, 1])))
+    y = (rng.random(len(x)) < chance).astype(np.int64)
+    net = quality.fit(x[:4000], y[:4000], np.arange(4000) % 5 == 0)
+    p = net.probabilities(x[4000:])
+    loss = lambda q: -np.mean(np.log(np.where(y[4000:] == 1, q, 1 - q)))
+    hot = 1 / (1 + np.exp(-np.clip(net.logits(x[4000:]), -40, 40)))
+    cells = np.digitize(p, np.linspace(0, 1, 11))
+    error = sum(abs(p[cells == c].mean() - y[4000:][cells == c].mean()) * (cells == c).mean() for c in np.unique(cells))
+    assert error < 0.05 and loss(p) <= loss(hot) + 1e-3
+
+
+def test_quality_of_long_texts(spark):
+    long = ["word " * 400_000, "x" * 3_000_000, "!?" * 500_000, None, "short text"]
+    docs = frame(spark, long)
+    none = spark.createDataFrame([(0, 1, 0), (4, 0, 0)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r.score for r in quality.score(docs, quality.train(docs, none)).collect()}
+    assert len(got) == 5 and all(0 <= s <= 1 for s in got.values())
+
+
 def test_quality_of_odd_rows(spark, texts):
     docs = frame(spark, ODD)
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
