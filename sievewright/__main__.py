@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--buffer-docs", type=int, default=K.BUFFER_DOCS)
         c.add_argument("--min-words", type=int, default=Thresholds.min_words)
         c.add_argument("--redact", action="store_true")
+        c.add_argument("--fast-signatures", action="store_true", help="minimum hashes by XXH64; all runs into one output must agree")
+        c.add_argument("--format", default="parquet", choices=["parquet", "orc", "json", "csv", "text"])
         if name == "filter":
             c.add_argument("--target-tokens", type=int, default=3_000_000_000)
             c.add_argument("--text-field", default="text")
@@ -47,11 +50,13 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.appName("sievewright").getOrCreate()
+    # Checkpoints go when nothing refers to them any more; a cluster names their folder in spark.checkpoint.dir.
+    spark = SparkSession.builder.appName("sievewright").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     if args.command == "chunks":
         from sievewright.operators import pack
 
-        pack.split_validation(chunks.files(spark, args.input), args.val_chunks).orderBy("chunk_id").show(1000, False)
+        for r in pack.split_validation(chunks.files(spark, args.input), args.val_chunks).orderBy("chunk_id").toLocalIterator():
+            print(r.path, r.chunk_id, r.n_tokens, "validation" if r.validation else "training", sep="\t")
         return
     if args.command == "tokenizer":
         rows = None
@@ -64,13 +69,13 @@ def main(argv: list[str] | None = None) -> None:
             f.write(model)
         return
     model = read_bytes(spark, args.tokenizer)
-    settings = build.Settings(Thresholds(min_words=args.min_words), args.buffer_docs, args.chunk_size, None if args.command == "filter" else K.SHARD_CHUNKS, args.redact)
+    settings = build.Settings(Thresholds(min_words=args.min_words), args.buffer_docs, args.chunk_size, None if args.command == "filter" else K.SHARD_CHUNKS, args.redact, fast=args.fast_signatures)
     if args.command == "filter":
-        sources, targets = {"source": readers.load(spark, args.input, "source", 0, args.text_field)}, {"source": args.target_tokens}
+        sources, targets = {"source": readers.load(spark, args.input, "source", 0, args.text_field, args.format)}, {"source": args.target_tokens}
     else:
-        sources = readers.load_catalog(spark, args.input, args.sources)
+        sources = readers.load_catalog(spark, args.input, args.sources, args.format)
         targets = {r.source: r.target for r in state.catalog(spark).filter(F.col("source").isin(list(sources))).collect()}
-        settings = build.Settings(settings.limits, settings.buffer, settings.chunk, settings.shard, settings.redact, total=sum(K.SOURCE_CATALOG[k][1] for k in range(len(K.SOURCE_CATALOG))))
+        settings = replace(settings, total=sum(target for _, target, _ in K.SOURCE_CATALOG))
     done = build.build(spark, sources, targets, model, args.output, settings)
     print(f"{done.total_tokens} tokens in {done.chunk_idx} chunks; complete: {', '.join(done.completed_sources) or 'none'}; failed: {', '.join(done.failed_sources) or 'none'}")
 

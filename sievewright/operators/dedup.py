@@ -27,6 +27,8 @@ from sievewright.operators import minhash
 RUN = 1024
 #: Rows of a bucket, the first ones, that the first round settles; each later round takes as many times more.
 LEAD = 64
+#: More than there are bands.
+MARKS = 64
 
 
 def exact_hash(text) -> Column:
@@ -114,13 +116,16 @@ def _shared(buckets: DataFrame) -> DataFrame:
     return buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "bucket").select("id", "bucket")
 
 
-def _among(buckets: DataFrame, run: int = RUN) -> DataFrame:
-    """(run, id, side): rows of a bucket dealt to tiles; rows of one side in a tile of two sides meet elsewhere."""
+def _among(buckets: DataFrame, run: int = RUN, mark: str = "0") -> DataFrame:
+    """(run, id, side): rows of a bucket dealt to tiles; rows of one side in a tile of two sides meet elsewhere.
+
+    side modulo MARKS is the bucket's mark, an expression.
+    """
     chunks = F.ceil(F.col("n") / run)
     own = F.pmod(F.xxhash64("id"), chunks)
     meets = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.xxhash64("bucket", F.least(c, own), F.greatest(c, own)))
     sized = buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket")
-    return sized.select("id", own.cast("int").alias("side"), F.explode(F.when(chunks == 1, F.array("bucket")).otherwise(meets)).alias("run"))
+    return sized.select("id", (own * MARKS + F.expr(mark)).cast("int").alias("side"), F.explode(F.when(chunks == 1, F.array("bucket")).otherwise(meets)).alias("run"))
 
 
 def _between(left: DataFrame, right: DataFrame, run: int = RUN) -> DataFrame:
@@ -176,21 +181,17 @@ def near_pairs(signed: DataFrame, key: str = "doc_id", hashes: int = K.HASHES, l
     banded = rows.select("id", F.explode(each).alias("b")).select("id", "b.*")
 
     def work(ids, sides, values):
-        two = (sides != sides[0]).any()
+        two, no = (sides != sides[0]).any(), int(sides[0]) % MARKS
         for i in range(len(ids) - 1):
             agree = (values[i + 1 :] == values[i]).sum(axis=1)
             near = np.flatnonzero((agree >= least) & ((sides[i + 1 :] != sides[i]) | (not two)))
             if len(near):
                 other = i + 1 + near
                 same = np.stack([(values[other, s : s + n] == values[i, s : s + n]).all(axis=1) for s, n in edges])
-                yield np.full(len(near), ids[i]), ids[other], agree[near].astype(np.int32), same.argmax(axis=0).astype(np.int32)
+                here = same.argmax(axis=0) == no
+                yield np.full(int(here.sum()), ids[i]), ids[other[here]], agree[near[here]].astype(np.int32)
 
-    out = None
-    for no in range(len(edges)):
-        tiles = _among(banded.filter(F.col("no") == no).select("id", "bucket"), run)
-        found = _met(tiles, rows, "a bigint, b bigint, agree int, first int", work).filter(F.col("first") == no).select("a", "b", "agree")
-        out = found if out is None else out.union(found)
-    return out
+    return _met(_among(banded, run, "no"), rows, "a bigint, b bigint, agree int", work)
 
 
 def members(signed: DataFrame, key: str = "doc_id") -> DataFrame:

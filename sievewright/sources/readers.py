@@ -42,10 +42,10 @@ def load(spark: SparkSession, path: str, source: str, rank: int = 0, text_field:
     return numbered(rows.select(text.alias("text"), "_metadata")).select(F.lit(source).alias("source"), F.lit(rank).alias("source_rank"), "seq", "text")
 
 
-def load_catalog(spark: SparkSession, folder: str, present: list[str]) -> dict[str, DataFrame]:
+def load_catalog(spark: SparkSession, folder: str, present: list[str], kind: str = "parquet") -> dict[str, DataFrame]:
     """Sources of the catalog in its order, each from the subfolder of its name; present: those that have landed."""
     order = catalog(spark).orderBy("source_rank").collect()
-    return {r.source: load(spark, f"{folder}/{r.source}", r.source, r.source_rank, r.text_field) for r in order if r.source in present}
+    return {r.source: load(spark, f"{folder}/{r.source}", r.source, r.source_rank, r.text_field, kind) for r in order if r.source in present}
 
 
 def write_corpus(rows: DataFrame, path: str, text: str = "piece") -> None:
