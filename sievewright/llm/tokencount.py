@@ -28,6 +28,8 @@ from sievewright.llm._vocab import Memo, PairTable, locate
 #: Pre-tokens, and characters in them, whose counts a worker keeps from one slice to the next.
 MEMO, MEMO_CHARS = 300_000, 8 << 20
 NONE = PairTable.NONE
+#: Places are closed up when one in so many is idle.
+CLOSE = 3
 #: Behind each piece, and in place of a symbol that is gone; in no pair.
 PAD, GONE = (1 << 20) - 1, (1 << 20) - 2
 
@@ -74,7 +76,7 @@ class WordBPE:
         """How many symbols each piece ends as.
 
         Ranks are looked up once and then only beside what merged; places of symbols that are gone, and of pieces that
-        are done, are closed up when they make half of all.
+        are done, are closed up when they make 1 / CLOSE of all.
         """
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         counts = lengths.copy()
@@ -90,17 +92,17 @@ class WordBPE:
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         ids[inside] = self.inner[flat]
         ids[ends - 1] = self.last[flat[np.cumsum(lengths[own]) - 1]]
+        ranks = np.full(len(ids), NONE, np.int32)
+        ranks[:-1] = self.pairs(ids[:-1], ids[1:])
         while len(ids):
             ahead, behind = np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
-            ranks = np.full(len(ids), NONE, np.int32)
-            ranks[:-1] = self.pairs(ids[:-1], ids[1:])
             heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
             sizes = np.diff(np.r_[heads, len(ids)])
             gone = 0
             while True:
                 least = np.minimum.reduceat(ranks, heads)
                 going = least != NONE
-                if not going.any() or 2 * (gone + sizes[~going].sum()) > len(ids):
+                if not going.any() or CLOSE * (gone + sizes[~going].sum()) > len(ids):
                     break
                 hits = np.flatnonzero((ranks == np.repeat(least, sizes)) & (ranks != NONE)) if len(heads) > 1 else np.flatnonzero(ranks == least[0])
                 if self.at_once:  # only a pair of equal symbols overlaps itself: in a run of hits every second place
@@ -119,7 +121,7 @@ class WordBPE:
                 places = places[places >= 0]
                 ranks[places] = self.pairs(ids[places], ids[ahead[places]])
             keep = np.repeat(going, sizes) & (ids != GONE)
-            ids, rows = ids[keep], rows[keep]
+            ids, rows, ranks = ids[keep], rows[keep], ranks[keep]
         return counts
 
     def _pieces(self, text: str) -> list[str]:
