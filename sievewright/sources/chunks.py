@@ -112,6 +112,11 @@ class ChunkWriter(DataSourceArrowWriter):
                         raise ValueError(f"chunk {chunk_id} holds ids beyond 16 bits")
                     out.write(np.asarray(ids).astype("<u2").tobytes())
                     n += len(ids)
+        except BaseException:
+            for given, _ in names:
+                if os.path.exists(given):
+                    os.remove(given)
+            raise
         finally:
             if out is not None:
                 out.close()
