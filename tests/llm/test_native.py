@@ -171,6 +171,43 @@ def test_mixture(spark):
     assert first == sorted(first)
 
 
+def test_positions_by_brute_force(spark):
+    """Every document's readings and their places, source by source, one document after the other."""
+    import math
+
+    rows = [(i, " ".join(["w"] * (i * 37 % 23)), None if i % 11 == 5 else f"s{i * i % 5}") for i in range(500)] + [(7, "x y", "s1"), (7, "x y", "s1")]
+    got = curriculum.plan(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    sizes = {}
+    for _, t, source in rows:
+        sizes[source] = sizes.get(source, 0) + len(t.split())
+    target, order = brute_targets(sizes), sorted(s for s in sizes if s is not None) + [None]
+    buckets, want = max(curriculum.BUCKETS, math.isqrt(len(rows))), []
+    for k, source in enumerate(order):
+        own = []
+        for i, t, s in rows:
+            if s == source:
+                h = 42
+                for x in (i, len(t.split())):
+                    h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+                own.append((signed(h) % buckets, signed(h), i, len(t.split())))
+        before, tilt = 0, curriculum.TILTS[k % 3]
+        for _, _, i, size in sorted(own):
+            places = []
+            for p in range(2):
+                demand = (p * sizes[source] + before + size / 2) / target[source]
+                if size and demand < 1:
+                    low, high = 0.0, 1.0
+                    for _ in range(60):
+                        middle = (low + high) / 2
+                        low, high = (middle, high) if middle + tilt * (middle**2 - middle) < demand else (low, middle)
+                    places.append(low)
+            want.append((i, size, source, len(places) * size, places))
+            before += size
+    assert len(got) == len(want)
+    for a, b in zip(sorted((r.doc_id, r["size"], r.source_size, r.taken, r.positions) for r in got), sorted((i, n, sizes[s], taken, places) for i, n, s, taken, places in want)):
+        assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], abs=1e-9)
+
+
 def test_mixed_documents(spark):
     docs = frame(spark, TEXTS)
     out = curriculum.mix(docs)
