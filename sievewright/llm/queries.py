@@ -54,6 +54,16 @@ def op10_token_counts_rank_synchronous(spark: SparkSession, sf_dir: str) -> Data
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def base_license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of operator 8 that SQL states too: base phrases in whole texts."""
+    return licenses.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of operator 5 that SQL states too: how many of each base kind whole texts hold."""
+    return pii.detect(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,9 +77,28 @@ QUERIES = {
         op8_license_signatures,
         op9_byte_bpe_matrices,
         op10_token_counts_rank_synchronous,
+        base_license_phrases,
+        base_personal_data,
     )
 }
 
+
+def _license_sql() -> str:
+    """Base phrases, word by word."""
+    places = []
+    for phrase, _ in licenses.BASE:
+        own = phrase.split(" ")
+        same = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(own))
+        places.append(f"list_filter(range(1, len(w) - {len(own) - 2}), lambda i: {same})")
+    found = ", ".join(f"{p} AS p{k}" for k, p in enumerate(places))
+    every = " || ".join(f"p{k}" for k in range(len(places)))
+    labels = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(licenses.BASE))
+    return f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+f AS (SELECT doc_id, w, {found} FROM t), e AS (SELECT *, {every} AS p FROM f)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, list_min(p) - 1 AS first_word, list_max(p) - 1 AS last_word,
+       array_to_string(list_sort(list_filter([{labels}], lambda x: x IS NOT NULL)), ',') AS base_labels FROM e"""
+
 #: White space as the quotation operator has it, and the text of a line without its quote marks.
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 
@@ -141,4 +170,15 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+    "base_license_phrases": _license_sql(),
+    "base_personal_data": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS (
+  SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(text, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)') AS ip,
+         list_transform(regexp_extract_all(text, '[0-9]([ -]?[0-9])+'), lambda c: regexp_replace(c, '[ -]', '', 'g')) AS card,
+         list_transform(regexp_extract_all(text, '\\+[0-9][ ().0-9-]+[0-9]'), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g'))) AS phone FROM t)
+SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email,
+       CAST(len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INTEGER), 0) > 255)) = 0)) AS BIGINT) AS n_ip,
+       CAST(len(list_filter(card, lambda d: length(d) BETWEEN 16 AND 19 AND
+         list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(d[length(d) - i + 1] AS INTEGER) ELSE 2 * CAST(d[length(d) - i + 1] AS INTEGER) - CASE WHEN CAST(d[length(d) - i + 1] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS BIGINT) AS n_card,
+       CAST(len(list_filter(phone, lambda n: n BETWEEN 8 AND 15)) AS BIGINT) AS n_phone FROM m""",
 }
