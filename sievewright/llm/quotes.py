@@ -13,7 +13,7 @@ that it replies to. A thread of more than PART turns is given in parts of PART t
 and no task grows with a thread.
 
 Originals are the minimum of a partial aggregation and unique by (conversation, hash), so a passage that everyone
-quotes adds a row for each quote and no pairs; threads are found by pointer doubling over messages that reply, with a
+quotes adds a row for each quote and no pairs; those that are asked for meet the quotes by shares of a conversation; threads are found by pointer doubling over messages that reply, with a
 reliable checkpoint a round; places in a thread are running sums over buckets of turns.
 
 Defined results: a null or empty text has an empty clean_text and no passages; messages with a null conv_id or turn
@@ -31,6 +31,8 @@ from sievewright.functions.frames import running_sum
 from sievewright.llm._batches import cut, let
 
 LINE_WORDS = 3
+#: Shares of a conversation's messages that meet its originals in tasks of their own.
+SALTS = 16
 #: Turns of a thread that a row holds.
 PART = 512
 PREFIX = r"^[ \t]*(?:>[ \t]*)+"
@@ -98,6 +100,11 @@ def threads(replies: DataFrame) -> DataFrame:
         now = moved.drop("moved")
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """Each row once for each salt: what the messages of one conversation are dealt out to meet."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+
+
 def link(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, clean_text, n_passages, n_linked, reply_to, thread, position, chat of each row.
 
@@ -108,10 +115,12 @@ def link(messages: DataFrame) -> DataFrame:
     quoting = parse(messages.filter(F.contains("text", F.lit(">")))).filter(placed & (F.size("quotes") > 0)).select("conv_id", "turn", "text_key", F.posexplode("quotes").alias("place", "q")).distinct()
     asked = quoting.select("conv_id", "turn", "text_key", "place", F.col("q.level").alias("level"), F.explode(_units(F.col("q.text"), LINE_WORDS)).alias("hash"))
     # Only conversations in which someone quotes have anything to link.
-    heard = parsed.filter(placed & (F.col("clean_text") != "")).join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
+    heard = parsed.filter(placed & (F.col("clean_text") != "")).withColumn("salt", F.pmod("turn", F.lit(SALTS)))
+    heard = heard.join(_salted(quoting.select("conv_id").distinct()), ["conv_id", "salt"], "left_semi")
     have = heard.select("conv_id", "turn", F.explode(_units(F.col("clean_text"), 1)).alias("hash"))
     originals = have.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    linked = asked.join(originals, ["conv_id", "hash"]).filter("origin < turn")
+    hits = originals.join(asked.select("conv_id", "hash").distinct(), ["conv_id", "hash"])
+    linked = asked.withColumn("salt", F.pmod("turn", F.lit(SALTS))).join(_salted(hits), ["conv_id", "hash", "salt"]).filter("origin < turn")
     per_passage = linked.groupBy("conv_id", "turn", "text_key", "place", "level").agg(F.max("origin").alias("origin"))
     found = cut(per_passage.groupBy("conv_id", "turn", "text_key").agg(F.count("*").alias("n_linked"), F.max(F.struct((-F.col("level")).alias("l"), "origin"))["origin"].alias("reply_to")))
     replies = found.groupBy("conv_id", "turn").agg(F.max("reply_to").alias("reply_to"))

@@ -25,7 +25,7 @@ def rows_of(docs):
     """Literal rows: nulls in every column, empty and very long texts, ties, repeated rows, columns with clashing names."""
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
-    base = [" ".join(word() for _ in range(n)) for n in (60, 200, 40_000)]
+    base = [" ".join(word() for _ in range(n)) for n in (60, 200, 20_000)]
     near = [" ".join(w if i != len(b.split()) // 2 else "changed" for i, w in enumerate(b.split())) for b in base]
     texts = [r.text for r in docs.limit(40).collect()] + base + near + [base[0], base[0].upper(), None, None, "", " \n", "one", "x" * 200_000, "mail a.b@c.dd, card 4111 1111 1111 1111. " + base[1]]
     rows = [(i, t, "en", f"src{i % 4}" if i % 7 else None, None if t is None else len(t), 0.5, "p", "r", None) for i, t in enumerate(texts)]
@@ -134,10 +134,10 @@ def test_positions_follow_the_curriculum(spark, tmp_path):
 
 
 def test_run_is_its_stages(spark):
-    rows = corpus_pipeline.run(spark, SF).collect()
+    out = corpus_pipeline.run(spark, SF)
+    assert out._jdf.queryExecution().toString().count("MapInArrow") <= 4  # the last stage's alone, once in each form of the plan
+    rows = out.collect()
     assert rows and sorted(r.position for r in rows) == list(range(len(rows)))
-    again = corpus_pipeline.run(spark, SF).collect()
-    assert sorted((r.position, r.doc_id, r.ids_sha256) for r in rows) == sorted((r.position, r.doc_id, r.ids_sha256) for r in again)
 
 
 def test_empty_documents(spark, tmp_path):
