@@ -9,13 +9,15 @@ from sievewright.functions.frames import running_sum
 from sievewright.sources.state import catalog
 
 COLUMNS = ["source", "source_rank", "seq", "text"]
+#: Files of which a number each may be broadcast.
+FILES = 100_000
 
 
 def numbered(rows: DataFrame, name: str = "seq") -> DataFrame:
     """Adds the row's number, from 0 in the order of files and of rows inside a file; rows come straight from a file scan.
 
-    Where files number their rows (Parquet), the rows of each file are counted, and no row moves. Elsewhere the splits of
-    files are counted first, so no task holds more than the rows of one, or a row for each.
+    Where files number their rows (Parquet), the rows of each file are counted, a row a file, and no row of at most FILES
+    files moves. Elsewhere the splits of files are counted first, so no task holds more than the rows of one, or a row for each.
     """
     fields = {f.name for f in rows.select("_metadata").schema[0].dataType.fields}
     if "row_index" in fields:
@@ -23,6 +25,8 @@ def numbered(rows: DataFrame, name: str = "seq") -> DataFrame:
         counts = rows.select(file.alias("__file")).groupBy("__file").agg(F.count("*").alias("__n"))
         before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
         starts = counts.select(F.col("__file").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+        if len(rows.inputFiles()) <= FILES:
+            starts = F.broadcast(starts)
         placed = rows.withColumns({"__file": file, "__row": F.col("_metadata.row_index")})
         return placed.join(starts, F.col("__file") == F.col("__of")).withColumn(name, F.col("__start") + F.col("__row")).drop("__file", "__row", "__of", "__start")
     split = F.concat("_metadata.file_path", F.lit("#"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
