@@ -642,7 +642,7 @@ def tokenize_counts(spark, d):
 def token_pieces(spark, d):
     """How often each piece stands in the encoded documents."""
     model = _word_model(spark, d)
-    coded = tokens.pieces(tokens.encode(documents(spark, d).select("doc_id", "text"), model), model)
+    coded = tokens.pieces(tokens.encode(documents(spark, d).select("text"), model).select("tokens"), model)
     return coded.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
 
 
