@@ -634,7 +634,7 @@ def _word_model(spark, d) -> bytes:
 @query()
 def tokenize_counts(spark, d):
     model = _word_model(spark, d)
-    coded = tokens.safe_decode(tokens.encode(documents(spark, d).select("doc_id", "text"), model), model)
+    coded = tokens.safe_decode(tokens.encode(documents(spark, d).select("doc_id", "text"), model).drop("text"), model)
     return coded.select("doc_id", F.size("tokens").alias("n_tokens"), F.length("decoded").alias("n_chars"))
 
 
