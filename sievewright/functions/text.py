@@ -5,7 +5,6 @@ White space is one explicit class, because no engine's own class is the same as
 
 from __future__ import annotations
 
-import string
 import unicodedata
 from collections.abc import Iterable
 from functools import reduce
@@ -22,9 +21,6 @@ LETTERS = r"\p{L}\p{N}"
 #: Digits that aren't decimal numbers, such as superscripts.
 DIGITS = "".join(chr(c) for c in range(0x20000) if chr(c).isdigit() and unicodedata.category(chr(c)) != "Nd")
 
-#: Characters that most texts consist of; all of them are fine.
-COMMON = string.ascii_letters + string.digits + " .,"
-
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -47,18 +43,32 @@ def strip(c) -> Column:
     return F.btrim(col(c), F.lit(WS_CHARS))
 
 
-def word_count(c) -> Column:
-    """By what parts words: a pattern of all else, [^...]+, takes several times as long."""
-    return let(strip(c), lambda t: F.when(t == "", 0).otherwise(F.size(F.split(t, f"[{WS}]+"))))
+def has_rare_space(c) -> Column:
+    """Whether a text may hold white space but blanks, tabs and ends of lines: by bytes that all of that begins with."""
+    t = col(c)
+    raw = t.cast("binary")
+    beyond = reduce(Column.__or__, [F.contains(raw, F.lit(bytes.fromhex(h))) for h in ("c285", "c2a0", "e19a80", "e280", "e2819f", "e38080")])
+    return has_any(t, list("\x0b\x0c\x1c\x1d\x1e\x1f")) | ((F.octet_length(t) != F.length(t)) & beyond)
+
+
+def blanks(c) -> Column:
+    """Each character of white space as a blank; a pattern of the whole class only where one is called for."""
+    usual = reduce(lambda t, x: F.replace(t, F.lit(x), F.lit(" ")), "\n\t\r", col(c))
+    return let(usual, lambda t: F.when(has_rare_space(t), F.regexp_replace(t, f"[{WS}]", " ")).otherwise(t))
 
 
 def words(c) -> Column:
-    return F.filter(F.split(col(c), f"[{WS}]+"), lambda w: w != "")
+    """By blanks, which need no pattern: one of the class takes several times as long."""
+    return F.array_remove(F.split(blanks(c), " "), "")
+
+
+def word_count(c) -> Column:
+    return F.size(words(c))
 
 
 def normalise(c) -> Column:
     """Lower case, white space to single blanks, none around."""
-    return strip(F.regexp_replace(F.lower(col(c)), f"[{WS}]+", " "))
+    return F.btrim(let(blanks(F.lower(col(c))), lambda t: where(t, ["  "], lambda x: F.regexp_replace(x, " +", " "))))
 
 
 def prefix(c, n: int) -> Column:
@@ -111,7 +121,8 @@ def strip_attributes(c) -> Column:
 
 
 def tidy(c) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(col(c), r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n"))
+    single = let(col(c), lambda t: where(t, ["  ", "\t"], lambda x: F.regexp_replace(x, r"[ \t]{2,}|\t", " ")))
+    return strip(let(single, lambda t: where(t, ["\n\n\n"], lambda x: F.regexp_replace(x, r"\n{3,}", "\n\n"))))
 
 
 def clean_markup(c) -> Column:
@@ -139,19 +150,26 @@ def markup_density(c) -> Column:
     """Share of characters in tags and in style rules, each on its own; 0 for an empty text."""
     t = col(c)
     css = F.when(F.contains(t, F.lit("{")), total_length(t, CSS)).otherwise(0)
-    return F.when(F.length(t) == 0, 0.0).otherwise((total_length(t, TAG) + css) / F.length(t))
+    tags = F.when(F.contains(t, F.lit("<")), total_length(t, TAG)).otherwise(0)
+    return F.when(F.length(t) == 0, 0.0).otherwise((tags + css) / F.length(t))
+
 
+def unusual(c) -> Column:
+    """What is left of a text without Latin letters, digits and blanks; neighbours that are left stay neighbours."""
+    return F.regexp_replace(col(c), "[A-Za-z0-9 ]+", "")
 
-def symbol_ratio(c) -> Column:
-    """Share of characters that are no letter, digit, white space or usual symbol; 1 for an empty text."""
+
+def symbol_ratio(c, rest=None) -> Column:
+    """Share of characters that are no letter, digit, white space or usual symbol; 1 for an empty text. rest: unusual(c), if it is there."""
     t = col(c)
-    rare = F.translate(t, COMMON, "")  # what most texts consist of goes by a look-up, the rest by the pattern
-    odd = F.length(F.regexp_replace(rare, rf"[\p{{L}}\p{{Nd}}{DIGITS}{WS}{in_class(K.ALLOWED_SYMBOLS)}]++", ""))
+    odd = F.length(F.regexp_replace(unusual(t) if rest is None else col(rest), rf"[\p{{L}}\p{{Nd}}{DIGITS}{WS}{in_class(K.ALLOWED_SYMBOLS)}]++", ""))
     return F.when(F.length(t) == 0, 1.0).otherwise(odd / F.length(t))
 
 
-def has_symbol_run(c, least: int = 5) -> Column:
-    return F.regexp_like(col(c), F.lit(rf"([^{LETTERS}{WS}])\1{{{least - 1}}}"))
+def has_symbol_run(c, least: int = 5, rest=None) -> Column:
+    """rest: unusual(c), if it is there; a run stands in that too, where it is looked for first."""
+    run = F.lit(rf"([^{LETTERS}{WS}])\1{{{least - 1}}}")
+    return F.regexp_like(unusual(c) if rest is None else col(rest), run) & F.regexp_like(col(c), run)
 
 
 def spelled_out(pattern: str, space: str, before: str, after: str) -> str:
@@ -174,17 +192,21 @@ def per_thousand(hits: Column, n: Column) -> Column:
 _PLATE_PARTS = [["tentang", "about"], ["baca"], ["gunakan"], ["facebook", "tter", "what"], ["erved"], ["hak"], ["letter"], ["letter"], ["menu", "nav"]]
 
 
-def boilerplate_density(c, n: Column | None = None) -> Column:
+def boilerplate_density(c, n: Column | None = None, lowered=None) -> Column:
     def hits(low: Column) -> Column:
         tried = [F.when(has_any(low, parts), F.regexp_count(col(c), F.lit(p))).otherwise(0) for parts, p in zip(_PLATE_PARTS, boilerplate_patterns(), strict=True)]
         return reduce(Column.__add__, tried)
 
-    return per_thousand(let(F.lower(col(c)), hits), word_count(c) if n is None else n)
+    return per_thousand(let(F.lower(col(c)), hits) if lowered is None else hits(col(lowered)), word_count(c) if n is None else n)
 
 
 def keyword_hits(lowered, keywords: list[str]) -> Column:
-    """Occurrences of each keyword on its own, inside words too; the text is lower-cased already."""
-    return reduce(Column.__add__, [F.regexp_count(col(lowered), F.lit(k)) for k in keywords])
+    """Occurrences of each keyword on its own, inside words too; the text is lower-cased already.
+
+    Whether a keyword is there at all goes by bytes; patterns, which need the text decoded, only count.
+    """
+    t = col(lowered)
+    return reduce(Column.__add__, [F.when(~F.contains(t, F.lit(k)), 0).otherwise(F.regexp_count(t, F.lit(k))) for k in keywords])
 
 
 def keyword_density(lowered, keywords: list[str], n: Column) -> Column:
@@ -194,8 +216,12 @@ def keyword_density(lowered, keywords: list[str], n: Column) -> Column:
 URL = rf"""https?://[^{WS}<>"]+|www\.[^{WS}<>"]+"""
 
 
+#: One of these is in each URL.
+_URL_PARTS = ["http", "www."]
+
+
 def link_count(c) -> Column:
-    return F.regexp_count(col(c), F.lit(URL))
+    return F.when(~has_any(c, _URL_PARTS), 0).otherwise(F.regexp_count(col(c), F.lit(URL)))
 
 
 def has_any(lowered, keywords: list[str]) -> Column:
@@ -203,11 +229,12 @@ def has_any(lowered, keywords: list[str]) -> Column:
 
 
 def has_suspicious_domain(lowered) -> Column:
-    return F.exists(F.regexp_extract_all(col(lowered), F.lit(URL), F.lit(0)), lambda u: has_any(u, K.SUSPICIOUS_DOMAINS))
+    inside = F.exists(F.regexp_extract_all(col(lowered), F.lit(URL), F.lit(0)), lambda u: has_any(u, K.SUSPICIOUS_DOMAINS))
+    return F.when(~has_any(lowered, _URL_PARTS), False).otherwise(inside)
 
 
-def dominant_share(lowered) -> Column:
-    """Share of the most frequent word where it exceeds 0.4, else a lower bound of it; 0 without words.
+def dominant_share(lowered, own=None) -> Column:
+    """Share of the most frequent word where it exceeds 0.4, else a lower bound of it; 0 without words. own: words(lowered), if they are there.
 
     A word with more than 0.4 n of n sorted places covers place 0, s or 2s for s = 0.4 n rounded down.
     """
@@ -218,7 +245,7 @@ def dominant_share(lowered) -> Column:
         most = F.greatest(*[let(F.get(own, step * k), lambda w: F.size(F.filter(own, lambda x: x == w))) for k in range(3)])
         return F.when(n == 0, 0.0).otherwise(most / n)
 
-    return let(F.sort_array(words(lowered)), share)
+    return let(F.sort_array(words(lowered) if own is None else col(own)), share)
 
 
 def no_punctuation(c) -> Column:

@@ -26,26 +26,28 @@ def arrived(docs: DataFrame, text: str = "text") -> DataFrame:
 def with_measures(docs: DataFrame, text: str = "text", limits: Thresholds = Thresholds()) -> DataFrame:
     """markup_density of the raw text; clean_text; and the measures of that. They replace input columns of their names.
 
-    Three projections: each column that others read several times is computed once in the projection below.
+    Four projections: each column that others read several times is computed once in the projection below.
     """
     clean = docs.withColumns({"markup_density": T.markup_density(text), "clean_text": T.clean_markup(text)})
-    lowered = clean.withColumns({"__low": F.lower("clean_text"), "n_words": T.word_count("clean_text")})
+    lowered = clean.withColumns({"__low": F.lower("clean_text"), "__rest": T.unusual("clean_text")})
+    split = lowered.withColumn("__words", T.words("__low"))  # as many as clean_text has
+    counted = split.withColumn("n_words", F.size("__words"))
     n = F.col("n_words")
-    return lowered.withColumns(
+    return counted.withColumns(
         {
-            "symbol_ratio": T.symbol_ratio("clean_text"),
-            "symbol_run": T.has_symbol_run("clean_text", limits.symbol_run),
-            "boilerplate": T.boilerplate_density("clean_text", n),
+            "symbol_ratio": T.symbol_ratio("clean_text", "__rest"),
+            "symbol_run": T.has_symbol_run("clean_text", limits.symbol_run, "__rest"),
+            "boilerplate": T.boilerplate_density("clean_text", n, "__low"),
             "gambling": T.has_any("__low", K.GAMBLING_ADULT),
             "suspicious": T.has_suspicious_domain("__low"),
             "links": T.link_count("clean_text"),
-            "dominant": T.dominant_share("__low"),
+            "dominant": T.dominant_share("__low", "__words"),
             "unpunctuated": T.no_punctuation("clean_text"),
             "profanity": T.keyword_density("__low", K.PROFANITY, n),
             "marketing": T.keyword_density("__low", K.MARKETING, n),
             "educational": T.keyword_density("__low", K.EDUCATIONAL, n),
         }
-    ).drop("__low")
+    ).drop("__low", "__rest", "__words")
 
 
 def reason(limits: Thresholds = Thresholds()) -> Column:

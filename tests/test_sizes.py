@@ -4,9 +4,10 @@ from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-
-from sievewright.operators import tokens
+from sievewright.functions import text as T
+from sievewright.operators import gates, tokens
 
 PROSE = "the quick brown fox jumps, over a lazy dog. "
 
@@ -35,3 +36,25 @@ def test_token_workers_hold_few_tokens(model):
         made = list(worker("tokens", "array<int>", lambda docs, make=make: make(docs, model))(iter([batch])))
         assert max(len(b.column("tokens").flatten()) for b in made if b.num_rows > 1) <= tokens.TOKENS < len(batch.column("tokens").flatten())
         assert [x for b in made for x in b.column(1).to_pylist()] == [*[want(i) for i in ids * 8], None]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_measures_split_a_text_once(spark):
+    """Words go into the count and the dominant share; text is cut at blanks, not by a pattern of all white space."""
+    docs = spark.createDataFrame([(0, PROSE)], "doc_id bigint, text string")
+    made = plan(gates.with_reason(docs))
+    assert made.count("split(") == 1
+    assert f", [{T.WS}]+, -1)" not in made
+
+
+def test_words_at_every_kind_of_white_space(spark):
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    texts = [f"A{c}b{c}{c}É c{c}" for c in spaces] + ["“a” b​c", " ", " ", "", " a  b ", "x \n y", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in rows.select("i", T.words("t").alias("w"), T.word_count("t").alias("n"), T.normalise("t").alias("x")).collect():
+        t = texts[r.i]
+        assert (r.w, r.x) == ((None, None) if t is None else (t.split(), " ".join(t.lower().split())))
+        assert t is None or r.n == len(r.w)
