@@ -50,8 +50,21 @@ def exact_duplicates(docs: DataFrame, text: str, order: list[str]) -> DataFrame:
 
 
 def shingles(text, n: int = K.SHINGLE_WORDS) -> Column:
-    """Distinct runs of n words of the normalised text, array<array<string>>; fewer words are one run."""
-    return F.array_distinct(_all_shingles(T.words(T.normalise(text)), n))
+    """Distinct runs of n words of the normalised text, array<array<string>>; fewer words are one run.
+
+    They are told apart as texts, by a hash table; arrays of arrays are compared each with each.
+    """
+    return F.transform(F.array_distinct(F.transform(_all_shingles(_normal_words(text), n), lambda s: F.array_join(s, " "))), lambda s: F.array_remove(F.split(s, " "), ""))
+
+
+def _normal_words(text) -> Column:
+    """No pattern is needed: in a normalised text single blanks part words."""
+    return F.array_remove(F.split(T.normalise(text), " "), "")
+
+
+def shingle_count(text, n: int = K.SHINGLE_WORDS) -> Column:
+    """How many distinct runs of n words there are."""
+    return F.size(F.array_distinct(F.transform(_all_shingles(_normal_words(text), n), lambda s: F.array_join(s, " "))))
 
 
 def _all_shingles(words: Column, n: int) -> Column:
@@ -66,7 +79,7 @@ def tuple_text(shingle: Column) -> Column:
 
 def _shingle_texts(text, n: int) -> Column:
     """Words are quoted once each, then put together."""
-    return F.array_distinct(F.transform(_all_shingles(F.transform(T.words(T.normalise(text)), minhash.quoted_words), n), tuple_text))
+    return F.array_distinct(F.transform(_all_shingles(F.transform(_normal_words(text), minhash.quoted_words), n), tuple_text))
 
 
 def signature(text, n: int = K.SHINGLE_WORDS, hashes: int = K.HASHES, fast: bool = False) -> Column:
@@ -75,7 +88,7 @@ def signature(text, n: int = K.SHINGLE_WORDS, hashes: int = K.HASHES, fast: bool
     As one expression; signed() has the MD5 ones several times faster.
     """
     if fast:
-        once = F.transform(F.array_distinct(_all_shingles(T.words(T.normalise(text)), n)), lambda s: F.xxhash64(s))
+        once = F.array_distinct(F.transform(_all_shingles(_normal_words(text), n), lambda s: F.xxhash64(s)))
         return T.let(once, lambda s: F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda k: F.array_min(F.transform(s, lambda h: F.xxhash64(h, k)))))
     mine = lambda s, k: F.array_min(F.transform(s, lambda x: F.md5(F.concat(k.cast("string"), F.lit("_"), x))))
     return T.let(_shingle_texts(text, n), lambda s: F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda k: mine(s, k)))

@@ -332,7 +332,7 @@ pairs AS (SELECT x.id AS a, y.id AS b, CAST(count(*) AS INTEGER) AS agree FROM s
 
 @query(f"WITH {_SHINGLES} SELECT doc_id, CAST(len(s) AS INTEGER) AS n FROM shingled")
 def shingle_count(spark, d):
-    return documents(spark, d).select("doc_id", F.size(dedup.shingles("text")).alias("n"))
+    return documents(spark, d).select("doc_id", dedup.shingle_count("text").alias("n"))
 
 
 @query(f"WITH {_SHINGLES} SELECT doc_id, array_to_string(signature, ' ') AS signature FROM signed")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as T
-from sievewright.operators import gates, tokens
+from sievewright.operators import dedup, gates, tokens
 
 PROSE = "the quick brown fox jumps, over a lazy dog. "
 
@@ -58,3 +58,14 @@ def test_words_at_every_kind_of_white_space(spark):
         t = texts[r.i]
         assert (r.w, r.x) == ((None, None) if t is None else (t.split(), " ".join(t.lower().split())))
         assert t is None or r.n == len(r.w)
+
+
+def test_shingles_are_told_apart_by_hashing(spark):
+    """Arrays of arrays would be compared each with each; see the element type that array_distinct is given."""
+    text = " ".join(f"w{i % 700}" for i in range(1500))
+    rows = spark.createDataFrame([(0, text), (1, "A b"), (2, ""), (3, "a " * 9)], "doc_id bigint, text string")
+    made = rows.select("doc_id", dedup.shingle_count("text").alias("n"), F.size(dedup.shingles("text")).alias("m"))
+    assert [(r.n, r.m) for r in made.orderBy("doc_id").collect()] == [(700, 700), (1, 1), (1, 1), (1, 1)]
+    assert rows.filter("doc_id = 1").select(dedup.shingles("text").alias("s")).first().s == [["a", "b"]]
+    for own in (dedup.shingle_count("text"), dedup.shingles("text"), dedup.signature("text", fast=True)):
+        assert "array_distinct(transform(" in plan(rows.select(own))
