@@ -18,9 +18,15 @@ PATTERN = "chunk_*.bin"
 PART = 1 << 16
 
 
+def _found(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the files in few tasks: a scan counts 4 MB for each, so two or some dozens of small ones would be one."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", PATTERN).option("recursiveFileLookup", True).load(path)
+    return found.coalesce(4 * spark.sparkContext.defaultParallelism)
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """path, chunk_id, n_tokens of each chunk file, in shard folders too; contents aren't read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", PATTERN).option("recursiveFileLookup", True).load(path)
+    found = _found(spark, path)
     number = F.regexp_extract("path", r"chunk_(\d+)\.bin$", 1).cast("bigint")
     return found.select("path", number.alias("chunk_id"), F.floor(F.col("length") / 2).cast("bigint").alias("n_tokens"))
 
@@ -46,22 +52,36 @@ def unpacked(content) -> Column:
 def read(spark: SparkSession, path: str, part: int = PART) -> DataFrame:
     """chunk_id, offset, tokens: the files in parts of at most so many tokens."""
     import numpy as np
-    import pyarrow as pa
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", PATTERN).option("recursiveFileLookup", True).load(path)
-    raw = found.select(F.regexp_extract("path", r"chunk_(\d+)\.bin$", 1).cast("bigint").alias("chunk_id"), "content")
+    raw = _found(spark, path).select(F.regexp_extract("path", r"chunk_(\d+)\.bin$", 1).cast("bigint").alias("chunk_id"), "content")
 
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("content")[k].as_buffer(), "<u2")
+            numbers = batch.column("chunk_id").to_pylist()
+            held, size = [], 0
+            for number, content in zip(numbers, batch.column("content")):
+                ids = np.frombuffer(content.as_buffer(), "<u2")
                 for at in range(0, max(1, len(ids)), part):
-                    some = ids[at : at + part].astype(np.int32)
-                    yield pa.RecordBatch.from_pydict({"chunk_id": batch.column("chunk_id").slice(k, 1), "offset": pa.array([at], pa.int64()), "tokens": pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), pa.array(some))})
+                    held.append((number, at, ids[at : at + part].astype(np.int32)))
+                    size += len(held[-1][2])
+                    if size >= PART:
+                        yield _batch(held)
+                        held, size = [], 0
+            if held:
+                yield _batch(held)
 
     return raw.mapInArrow(run, "chunk_id bigint, offset bigint, tokens array<int>")
 
 
+def _batch(held: list[tuple]):
+    import numpy as np
+    import pyarrow as pa
+
+    edges = np.r_[0, np.cumsum([len(t) for _, _, t in held])].astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([t for _, _, t in held])))
+    return pa.RecordBatch.from_pydict({"chunk_id": pa.array([c for c, _, _ in held], pa.int64()), "offset": pa.array([at for _, at, _ in held], pa.int64()), "tokens": lists})
+
+
 def write(parts: DataFrame, path: str, shard: int | None = None, part: int = PART) -> None:
     """Files of the parts (chunk_id, offset, tokens), which leave no gap in a chunk; a task takes whole chunks, a part at a time."""
     register(parts.sparkSession)
