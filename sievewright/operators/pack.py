@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from sievewright.functions import constants as K
 
 
-def chunk_parts(docs: DataFrame, size: int = K.CHUNK_TOKENS, source: str = "source_rank", before: str = "before", tokens: str = "tokens", keep: list[str] = []) -> DataFrame:
+def chunk_parts(docs: DataFrame, size: int = K.CHUNK_TOKENS, source: str = "source_rank", before: str = "before", tokens: str = "tokens", keep: list[str] = [], count: str | None = None) -> DataFrame:
     """(chunk_id, offset, tokens, and columns to keep): what each document gives to each chunk.
 
     A source's tokens stand one after the other and are cut every size tokens; the cut starts anew with each source
-    and chunk numbers go on. docs: source rank, tokens before the document in its source, tokens array.
+    and chunk numbers go on. docs: source rank, tokens before the document in its source, tokens array. count: a column
+    of the tokens' number, if it is there; totals and the filter then don't make the tokens once more.
     """
-    totals = docs.groupBy(source).agg(F.max(F.col(before) + F.size(tokens)).alias("n"))
+    own = F.size(tokens) if count is None else F.col(count)
+    totals = docs.groupBy(source).agg(F.max(F.col(before) + own).alias("n"))
     firsts = totals.select(F.col(source).alias("__s"), F.coalesce(F.sum(F.ceil(F.col("n") / size)).over(Window.orderBy(source).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
-    held = docs.filter(F.size(tokens) > 0).join(firsts, F.col(source) == F.col("__s"))
+    held = docs.filter(own > 0).join(firsts, F.col(source) == F.col("__s"))
     start, n = F.col(before), F.size(tokens)
     spread = held.select(*keep, "__first", start.alias("start"), F.col(tokens).alias("t"), F.explode(F.sequence(F.floor(start / size), F.floor((start + n - 1) / size))).alias("k"))
     low = F.greatest(F.col("k") * size - F.col("start"), F.lit(0)).cast("int")
@@ -34,7 +36,8 @@ def shard(chunk_id="chunk_id", per: int = K.SHARD_CHUNKS) -> Column:
 
 
 def chunk_name(chunk_id="chunk_id", per: int = K.SHARD_CHUNKS) -> Column:
-    return F.concat(F.lit("shard_"), F.lpad(shard(chunk_id, per).cast("string"), 3, "0"), F.lit("/chunk_"), F.lpad(F.col(chunk_id).cast("string"), 4, "0"), F.lit(".bin"))
+    """Numbers of more digits than the name has room for stay whole, as in the files' names; lpad would cut them."""
+    return F.format_string("shard_%03d/chunk_%04d.bin", shard(chunk_id, per), F.col(chunk_id))
 
 
 def split_validation(chunks: DataFrame, last: int = 2, by: str = "chunk_id") -> DataFrame:

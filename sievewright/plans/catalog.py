@@ -488,7 +488,7 @@ def _parts(spark, d, token=F.length) -> DataFrame:
     """Words as tokens, each its length, as parts of chunks."""
     texts = documents(spark, d).select(F.col("doc_id").alias("__d"), F.transform(T.words("text"), token).alias("tokens"))
     rows = _ordered(spark, d).join(texts, F.col("doc_id") == F.col("__d"))
-    return pack.chunk_parts(rows, CHUNK)
+    return pack.chunk_parts(rows, CHUNK, count="n_tokens")
 
 
 _SIZES = f"SELECT chunk_id, count(*) AS n_tokens FROM tokens GROUP BY ALL"
@@ -504,7 +504,7 @@ def chunk_words(spark, d):
     """Token order: the words that each document gives to each chunk, and where they begin."""
     texts = documents(spark, d).select(F.col("doc_id").alias("__d"), T.words("text").alias("tokens"))
     rows = _ordered(spark, d).join(texts, F.col("doc_id") == F.col("__d"))
-    return pack.chunk_parts(rows, CHUNK, keep=["doc_id"]).select("chunk_id", "doc_id", "offset", F.array_join("tokens", " ").alias("words"))
+    return pack.chunk_parts(rows, CHUNK, keep=["doc_id"], count="n_tokens").select("chunk_id", "doc_id", "offset", F.array_join("tokens", " ").alias("words"))
 
 
 def _written(spark, d, shard: int | None) -> str:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as T
-from sievewright.operators import dedup, gates, tokens
+from sievewright.operators import dedup, gates, pack, tokens
+from sievewright.sources import chunks
 
 PROSE = "the quick brown fox jumps, over a lazy dog. "
 
@@ -69,3 +70,24 @@ def test_shingles_are_told_apart_by_hashing(spark):
     assert rows.filter("doc_id = 1").select(dedup.shingles("text").alias("s")).first().s == [["a", "b"]]
     for own in (dedup.shingle_count("text"), dedup.shingles("text"), dedup.signature("text", fast=True)):
         assert "array_distinct(transform(" in plan(rows.select(own))
+
+
+def test_names_of_many_chunks_stay_whole(spark):
+    rows = spark.createDataFrame([(7,), (12345,), (123456,)], "chunk_id bigint")
+    assert [r.n for r in rows.select(pack.chunk_name(per=2).alias("n")).collect()] == ["shard_003/chunk_0007.bin", "shard_6172/chunk_12345.bin", "shard_61728/chunk_123456.bin"]
+
+
+def test_many_small_chunk_files_take_few_tasks(spark, tmp_path):
+    made = spark.range(300).select(F.col("id").alias("chunk_id"), F.lit(0).cast("bigint").alias("offset"), F.array(F.col("id").cast("int"), F.lit(7)).alias("tokens"))
+    chunks.write(made, str(tmp_path / "many"))
+    back = chunks.read(spark, str(tmp_path / "many"), 1)
+    assert back.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted((r.chunk_id, r.offset, r.tokens) for r in back.collect()) == [(c, at, [t]) for c in range(300) for at, t in enumerate((c, 7))]
+
+
+def test_totals_do_not_make_tokens_again(spark):
+    docs = spark.createDataFrame([(0, 0, 0, "a b c"), (1, 0, 3, "d e"), (2, 1, 0, "f")], "doc_id int, source_rank int, before bigint, text string")
+    rows = docs.select("doc_id", "source_rank", "before", F.size(F.split("text", " ")).alias("n"), F.upper("text").alias("u")).withColumn("tokens", F.transform(F.split("u", " "), F.length))
+    parts = pack.chunk_parts(rows, 4, count="n")
+    assert plan(parts).count("upper(") == 1
+    assert sorted(tuple(r) for r in parts.collect()) == sorted(tuple(r) for r in pack.chunk_parts(rows, 4).collect())
