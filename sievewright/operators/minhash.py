@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,8 @@ from sievewright.functions import text as T
 
 #: Shingles that go through the rounds together: their words stay in a core's cache.
 TOGETHER = 1 << 14
-#: A worker takes so many words of texts at once, or one text.
-WORDS = 1 << 18
+#: A worker takes so many bytes of quoted words at once, or one text.
+BYTES = 1 << 21
 
 #: MD5 by RFC 1321: start values, turns of each round, sines.
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
@@ -112,18 +113,13 @@ def _hexed(high: np.ndarray, low: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(high.size, edge, pa.py_buffer(text.tobytes()))
 
 
-def _shingles(words: pa.ListArray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, lengths, heads): each list's quoted words joined by ", ", and its runs of n words in that."""
-    bounds = words.offsets.to_numpy().astype(np.int64)
-    flat = words.values.slice(bounds[0], bounds[-1] - bounds[0])
-    bounds = bounds - bounds[0]
-    edge = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
-    raw = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]]
-    sizes = np.diff(edge)
-    starts = np.cumsum(sizes + 2) - sizes - 2
-    data = np.full(int(sizes.sum()) + 2 * len(sizes) + 2, ord(","), np.uint8)
-    data[np.repeat(starts - (edge[:-1] - edge[0]), sizes) + np.arange(len(raw))] = raw
-    data[starts + sizes + 1] = ord(" ")
+def _shingles(texts: pa.StringArray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, lengths, heads): runs of n quoted words of each text, in which ", " follows every word."""
+    edge = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]]
+    blank = np.flatnonzero(data == ord(" "))
+    starts, sizes = np.r_[0, blank + 1][:-1], np.diff(np.r_[-1, blank]) - 2
+    bounds = np.searchsorted(blank, edge - edge[0])
     count = np.diff(bounds)
     runs = np.maximum(count - n + 1, 1)
     heads = np.cumsum(runs) - runs
@@ -144,23 +140,32 @@ def quoted_words(word: Column) -> Column:
     return F.when(single & ~double, F.concat(F.lit('"'), back, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(back, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
+def quoted_text(normal: Column) -> Column:
+    """The words of a normalised text as such literals, ", " after each; word by word only where one holds a quote or a backslash."""
+
+    def quoted(t: Column) -> Column:
+        plain = F.concat(F.lit("'"), F.replace(t, F.lit(" "), F.lit("', '")), F.lit("', "))
+        each = F.concat(F.array_join(F.transform(F.split(t, " "), quoted_words), ", "), F.lit(", "))
+        return F.when(t == "", "").when(T.has_any(t, ["'", "\\"]), each).otherwise(plain)
+
+    return T.let(normal, quoted)
+
+
 def with_signature(docs: DataFrame, text: str, n: int = K.SHINGLE_WORDS, hashes: int = K.HASHES) -> DataFrame:
     """The same columns but text, and signature array<string>: minimum MD5 digests as dedup.signature has them."""
     names = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column("__words")
-            ends = np.cumsum(np.diff(words.offsets.to_numpy()))
+            ends = np.cumsum(pc.binary_length(batch.column("__quoted")).to_numpy(zero_copy_only=False).astype(np.int64))
             start = 0
             while start < batch.num_rows:
-                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + WORDS, side="right")))
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BYTES, side="right")))
                 part = batch.slice(start, stop - start)
-                high, low = minima(*_shingles(part.column("__words"), n), hashes)
+                high, low = minima(*_shingles(part.column("__quoted"), n), hashes)
                 made = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * hashes), _hexed(high, low))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), made], names=[*names, "signature"])
                 start = stop
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text), "signature array<string>"])
-    words = F.transform(T.words(T.normalise(F.coalesce(F.col(text), F.lit("")))), quoted_words)
-    return docs.select(*names, words.alias("__words")).mapInArrow(run, schema)
+    return docs.select(*names, quoted_text(T.normalise(F.coalesce(F.col(text), F.lit("")))).alias("__quoted")).mapInArrow(run, schema)

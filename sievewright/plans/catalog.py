@@ -355,7 +355,7 @@ def near_dup_pairs(spark, d):
 @query(f"WITH {_SHINGLES}, firsts AS (SELECT signature, min(doc_id) AS id FROM signed GROUP BY ALL) SELECT doc_id, id AS representative FROM signed JOIN firsts USING (signature)")
 def near_dup_members(spark, d):
     """Whom near_dup_pairs speaks for: rows that aren't their own representative agree with it in all slots."""
-    return dedup.members(cut(dedup.signed(documents(spark, d).select("doc_id", "text"))))
+    return dedup.members(dedup.signed(documents(spark, d).select("doc_id", "text")))
 
 
 _GREEDY = f"""

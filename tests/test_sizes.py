@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as T
-from sievewright.operators import dedup, gates, pack, tokens
+from sievewright.operators import dedup, gates, minhash, pack, tokens
 from sievewright.sources import chunks
 
 PROSE = "the quick brown fox jumps, over a lazy dog. "
@@ -91,3 +91,17 @@ def test_totals_do_not_make_tokens_again(spark):
     parts = pack.chunk_parts(rows, 4, count="n")
     assert plan(parts).count("upper(") == 1
     assert sorted(tuple(r) for r in parts.collect()) == sorted(tuple(r) for r in pack.chunk_parts(rows, 4).collect())
+
+
+def test_texts_become_quoted_words_without_a_pattern_a_word(spark):
+    """A word at a time only where one holds a quote or a backslash."""
+    rows = spark.createDataFrame([(0, "a b"), (1, ""), (2, "it's a \\ \"x\"")], "doc_id bigint, text string")
+    got = [r.q for r in rows.select("doc_id", minhash.quoted_text(F.col("text")).alias("q")).orderBy("doc_id").collect()]
+    assert got == ["'a', 'b', ", "", "\"it's\", 'a', '\\\\', '\"x\"', "]
+
+
+def test_members_move_digests_alone(spark):
+    rows = dedup.signed(spark.createDataFrame([(3, "a b"), (1, "c d"), (2, "A  b")], "doc_id bigint, text string"))
+    made = dedup.members(rows)
+    assert sorted(tuple(r) for r in made.collect()) == [(1, 1), (2, 2), (3, 2)]
+    assert "signature" not in made._jdf.queryExecution().analyzed().toString()
